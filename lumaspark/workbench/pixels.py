@@ -250,12 +250,15 @@ def a26(spark, sf_dir):
     return grain.diff_histogram(grain.cross_quad_diffs(A.mosaic(spark, sf_dir), A.mosaic_crops(spark, sf_dir)))
 
 
-# Lineitem samples in key order stand in for rows of sites; they hold enough pairs at every scale.
+# Thirty frames taken as one hold enough pairs for the estimator at every scale; a sample's max-RGB
+# and luma codes stand in for two neighbouring sites.
+COARSE_SQL = f"SELECT * REPLACE ((frame_idx // 30)::INT AS frame_idx) FROM ({A.SAMPLES_SQL})"
+COARSE_FINE_SQL = f"SELECT {KEY}, {RGB_CODE} AS bin, count(*) AS n FROM ({COARSE_SQL}) GROUP BY ALL"
 PAIRS_SQL = f"""
     SELECT {KEY}, least(greatest(code, other) >> 8, 15)::INT AS band, least(abs(code - other) // 32, 63)::INT AS diff, count(*) AS n FROM (
-      SELECT {KEY}, {RGB_CODE} AS code, round({LUMA} * 4095)::INT AS other FROM ({A.SAMPLES_SQL})) GROUP BY ALL"""
+      SELECT {KEY}, {RGB_CODE} AS code, round({LUMA} * 4095)::INT AS other FROM ({COARSE_SQL})) GROUP BY ALL"""
 SIGMA_SQL = f"""
-    WITH pairs AS ({PAIRS_SQL}), top AS (SELECT {KEY}, least(bin >> 8, 15)::INT AS peak_band FROM ({high_sql(FINE_SQL, 99.5)})),
+    WITH pairs AS ({PAIRS_SQL}), top AS (SELECT {KEY}, least(bin >> 8, 15)::INT AS peak_band FROM ({high_sql(COARSE_FINE_SQL, 99.5)})),
     merged AS (SELECT {KEY}, b.band, diff, sum(n)::BIGINT AS n FROM pairs p JOIN top USING (clip_id, frame_idx)
                JOIN (SELECT range::INT AS band FROM range(16)) b ON p.band IN (b.band, b.band - 1) WHERE b.band <= peak_band GROUP BY ALL),
     ranked AS (SELECT *, sum(n) OVER (PARTITION BY {KEY}, band ORDER BY diff) AS cum, sum(n) OVER (PARTITION BY {KEY}, band) AS total FROM merged),
@@ -263,8 +266,12 @@ SIGMA_SQL = f"""
     SELECT {KEY}, coalesce(max_by(med, band) / (sqrt(2) * 0.6745) / 4095.0::DOUBLE, 0.0) AS sigma_pq FROM top LEFT JOIN medians USING (clip_id, frame_idx) GROUP BY ALL"""
 
 
+def _coarse(spark, sf_dir):
+    return A.samples(spark, sf_dir).withColumn("frame_idx", F.expr("frame_idx div 30").cast("int"))
+
+
 def _pairs(spark, sf_dir):
-    leveled = measure.with_levels(A.samples(spark, sf_dir))
+    leveled = measure.with_levels(_coarse(spark, sf_dir))
     code, other = T.fine_bin("rgb"), T.fine_bin("luma")
     return leveled.groupBy(
         *FRAME,
@@ -275,7 +282,7 @@ def _pairs(spark, sf_dir):
 
 @query("e1_grain_sigma", f"SELECT {KEY}, round(sigma_pq, 8) AS sigma_pq FROM ({SIGMA_SQL})")
 def e1(spark, sf_dir):
-    fine = measure.fine_histogram(A.samples(spark, sf_dir))
+    fine = measure.fine_histogram(_coarse(spark, sf_dir))
     return grain.grain_sigma(_pairs(spark, sf_dir), fine).withColumn("sigma_pq", F.round("sigma_pq", 8))
 
 
@@ -343,9 +350,11 @@ def e6(spark, sf_dir):
 @query("e7_peak_stats", f"""
     SELECT r.clip_id, r.frame_idx, round(coalesce(h.bin, h.bottom) / 4095.0::DOUBLE, 6) AS selected_pq, round(raw_max_pq, 6) AS raw_max_pq,
            round(coalesce(h.bin, h.bottom) / 4095.0::DOUBLE, 6) AS percentile_pq, round(sigma_pq, 8) AS sigma_pq
-    FROM ({_RAW}) r JOIN ({high_sql(FINE_SQL, 99.99)}) h USING (clip_id, frame_idx) JOIN ({SIGMA_SQL}) s USING (clip_id, frame_idx)""")
+    FROM (SELECT {KEY}, max({RGB}) AS raw_max_pq FROM ({COARSE_SQL}) GROUP BY ALL) r JOIN ({high_sql(COARSE_FINE_SQL, 99.99)}) h USING (clip_id, frame_idx) JOIN ({SIGMA_SQL}) s USING (clip_id, frame_idx)""")
 def e7(spark, sf_dir):
-    fine, raw, _ = _tail_inputs(spark, sf_dir)
+    given = _coarse(spark, sf_dir)
+    raw = measure.frame_levels(given).select(*FRAME, F.col("max_rgb").alias("raw_max_pq"))
+    fine = measure.fine_histogram(given)
     stats = measure.peak_stats(fine, raw, _pairs(spark, sf_dir), "percentile")
     return stats.select(
         *FRAME, *[six(F.col(c), c) for c in ("selected_pq", "raw_max_pq", "percentile_pq")], F.round("sigma_pq", 8).alias("sigma_pq")
