@@ -157,7 +157,7 @@ def normal_survival(z: Column) -> Column:
 
 def _predicted_tail(support: Column) -> Column:
     threshold = F.greatest(expected_gaussian_max(support) - 2.0, F.lit(0.0))
-    return support.cast("double") * normal_survival(threshold)
+    return support.cast("double") * let(threshold, normal_survival)
 
 
 def support_count(tail: Column, total: Column) -> Column:

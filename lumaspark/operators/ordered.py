@@ -299,7 +299,7 @@ def greedy_cuts(
         ).otherwise(acc),
         lambda acc: acc["taken"],
     )
-    return chunks.select(*keys, F.explode(accepted).cast("int").alias(pos))
+    return chunks.select(*keys, F.explode(accepted).alias(pos)).withColumn(pos, F.col(pos).cast("int"))
 
 
 def limit_steps(
