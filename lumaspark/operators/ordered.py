@@ -137,45 +137,78 @@ def ema(
     weight: float,
     start: str = "first",
     chunk: int = CHUNK,
+    backward: dict[str, str] | None = None,
+    length: str | None = None,
 ) -> DataFrame:
     """Exponential average ``s = weight * x + (1 - weight) * s`` of dense series from position 0.
 
     ``start`` is ``"first"`` (the first value is taken as it is) or ``"zero"``.
+    ``backward`` maps columns to averages that run from the last row, ``length`` names the
+    column with the series length; both directions share one shuffle and one join.
+
     The recurrence is linear, so a chunk is one windowed sum of scaled values and
-    the part that comes from earlier chunks is added as a scaled carry.
+    the part that comes from the chunks before (or after) is added as a scaled carry.
     """
     keep = 1.0 - weight
+    backward = backward or {}
     if keep <= 0.0:
-        for source, name in columns.items():
+        for source, name in [*columns.items(), *backward.items()]:
             df = df.withColumn(name, F.col(source))
         return df
     size, lags = _ema_chunk(keep, chunk)
     k = F.col(pos) % size
-    chunked = df.withColumn("_chunk", _chunk_of(pos, size))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    grow, decay = F.pow(F.lit(keep), -k), F.pow(F.lit(keep), k)
-    local = chunked
+    # Distance to the chunk's last row; only the last chunk of a series is shorter.
+    back = F.least(F.lit(size), F.col(length) - F.col("_chunk") * size) - 1 - k if length else None
+    window = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    onward = window.rowsBetween(0, Window.unboundedFollowing)
+
+    def taken(source: str, at_start: Column) -> Column:
+        scaled = F.col(source) * F.lit(weight)
+        return F.when(at_start, F.col(source)).otherwise(scaled) if start == "first" else scaled
+
+    def power(n: Column) -> Column:
+        return F.pow(F.lit(keep), n)
+
+    local = df.withColumn("_chunk", _chunk_of(pos, size))
+    sums = {}
     for source, name in columns.items():
-        taken = F.col(source) * F.lit(weight)
-        if start == "first":
-            taken = F.when(F.col(pos) == 0, F.col(source)).otherwise(taken)
-        local = local.withColumn(f"_ema_{name}", F.sum(taken * grow).over(inside) * decay)
-    carried = [f"_ema_{name}" for name in columns.values()]
-    spans = F.explode(F.sequence(F.lit(1), F.lit(lags)))
-    factor = F.pow(F.lit(keep), (F.col("_ahead") - 1) * size)
+        value = taken(source, F.col(pos) == 0)
+        sums[f"_f_{name}"] = F.sum(value * power(-k)).over(upto) * power(k)
+    for source, name in backward.items():
+        value = taken(source, F.col(pos) == F.col(length) - 1)
+        sums[f"_b_{name}"] = F.sum(value * power(-back)).over(onward) * power(back)
+    local = local.withColumns(sums)
+    forward_names = [f"_f_{name}" for name in columns.values()]
+    backward_names = [f"_b_{name}" for name in backward.values()]
+    # One narrow row per chunk end, handed to the chunks it still matters to.
+    ends = local.where((k == size - 1) | (k == 0) if backward else k == size - 1).select(
+        *keys, "_chunk",
+        *[F.when(k == size - 1, F.col(c)).alias(c) for c in forward_names],
+        *[F.when(k == 0, F.col(c)).alias(c) for c in backward_names],
+    )
+    steps = F.sequence(F.lit(-lags if backward else 1), F.lit(lags))
+    factor = power((F.abs("_ahead") - 1) * size)
     carry = (
-        local.where(k == size - 1)
-        .select(*keys, "_chunk", *carried)
-        .withColumn("_ahead", spans)
+        ends.withColumn("_ahead", F.explode(steps))
+        .where(F.col("_ahead") != 0)
         .withColumn("_chunk", F.col("_chunk") + F.col("_ahead"))
         .groupBy(*keys, "_chunk")
-        .agg(*[F.sum(F.col(c) * factor).alias(f"{c}_in") for c in carried])
+        .agg(
+            *[F.sum(F.when(F.col("_ahead") > 0, F.col(c) * factor)).alias(f"{c}_in") for c in forward_names],
+            *[F.sum(F.when(F.col("_ahead") < 0, F.col(c) * factor)).alias(f"{c}_in") for c in backward_names],
+        )
     )
     joined = local.join(carry, [*keys, "_chunk"], "left")
-    for name in columns.values():
-        incoming = F.coalesce(F.col(f"_ema_{name}_in"), F.lit(0.0))
-        joined = joined.withColumn(name, F.col(f"_ema_{name}") + incoming * decay * F.lit(keep))
-    return joined.drop("_chunk", *carried, *[f"{c}_in" for c in carried])
+    nothing = F.lit(0.0)
+    out = {
+        name: F.col(f"_f_{name}") + F.coalesce(F.col(f"_f_{name}_in"), nothing) * power(k + 1)
+        for name in columns.values()
+    }
+    for name in backward.values():
+        out[name] = F.col(f"_b_{name}") + F.coalesce(F.col(f"_b_{name}_in"), nothing) * power(back + 1)
+    helpers = [*forward_names, *backward_names]
+    return joined.withColumns(out).drop("_chunk", *helpers, *[f"{c}_in" for c in helpers])
 
 
 def _look_up(state_map: Column, state: Column) -> Column:
@@ -303,35 +336,39 @@ def greedy_cuts(
 
 
 def limit_steps(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, max_step, chunk: int = CHUNK
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    name: str,
+    max_step: int,
+    chunk: int = CHUNK,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Follow an integer series with at most ``max_step`` per row; the first value is taken as it is.
 
-    ``max_step`` is a number or a column that is constant per row. States are the
-    whole numbers between the smallest and the largest value of the series.
+    States are the whole numbers within ``bounds``; where no bounds are known they are
+    measured per key. A value outside given bounds fails the job.
     Returns ``keys``, ``pos`` and ``name``.
     """
-    step = max_step if isinstance(max_step, Column) else F.lit(max_step)
-    rows = df.select(
-        *keys,
-        F.col(pos).cast("bigint").alias("_pos"),
-        F.col(value).cast("int").alias("_v"),
-        step.cast("int").alias("_d"),
-    )
+    given = F.col(value).cast("int")
+    if bounds is not None:
+        fine = given.between(*bounds) | given.isNull()
+        given = F.when(fine, given).otherwise(F.raise_error(F.lit(f"{value} lies outside {bounds}")).cast("int"))
+    row = F.struct(F.col(pos).cast("bigint").alias("at"), given.alias("v"))
     chunks = (
-        rows.withColumn("chunk", F.floor(F.col("_pos") / chunk).cast("bigint"))
+        df.select(*keys, _chunk_of(pos, chunk).alias("chunk"), row.alias("_row"))
         .groupBy(*keys, "chunk")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("at"), F.col("_v").alias("v"), F.col("_d").alias("d")))).alias("_rows"),
-            F.min("_v").alias("_low"),
-            F.max("_v").alias("_high"),
-        )
+        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     )
-    bounds = chunks.groupBy(*keys).agg(F.min("_low").alias("_lo"), F.max("_high").alias("_hi"))
-    chunks = chunks.drop("_low", "_high").join(bounds, list(keys))
+    if bounds is None:
+        ends = df.groupBy(*keys).agg(F.min(value).cast("int").alias("_lo"), F.max(value).cast("int").alias("_hi"))
+        chunks = chunks.join(ends, list(keys))
+    else:
+        chunks = chunks.withColumn("_lo", F.lit(bounds[0])).withColumn("_hi", F.lit(bounds[1]))
 
     def follow(p: Column, e: Column) -> Column:
-        return F.greatest(p - e["d"], F.least(p + e["d"], e["v"]))
+        return F.greatest(p - max_step, F.least(p + max_step, e["v"]))
 
     def run(state: Column) -> Column:
         return F.aggregate("_rows", state, follow)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import estimators as E
+from ..session import staged
 from .ordered import CHUNK, greedy_cuts, halo_window, hold_last, previous_row, running_count
 from .samples import FRAME
 
@@ -152,7 +153,9 @@ def detect_cuts(
     if metric not in SCENE_METRICS:
         raise ValueError(f"unknown scene metric {metric!r}")
     distances = histogram_distance(frames.select(*FRAME, "lum_hist"), rate).drop("lum_hist")
-    return accept_cuts(smooth_distance(distances, smoothing, rate), threshold, min_len)
+    smoothed = smooth_distance(distances, smoothing, rate).where(F.col("smoothed") > threshold)
+    # The fold reads the few candidates twice, so they are written once.
+    return accept_cuts(staged(smoothed.select(*FRAME, "smoothed"), "candidates"), threshold, min_len)
 
 
 def sort_cuts(cuts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import estimators as E
 from ..functions.transfer import clamp, pq_to_nits
+from ..session import staged
 from .ordered import CHUNK, ema, halo_window, limit_steps
 from .samples import FRAME
 from .smoothing import SCENE, scene_position
@@ -46,6 +47,12 @@ def profile_named(name: str) -> Profile:
         raise ValueError(f"unknown profile {name!r}; one of {', '.join(PROFILES)}") from None
 
 
+def target_bounds(profile: str) -> tuple[int, int]:
+    """Range of every raw target of a profile: no branch of the heuristic exceeds its largest limit."""
+    p = profile_named(profile)
+    return 0, max(p.extreme_peak, p.dark[1], p.medium[1], p.bright[1])
+
+
 def rolling_apl(placed: DataFrame, scenes: DataFrame, n: int = ROLLING_FRAMES, chunk: int = CHUNK) -> DataFrame:
     """Add ``scene_apl_nits`` and ``apl_nits`` (0.6 rolling mean + 0.4 scene mean).
 
@@ -92,11 +99,11 @@ def raw_target(df: DataFrame, profile: str = "balanced") -> DataFrame:
 
 def delta_limit(
     df: DataFrame, column: str, name: str, max_delta: int, reset_by: list[str] | None = None,
-    pos: str = "frame_idx", chunk: int = CHUNK,
+    pos: str = "frame_idx", chunk: int = CHUNK, bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Limit the change per frame; across scenes by default, restarting per key with ``reset_by``."""
     keys = reset_by or ["clip_id"]
-    limited = limit_steps(df, keys, pos, column, name, max_delta, chunk)
+    limited = limit_steps(df, keys, pos, column, name, max_delta, chunk, bounds)
     return df.join(limited, [*keys, pos])
 
 
@@ -106,6 +113,7 @@ def smooth_targets(
     two_way: bool = True,
     max_delta: int = DEFAULT_MAX_DELTA,
     chunk: int = CHUNK,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Forward and backward EMA of ``target_nits`` averaged, rounded and limited again per scene.
 
@@ -118,19 +126,18 @@ def smooth_targets(
         F.count(F.lit(1)).alias("_len"), F.count("target_nits").alias("_known")
     )
     series = (
-        placed.select(*SCENE, "frame_idx", "scene_pos", F.col("target_nits").cast("double").alias("_t"))
-        .join(facts, SCENE)
-        .where(F.col("_len") == F.col("_known"))
-        .withColumn("_back", F.col("_len") - 1 - F.col("scene_pos"))
+        placed.select(*SCENE, "scene_pos", F.col("target_nits").cast("double").alias("_t"))
+        .join(facts.where(F.col("_len") == F.col("_known")).drop("_known"), SCENE)
     )
-    smooth = ema(series, SCENE, "scene_pos", {"_t": "_f"}, alpha, "first", chunk)
     if two_way:
-        smooth = ema(smooth, SCENE, "_back", {"_t": "_b"}, alpha, "first", chunk)
+        smooth = ema(series, SCENE, "scene_pos", {"_t": "_f"}, alpha, "first", chunk, {"_t": "_b"}, "_len")
         value = (F.col("_f") + F.col("_b")) / 2.0
     else:
+        smooth = ema(series, SCENE, "scene_pos", {"_t": "_f"}, alpha, "first", chunk)
         value = F.col("_f")
-    wanted = smooth.withColumn("_want", clamp(F.round(value), 0.0, 65535.0).cast("int"))
-    limited = limit_steps(wanted, SCENE, "scene_pos", "_want", "_smooth", max_delta, chunk)
+    wanted = smooth.select(*SCENE, "scene_pos", clamp(F.round(value), 0.0, 65535.0).cast("int").alias("_want"))
+    # The limiter reads its input twice; the narrow table is written once instead of averaged twice.
+    limited = limit_steps(staged(wanted, "wanted"), SCENE, "scene_pos", "_want", "_smooth", max_delta, chunk, bounds)
     return (
         placed.join(limited, [*SCENE, "scene_pos"], "left")
         .withColumn("target_nits", F.coalesce("_smooth", "target_nits"))
@@ -150,7 +157,8 @@ def optimizer_pass(
         scenes,
     )
     ready = smooth_knee(rolling_apl(narrow, scenes, ROLLING_FRAMES, chunk), p.knee_window, chunk)
+    raw = staged(raw_target(ready, profile).select(*FRAME, "raw_target"), "raw-targets")
     limited = limit_steps(
-        raw_target(ready, profile), ["clip_id"], "frame_idx", "raw_target", "target_nits", p.max_delta, chunk
+        raw, ["clip_id"], "frame_idx", "raw_target", "target_nits", p.max_delta, chunk, target_bounds(profile)
     )
     return framed.drop("target_nits").join(limited, FRAME)

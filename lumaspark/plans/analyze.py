@@ -94,7 +94,7 @@ def analyze_frames(measured: DataFrame, o: Options, all_frames: DataFrame | None
     frames = measured
     if o.sample_rate > 1 and all_frames is not None:
         frames = SC.hold_analysed(all_frames, measured, o.sample_rate)
-    framed = SC.attach_scenes(frames.drop("scene_id"), cuts)
+    framed = staged(SC.attach_scenes(frames.drop("scene_id"), cuts), "framed")
     smoothed = smoothing.smoothing_pass(
         framed, None, o.hist_ema_beta, o.hist_median, o.peak_source,
         "luma" if o.transfer == "HLG" else o.domain, o.profile,
@@ -107,10 +107,13 @@ def analyze_frames(measured: DataFrame, o: Options, all_frames: DataFrame | None
         if o.target_smoother == "ema":
             # Targets are narrow: smooth them alone and join the histograms back once.
             narrow = staged(final.select("clip_id", "scene_id", "frame_idx", "target_nits"), "targets")
-            placed = smoothing.scene_position(narrow)
-            alpha = min(max(o.smoother_alpha, 0.0), 1.0)
-            limit = targets.profile_named(o.profile).max_delta
-            better = targets.smooth_targets(placed, alpha, o.smoother_two_way, limit)
+            better = targets.smooth_targets(
+                smoothing.scene_position(narrow),
+                min(max(o.smoother_alpha, 0.0), 1.0),
+                o.smoother_two_way,
+                targets.profile_named(o.profile).max_delta,
+                bounds=targets.target_bounds(o.profile),
+            )
             final = smoothed.drop("target_nits").join(
                 better.select("clip_id", "frame_idx", "target_nits"), ["clip_id", "frame_idx"]
             )
