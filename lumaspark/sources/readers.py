@@ -126,7 +126,9 @@ def parse_reference_lines(lines: DataFrame) -> DataFrame:
 
 def shot_starts(lines: DataFrame) -> DataFrame:
     """Numbered starts (clip_id, line, start) of shot-list lines (clip_id, line_no, value); blank lines go."""
-    numbers = lines.where(F.trim("value") != "").select("clip_id", "line_no", F.trim("value").cast("int").alias("start"))
+    text = F.trim("value")
+    # The cast is guarded as well: a filter may be evaluated after it.
+    numbers = lines.where(text != "").select("clip_id", "line_no", F.when(text != "", text.cast("int")).alias("start"))
     order = Window.partitionBy("clip_id").orderBy("line_no")
     return numbers.select("clip_id", (F.row_number().over(order) - 1).alias("line"), "start")
 
