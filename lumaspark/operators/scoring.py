@@ -138,7 +138,10 @@ def target_delta_p95(base: DataFrame, current: DataFrame) -> DataFrame:
 
 def delta_rows(joined: DataFrame, with_sidecar: bool) -> DataFrame:
     """Rows of the per-frame delta file in its two layouts."""
-    tenth = lambda c: F.format_string("%.1f", c)
+    def tenth(value):
+        # Ties go to the even digit, which the formatter alone would round up.
+        return F.format_string("%.1f", F.bround(value, 1))
+
     if with_sidecar:
         return joined.select(
             "clip_id", F.col("frame_idx").alias("frame"), "ref_min_pq", "our_min_pq", "ref_max_pq",

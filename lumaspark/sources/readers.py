@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.transfer import unpack_code
 from ..operators.checks import check_shots
-from ..operators.ordered import previous_row
+from ..operators.ordered import previous_row, running_count
 
 LAYOUTS = ("planar", "p010")
+LINES_PER_CHUNK = 8192
 
 
 def read_samples(
@@ -45,17 +46,22 @@ def planes_from_raw(
     interleaved, with the code in the high bits. The clip is the file's stem. The binary source
     reads a file as one value, so files are expected per clip segment.
     """
+    files = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("clip_id"), F.lit(0).alias("first_frame"), "content"
+    )
+    return planes_from_content(files, width, height, layout)
+
+
+def planes_from_content(files: DataFrame, width: int, height: int, layout: str = "planar") -> DataFrame:
+    """Planes of raw content rows (clip_id, first_frame, content)."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}")
     luma, site = width * height, (width // 2) * (height // 2)
     words = luma + 2 * site
-    files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("clip_id"), "content"
-    )
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for clip, content in zip(pdf["clip_id"], pdf["content"]):
+            for clip, start, content in zip(pdf["clip_id"], pdf["first_frame"], pdf["content"]):
                 raw = np.frombuffer(content, dtype="<u2")
                 count = len(raw) // words
                 for first in range(0, count, 8):
@@ -68,7 +74,7 @@ def planes_from_raw(
                             cb, cr = chroma[0::2], chroma[1::2]
                         else:
                             cb, cr = chroma[:site], chroma[site:]
-                        rows.append((clip, i, width, height, y, cb, cr))
+                        rows.append((clip, start + i, width, height, y, cb, cr))
                     yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "width", "height", "luma", "cb", "cr"])
 
     return files.mapInPandas(split, schemas.PLANES)
@@ -129,8 +135,8 @@ def shot_starts(lines: DataFrame) -> DataFrame:
     text = F.trim("value")
     # The cast is guarded as well: a filter may be evaluated after it.
     numbers = lines.where(text != "").select("clip_id", "line_no", F.when(text != "", text.cast("int")).alias("start"))
-    order = Window.partitionBy("clip_id").orderBy("line_no")
-    return numbers.select("clip_id", (F.row_number().over(order) - 1).alias("line"), "start")
+    counted = running_count(numbers, ["clip_id"], "line_no", F.lit(1), "line", LINES_PER_CHUNK)
+    return counted.select("clip_id", (F.col("line") - 1).cast("int").alias("line"), "start")
 
 
 def shots_from_starts(starts: DataFrame, counts: DataFrame, check: bool = True) -> DataFrame:
