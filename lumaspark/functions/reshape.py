@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .estimators import let
 from .transfer import clamp, col
 
 CONTAINER_SHIFT = 6  # 10-bit codes sit in the high bits of 16-bit words
@@ -40,54 +41,66 @@ def to_container(fixed: Column, denom: Column) -> Column:
 
 def poly_reshape(x16: Column, curve: Column, denom: Column) -> Column:
     """Piecewise polynomial: c0 + c1 x (+ c2 x^2 where the piece's order is at least 1)."""
-    x = F.shiftright(big(x16), CONTAINER_SHIFT)
-    piece = piece_for(x, curve)
-    coefs = F.get(piece["coefs"], 0)
+    x10 = F.shiftright(big(x16), CONTAINER_SHIFT)
     zero = F.lit(0).cast("bigint")
+    inputs = F.struct(
+        x10.alias("x"), piece_for(x10, curve).alias("piece"), denom.cast("int").alias("denom")
+    )
 
-    def c(i: int) -> Column:
-        return F.coalesce(F.get(coefs, i), zero)
+    def evaluate(s: Column) -> Column:
+        x, coefs = s["x"], F.get(s["piece"]["coefs"], 0)
 
-    quadratic = F.when(piece["ord"] >= 1, c(2) * x * x).otherwise(zero)
-    value = to_container(c(0) + c(1) * x + quadratic, denom)
-    return F.when((curve["kind"] == "polynomial") & (F.size(curve["pieces"]) > 0), value).otherwise(big(x16))
+        def c(i: int) -> Column:
+            return F.coalesce(F.get(coefs, i), zero)
+
+        quadratic = F.when(s["piece"]["ord"] >= 1, c(2) * x * x).otherwise(zero)
+        return to_container(c(0) + c(1) * x + quadratic, s["denom"])
+
+    active = (curve["kind"] == "polynomial") & (F.size(curve["pieces"]) > 0)
+    return F.when(active, let(inputs, evaluate)).otherwise(big(x16))
 
 
 def mmr_reshape(y16: Column, cb16: Column, cr16: Column, curve: Column, denom: Column) -> Column:
     """Multi-channel regression in up to three orders of luma and chroma terms."""
-    y, cb, cr = (F.shiftright(big(v), CONTAINER_SHIFT) for v in (y16, cb16, cr16))
-    piece = piece_for(y, curve)
+    codes = {n: F.shiftright(big(v), CONTAINER_SHIFT) for n, v in (("y", y16), ("cb", cb16), ("cr", cr16))}
     zero = F.lit(0).cast("bigint")
-
-    def down(value: Column) -> Column:
-        return shift_right(value, denom)
-
-    def terms(order: int, a: Column, b: Column, c_: Column) -> Column:
-        """Seven terms of one order; ``a``, ``b``, ``c_`` are that order's luma and chroma powers."""
-        coefs = F.get(piece["coefs"], order - 1)
-
-        def k(i: int) -> Column:
-            return F.coalesce(F.get(coefs, i), zero)
-
-        linear = k(0) * a + k(1) * b + k(2) * c_
-        cross = down(k(3) * a) * cb + down(k(4) * a) * cr + down(k(5) * b) * cr
-        if order == 1:
-            last = down(down(k(6) * a) * cb * cr)
-        else:
-            last = down(down(k(6) * a) * b)
-        total = linear + cross + last
-        return F.when(F.size(coefs) > 0, total).otherwise(zero)
-
-    def power(value: Column, order: int) -> Column:
-        squared = down(value * value)
-        return squared if order == 2 else down(squared * value)
-
-    first = terms(1, y, cb, cr)
-    second = F.when(piece["ord"] >= 2, terms(2, power(y, 2), power(cb, 2), power(cr, 2))).otherwise(zero)
-    third = F.when(piece["ord"] >= 3, terms(3, power(y, 3), power(cb, 3), power(cr, 3))).otherwise(zero)
-    value = to_container(piece["constant"] + first + second + third, denom)
-    is_mmr = (curve["kind"] == "mmr") & (F.size(curve["pieces"]) > 0)
-    return F.when(is_mmr, value).otherwise(big(cb16))
+    # The piece is looked up once per sample, not once per coefficient.
+    inputs = F.struct(
+        *[v.alias(n) for n, v in codes.items()],
+        piece_for(codes["y"], curve).alias("piece"),
+        denom.cast("int").alias("denom"),
+    )
+
+    def evaluate(s: Column) -> Column:
+        y, cb, cr, piece = s["y"], s["cb"], s["cr"], s["piece"]
+
+        def down(value: Column) -> Column:
+            return shift_right(value, s["denom"])
+
+        def terms(order: int, a: Column, b: Column, c: Column) -> Column:
+            """Seven terms of one order; ``a``, ``b``, ``c`` are that order's luma and chroma powers."""
+            coefs = F.get(piece["coefs"], order - 1)
+
+            def k(i: int) -> Column:
+                return F.coalesce(F.get(coefs, i), zero)
+
+            linear = k(0) * a + k(1) * b + k(2) * c
+            cross = down(k(3) * a) * cb + down(k(4) * a) * cr + down(k(5) * b) * cr
+            last = down(down(k(6) * a) * cb * cr) if order == 1 else down(down(k(6) * a) * b)
+            return F.when(F.size(coefs) > 0, linear + cross + last).otherwise(zero)
+
+        def power(value: Column, order: int) -> Column:
+            squared = down(value * value)
+            return squared if order == 2 else down(squared * value)
+
+        higher = [
+            F.when(piece["ord"] >= order, terms(order, *(power(v, order) for v in (y, cb, cr)))).otherwise(zero)
+            for order in (2, 3)
+        ]
+        return to_container(piece["constant"] + terms(1, y, cb, cr) + higher[0] + higher[1], s["denom"])
+
+    active = (curve["kind"] == "mmr") & (F.size(curve["pieces"]) > 0)
+    return F.when(active, let(inputs, evaluate)).otherwise(big(cb16))
 
 
 def fixed_point(whole: Column, fraction: Column, denom: Column) -> Column:

@@ -86,21 +86,28 @@ def words(column):
     return F.shiftleft(F.col(column), 6)
 
 
+def with_curve(samples, build):
+    """Curves are facts of a clip (or frame), so they come by a join and not per sample."""
+    clips = samples.select("clip_id").distinct().select("clip_id", build(no()).alias("curve"))
+    return samples.join(clips, "clip_id")
+
+
 @query("f19_poly_reshape", f"SELECT {', '.join(SAMPLE)}, {poly_sql('y')} AS v FROM ({_WIDE})")
 def f19(spark, sf_dir):
-    return A.samples(spark, sf_dir).select(*SAMPLE, R.poly_reshape(words("y_code"), poly_curve(no()), F.lit(23)).alias("v"))
+    shaped = R.poly_reshape(words("y_code"), F.col("curve"), F.lit(23))
+    return with_curve(A.samples(spark, sf_dir), poly_curve).select(*SAMPLE, shaped.alias("v"))
 
 
 @query("f20_mmr_reshape", f"SELECT {', '.join(SAMPLE)}, {mmr_sql('y', 'cb', 'cr')} AS v FROM ({_WIDE})")
 def f20(spark, sf_dir):
-    shaped = R.mmr_reshape(words("y_code"), words("cb_code"), words("cr_code"), mmr_curve(no()), F.lit(10))
-    return A.samples(spark, sf_dir).select(*SAMPLE, shaped.alias("v"))
+    shaped = R.mmr_reshape(words("y_code"), words("cb_code"), words("cr_code"), F.col("curve"), F.lit(10))
+    return with_curve(A.samples(spark, sf_dir), mmr_curve).select(*SAMPLE, shaped.alias("v"))
 
 
 @query("j11_piece_lookup", f"SELECT {', '.join(SAMPLE)}, CASE WHEN y < 600 THEN 0 ELSE 1 END AS ord, CASE WHEN y < 300 THEN 8388608 WHEN y < 600 THEN 8400953 ELSE 4194304 END::BIGINT AS slope FROM ({_WIDE})")
 def j11(spark, sf_dir):
-    found = R.piece_for(F.col("y_code"), poly_curve(no()))
-    return A.samples(spark, sf_dir).select(*SAMPLE, found["ord"].alias("ord"), F.get(F.get(found["coefs"], 0), 1).alias("slope"))
+    found = R.piece_for(F.col("y_code"), F.col("curve"))
+    return with_curve(A.samples(spark, sf_dir), poly_curve).select(*SAMPLE, found["ord"].alias("ord"), F.get(F.get(found["coefs"], 0), 1).alias("slope"))
 
 
 # The residual: offset 512, ten bits, slope and threshold grow with the clip number.
@@ -185,7 +192,7 @@ def exported(spark, sf_dir):
 
 @query("j12_composite_params", f"""
     SELECT clip_id, frame_idx, no = 3 OR frame_idx % 5 = 1 AS disabled, CASE WHEN no = 3 OR frame_idx % 5 = 1 THEN 0 ELSE (no + 1) * 1000 END::BIGINT AS slope, no != 3 AS active,
-           CASE WHEN no % 2 = 0 THEN no * 8388608 + 8388608 - 41943040 + 8400953 + 4194304 + 4097 ELSE 0 END::BIGINT AS luma_total, CASE WHEN no IN (1, 2) THEN no * 3072 - 7777 + 664 + 951 + 48 + 6 ELSE 0 END::BIGINT AS chroma_total, CASE WHEN no IN (1, 2) THEN 4 ELSE 0 END AS orders
+           CASE WHEN no % 2 = 0 THEN no * 8388608 + 8388608 - 41943040 + 8400953 + 4194304 + 4097 ELSE 0 END::BIGINT AS luma_total, CASE WHEN no IN (1, 2) THEN no * 3072 - 7777 + {sum(sum(row) for rows in (MMR_ROWS[0][:1], MMR_ROWS[1]) for row in rows)} ELSE 0 END::BIGINT AS chroma_total, CASE WHEN no IN (1, 2) THEN 4 ELSE 0 END AS orders
     FROM ({EXPORTED_SQL})""")
 def j12(spark, sf_dir):
     total = lambda c: F.aggregate(F.flatten(F.flatten(F.transform(c["pieces"], lambda p: p["coefs"]))), F.lit(0).cast("bigint"), lambda a, v: a + v)
@@ -201,11 +208,11 @@ _EL = "((code * 7 + idx) % 1024)"
 COMPOSITE_SQL = f"""
     WITH b AS MATERIALIZED ({BASE_SQL}), facts AS (SELECT {KEY}, max(idx) AS last FROM b WHERE plane = 0 GROUP BY ALL),
     placed AS (SELECT b.*, coalesce(l.code, 0) AS y, CASE WHEN b.plane = 1 THEN b.code ELSE c.code END AS cb, CASE WHEN b.plane = 1 THEN 512 ELSE b.code END AS cr, {NO.replace('clip_id', 'b.clip_id')} AS no,
-        least(b.frame_idx, 2) AS at, (b.code * 7 + b.idx) % 1024 AS el FROM b JOIN facts USING (clip_id, frame_idx)
+        least(b.frame_idx, 2) AS used, (b.code * 7 + b.idx) % 1024 AS el FROM b JOIN facts USING (clip_id, frame_idx)
       LEFT JOIN b l ON b.plane > 0 AND l.plane = 0 AND l.clip_id = b.clip_id AND l.frame_idx = b.frame_idx AND l.idx = least(b.idx * 4, last)
       LEFT JOIN b c ON b.plane = 2 AND c.plane = 1 AND c.clip_id = b.clip_id AND c.frame_idx = b.frame_idx AND c.idx = b.idx)
     SELECT {KEY}, plane, idx, (least(greatest((CASE WHEN plane = 0 AND no % 2 = 0 THEN {poly_sql('code', 'no')} WHEN plane > 0 AND no IN (1, 2) THEN {mmr_sql('y', 'cb', 'cr', 'no', 23)} ELSE code * 64 END
-        + CASE WHEN no = 3 OR at % 5 = 1 THEN 0 ELSE {deadzone_sql('el', 'no')} END + 32) >> 6, 0), 1023) * 64)::INT AS out16 FROM placed"""
+        + CASE WHEN no = 3 OR used % 5 = 1 THEN 0 ELSE {deadzone_sql('el', 'no')} END + 32) >> 6, 0), 1023) * 64)::INT AS out16 FROM placed"""
 
 
 @query("j8_composite", COMPOSITE_SQL)
