@@ -198,13 +198,18 @@ def measure_frames(
     if not (0.0 <= min_percentile <= 100.0 and 0.0 <= peak_percentile <= 100.0):
         raise ValueError("percentiles lie between 0 and 100")
     stats = pixel_stats(samples, transfer, hlg_peak, domain, crops)
+    return finish_frames(assemble(stats, min_percentile), peak_percentile, estimator, diffs)
+
+
+def assemble(stats: DataFrame, min_percentile: float = DEFAULT_MIN_PERCENTILE, keys: list[str] = FRAME) -> DataFrame:
+    """One row per frame from the rows of the pixel pass (bounded arrays of bins)."""
 
     def entries(kind: str) -> Column:
         pair = F.struct(F.col(kind).alias("bin"), F.col("n").alias("n"))
         return F.sort_array(F.collect_list(F.when(F.col(kind) >= 0, pair)))
 
     counted = F.col("lum_bin").isNotNull()
-    frames = stats.groupBy(*FRAME).agg(
+    frames = stats.groupBy(*keys).agg(
         F.sum(F.when(counted, F.col("n"))).alias("n"),
         F.sum(F.when(counted, F.col("luma_sum"))).alias("luma_sum"),
         F.sum(F.when(counted, F.col("rgb_sum"))).alias("rgb_sum"),
@@ -214,8 +219,8 @@ def measure_frames(
         entries("hue_bin").alias("hue_entries"),
     )
     hue_total = E.total_count(F.col("hue_entries"))
-    measured = frames.select(
-        *FRAME,
+    return frames.select(
+        *keys,
         "n",
         "raw_max_pq",
         F.least(F.col("luma_sum") / F.col("n"), F.lit(1.0)).alias("avg_pq"),
@@ -225,6 +230,12 @@ def measure_frames(
         E.let(hue_total, lambda total: dense(F.col("hue_entries"), total, T.HUE_BINS)).alias("hue_hist"),
         "fine_entries",
     )
+
+
+def finish_frames(
+    measured: DataFrame, peak_percentile: float, estimator: str, diffs: DataFrame | None = None
+) -> DataFrame:
+    """Add the estimator's peak and an empty target."""
     if estimator == "max":
         peak = F.col("raw_max_pq")
     elif estimator == "percentile":
