@@ -7,7 +7,7 @@ SAMPLES = (
 )
 PLANES = (
     "clip_id STRING, frame_idx INT, width INT, height INT, "
-    "luma ARRAY<INT>, cb ARRAY<INT>, cr ARRAY<INT>"
+    "luma ARRAY<SMALLINT>, cb ARRAY<SMALLINT>, cr ARRAY<SMALLINT>"
 )
 CLIPS = "clip_id STRING, width INT, height INT, transfer STRING, hlg_peak_nits DOUBLE, name STRING"
 RECT = "STRUCT<x: INT, y: INT, width: INT, height: INT>"

@@ -89,8 +89,8 @@ def samples_from_planes(planes: DataFrame) -> DataFrame:
     return planes.select(
         "clip_id", "frame_idx", "width", "cb", "cr", F.posexplode("luma").alias("i", "y_code")
     ).select(
-        "clip_id", "frame_idx", x.alias("x"), y.alias("y"), "y_code",
-        F.get("cb", site).alias("cb_code"), F.get("cr", site).alias("cr_code"),
+        "clip_id", "frame_idx", x.alias("x"), y.alias("y"), F.col("y_code").cast("int").alias("y_code"),
+        F.get("cb", site).cast("int").alias("cb_code"), F.get("cr", site).cast("int").alias("cr_code"),
     )
 
 

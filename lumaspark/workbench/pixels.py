@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import estimators as E
 from ..functions import transfer as T
-from ..operators import grain, measure, samples as S
+from ..operators import grain, measure, planes, samples as S
 from . import adapters as A
 from .registry import query
 from .scalars import six
@@ -385,3 +385,43 @@ def e8(spark, sf_dir):
         ON m.clip_id = med.clip_id AND m.frame_idx = med.frame_idx AND m.x = med.x AND m.y = med.y""")
 def w17(spark, sf_dir):
     return grain.median3(A.mosaic_luma(spark, sf_dir), A.mosaic_crops(spark, sf_dir))
+
+
+# The same measurement on stored planes ----------------------------------------------------
+def mosaic_planes(spark, sf_dir, repeat: int = 1):
+    """Planes of the mosaic, one row per frame; ``repeat`` stacks a frame on itself."""
+    given = A.mosaic(spark, sf_dir)
+
+    def ordered(name, wanted):
+        at = F.when(wanted, F.struct("y", "x", F.col(name).cast("smallint").alias("v")))
+        return F.flatten(F.array_repeat(F.transform(F.sort_array(F.collect_list(at)), lambda r: r["v"]), repeat))
+
+    site = (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)
+    return given.groupBy(*FRAME).agg(
+        F.lit(40).alias("width"), F.lit(40 * repeat).alias("height"),
+        ordered("y_code", F.lit(True)).alias("luma"), ordered("cb_code", site).alias("cb"), ordered("cr_code", site).alias("cr"),
+    )
+
+
+@query("measured_planes", f"""
+    SELECT m.*, round(coalesce(lo.bin, lo.top) / 4095.0::DOUBLE, 6) AS min_pq FROM
+      (SELECT {KEY}, count(*) AS n, round(max({RGB}), 6) AS peak_pq, round(avg({LUMA}), 6) AS avg_pq, round(avg({RGB}), 6) AS avg_max_rgb_pq FROM ({CROPPED_SQL}) GROUP BY ALL) m
+    JOIN ({low_sql(MOSAIC_FINE_SQL, 0.1)}) lo USING (clip_id, frame_idx)""")
+def measured_planes(spark, sf_dir):
+    frames = planes.measure_planes(mosaic_planes(spark, sf_dir), crops=A.mosaic_crops(spark, sf_dir))
+    return frames.select(*FRAME, "n", *[six(F.col(c), c) for c in ("peak_pq", "avg_pq", "avg_max_rgb_pq", "min_pq")])
+
+
+@query("a26_diff_histogram_planes", f"SELECT {KEY}, band, diff, count(*) AS n FROM ({DIFFS_SQL}) GROUP BY ALL")
+def a26_planes(spark, sf_dir):
+    return planes.plane_diffs(mosaic_planes(spark, sf_dir), crops=A.mosaic_crops(spark, sf_dir))
+
+
+@query("a2_hue_histogram_planes", f"""
+    SELECT {KEY}, bin, n FROM (SELECT l.clip_id, frame_idx, {A.sql_hue_bin()} AS bin, count(*) AS n
+      FROM ({A.MOSAIC_SQL}) l JOIN ({A.MOSAIC_CROPS_SQL}) c ON l.clip_id = c.clip_id
+      WHERE x % 2 = 0 AND y % 2 = 0 AND x // 2 >= rx // 2 AND x // 2 < rx // 2 + rw // 2 AND y // 2 >= ry // 2 AND y // 2 < ry // 2 + rh // 2
+      GROUP BY ALL) WHERE bin IS NOT NULL""")
+def a2_planes(spark, sf_dir):
+    stats = planes.plane_stats(mosaic_planes(spark, sf_dir), crops=A.mosaic_crops(spark, sf_dir))
+    return stats.where(F.col("hue_bin").isNotNull()).groupBy(*FRAME, F.col("hue_bin").alias("bin")).agg(F.sum("n").alias("n"))
