@@ -26,7 +26,9 @@ STATS = (
     "luma_sum DOUBLE, rgb_sum DOUBLE, luma_max DOUBLE, rgb_max DOUBLE, peak_max DOUBLE"
 )
 DIFFS = "clip_id STRING, frame_idx INT, band INT, diff INT, n BIGINT"
-ROWS_AT_ONCE = 64  # luma rows per step, so that the working set stays in cache
+FINE_TOP = float(T.FINE_BINS - 1)
+CODE_STEP = FINE_TOP / T.LUMA_RANGE  # fine bins per luma code
+SAMPLES_AT_ONCE = 1 << 16  # per step, so that the working set stays in cache
 
 
 def _tables(transfer: str, hlg_peak: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,14 +72,20 @@ def _fine(pq: np.ndarray) -> np.ndarray:
     return (pq * (T.FINE_BINS - 1) + 0.5).astype(np.int64)
 
 
+def codes_of(plane) -> np.ndarray:
+    """Codes of a plane, packed words or an array."""
+    if isinstance(plane, (bytes, bytearray, memoryview)):
+        return np.frombuffer(plane, dtype="<u2")
+    return np.asarray(plane)
+
+
 class _Strip:
     """One planes row cut to its crop."""
 
     def __init__(self, row, rect) -> None:
         width = int(row.width)
-        self.luma = np.asarray(row.luma).reshape(-1, width)
-        half = (width + 1) // 2
-        self.cb, self.cr = (np.asarray(p).reshape(-1, half) for p in (row.cb, row.cr))
+        self.luma = codes_of(row.luma).reshape(-1, width)
+        self.cb, self.cr = (codes_of(p).reshape(-1, (width + 1) // 2) for p in (row.cb, row.cr))
         row0 = int(getattr(row, "row0", 0))
         x, y, w, h = rect if rect is not None else (0, 0, width, row0 + len(self.luma))
         self.left, self.right = x, min(x + w, width)
@@ -89,8 +97,9 @@ class _Strip:
 
     def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Luma codes and the lift of their sites, a few rows at a time."""
-        for first in range(self.top - self.top % 2, self.bottom, ROWS_AT_ONCE):
-            low, high = max(first, self.top), min(first + ROWS_AT_ONCE, self.bottom)
+        rows_at_once = max(SAMPLES_AT_ONCE // self.luma.shape[1] // 2 * 2, 2)
+        for first in range(self.top - self.top % 2, self.bottom, rows_at_once):
+            low, high = max(first, self.top), min(first + rows_at_once, self.bottom)
             codes = self.luma[low:high, self.left:self.right]
             rows = slice(low // 2, (high + 1) // 2)
             lift = chroma_lift(self.cb[rows], self.cr[rows])
@@ -107,7 +116,7 @@ def plane_stats(
     in_luma = hlg or domain == "luma"
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signal, luma, lum_bins = _tables(transfer, hlg_peak)
+        _signal, luma, lum_bins = _tables(transfer, hlg_peak)
         hues = _hue_table()
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -118,11 +127,15 @@ def plane_stats(
                 for y, lift in strip.steps():
                     codes += np.bincount(y.ravel(), minlength=1024)
                     if not hlg:
-                        rgb = np.clip(signal[y] + lift, 0.0, 1.0)
-                        rgb_sum += float(rgb.sum())
-                        rgb_max = max(rgb_max, float(rgb.max(initial=0.0)))
+                        # In units of a fine bin, so that the bin is one addition away.
+                        rgb = y * CODE_STEP
+                        rgb += lift * FINE_TOP - T.BLACK_CODE * CODE_STEP
+                        np.clip(rgb, 0.0, FINE_TOP, out=rgb)
+                        rgb_sum += float(rgb.sum()) / FINE_TOP
+                        rgb_max = max(rgb_max, float(rgb.max(initial=0.0)) / FINE_TOP)
                         if not in_luma:
-                            fine += np.bincount(_fine(rgb).ravel(), minlength=T.FINE_BINS)
+                            rgb += 0.5
+                            fine += np.bincount(rgb.astype(np.intp).ravel(), minlength=T.FINE_BINS)
                 used = np.flatnonzero(codes)
                 n = int(codes.sum())
                 if n == 0:
@@ -135,20 +148,21 @@ def plane_stats(
                 by_bin = np.bincount(lum_bins, weights=codes, minlength=T.LUM_BINS).astype(np.int64)
                 sector = hues[strip.cb[strip.sites], strip.cr[strip.sites]]
                 hue = np.bincount(sector[sector >= 0].ravel(), minlength=T.HUE_BINS)
-                parts = [(name, np.flatnonzero(c), c) for name, c in (("lum_bin", by_bin), ("fine_bin", fine), ("hue_bin", hue))]
-                frames = []
-                for name, bins, counts in parts:
-                    frame = pd.DataFrame({"n": counts[bins]})
-                    for column in ("lum_bin", "fine_bin", "hue_bin"):
-                        frame[column] = pd.array(bins if column == name else [None] * len(bins), dtype="Int32")
-                    frames.append(frame)
-                out = pd.concat(frames, ignore_index=True)
+                counts = (by_bin, fine, hue)
+                bins = [np.flatnonzero(c) for c in counts]
+                kind = np.repeat(np.arange(3), [len(b) for b in bins])
+                every = np.concatenate(bins).astype(np.int32)
+                slots = {
+                    name: pd.arrays.IntegerArray(every, kind != i) for i, name in enumerate(("lum_bin", "fine_bin", "hue_bin"))
+                }
                 # Sums belong to the frame: they ride on the first luma row, the rest adds nothing.
-                out["luma_sum"], out["rgb_sum"] = 0.0, 0.0
-                out.loc[0, ["luma_sum", "rgb_sum"]] = luma_sum, rgb_sum
-                out["luma_max"], out["rgb_max"] = luma_max, rgb_max
-                out["peak_max"] = luma_max if in_luma else rgb_max
-                out["clip_id"], out["frame_idx"] = row.clip_id, row.frame_idx
+                first = (np.arange(len(every)) == 0).astype(float)
+                out = pd.DataFrame({
+                    "clip_id": row.clip_id, "frame_idx": row.frame_idx, **slots,
+                    "n": np.concatenate([c[b] for c, b in zip(counts, bins)]),
+                    "luma_sum": first * luma_sum, "rgb_sum": first * rgb_sum, "luma_max": luma_max, "rgb_max": rgb_max,
+                    "peak_max": luma_max if in_luma else rgb_max,
+                })
                 yield out
 
     return _with_rects(planes, crops).mapInPandas(reduce, STATS)

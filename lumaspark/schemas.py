@@ -5,9 +5,11 @@ from __future__ import annotations
 SAMPLES = (
     "clip_id STRING, frame_idx INT, x INT, y INT, y_code INT, cb_code INT, cr_code INT"
 )
+# Planes are packed 16-bit little-endian words: a binary value moves to a task as one block,
+# an array would be converted element by element.
 PLANES = (
     "clip_id STRING, frame_idx INT, width INT, height INT, "
-    "luma ARRAY<SMALLINT>, cb ARRAY<SMALLINT>, cr ARRAY<SMALLINT>"
+    "luma BINARY, cb BINARY, cr BINARY"
 )
 CLIPS = "clip_id STRING, width INT, height INT, transfer STRING, hlg_peak_nits DOUBLE, name STRING"
 RECT = "STRUCT<x: INT, y: INT, width: INT, height: INT>"

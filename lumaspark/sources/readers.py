@@ -12,10 +12,12 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.transfer import unpack_code
 from ..operators.checks import check_shots
+from ..operators.planes import codes_of
 from ..operators.ordered import previous_row, running_count
 
 LAYOUTS = ("planar", "p010")
 LINES_PER_CHUNK = 8192
+PLANE_COLUMNS = ["clip_id", "frame_idx", "width", "height", "luma", "cb", "cr"]
 
 
 def read_samples(
@@ -64,34 +66,35 @@ def planes_from_content(files: DataFrame, width: int, height: int, layout: str =
             for clip, start, content in zip(pdf["clip_id"], pdf["first_frame"], pdf["content"]):
                 raw = np.frombuffer(content, dtype="<u2")
                 count = len(raw) // words
-                for first in range(0, count, 8):
-                    rows = []
-                    for i in range(first, min(first + 8, count)):
-                        frame = raw[i * words:(i + 1) * words].astype(np.int32)
-                        frame = (frame >> 6) & 1023 if layout == "p010" else frame & 1023
-                        y, chroma = frame[:luma], frame[luma:]
-                        if layout == "p010":
-                            cb, cr = chroma[0::2], chroma[1::2]
-                        else:
-                            cb, cr = chroma[:site], chroma[site:]
-                        rows.append((clip, start + i, width, height, y, cb, cr))
-                    yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "width", "height", "luma", "cb", "cr"])
+                for i in range(count):
+                    frame = raw[i * words:(i + 1) * words]
+                    frame = (frame >> 6) & 1023 if layout == "p010" else frame & 1023
+                    y, chroma = frame[:luma], frame[luma:]
+                    cb, cr = (chroma[0::2], chroma[1::2]) if layout == "p010" else (chroma[:site], chroma[site:])
+                    planes = [p.astype("<u2").tobytes() for p in (y, cb, cr)]
+                    yield pd.DataFrame([(clip, start + i, width, height, *planes)], columns=PLANE_COLUMNS)
 
     return files.mapInPandas(split, schemas.PLANES)
 
 
 def samples_from_planes(planes: DataFrame) -> DataFrame:
     """Long samples of planes; each luma sample gets the codes of its chroma site."""
-    y_row = F.floor(F.col("i") / F.col("width"))
-    x = (F.col("i") % F.col("width")).cast("int")
-    y = y_row.cast("int")
-    site = (F.floor(y / 2) * F.floor(F.col("width") / 2) + F.floor(x / 2)).cast("int")
-    return planes.select(
-        "clip_id", "frame_idx", "width", "cb", "cr", F.posexplode("luma").alias("i", "y_code")
-    ).select(
-        "clip_id", "frame_idx", x.alias("x"), y.alias("y"), F.col("y_code").cast("int").alias("y_code"),
-        F.get("cb", site).cast("int").alias("cb_code"), F.get("cr", site).cast("int").alias("cr_code"),
-    )
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                width = int(row.width)
+                luma = codes_of(row.luma).reshape(-1, width)
+                sites = [codes_of(p).reshape(-1, (width + 1) // 2) for p in (row.cb, row.cr)]
+                columns = np.arange(width)
+                # Row by row: an output batch stays as small as one line of the picture.
+                for y, codes in enumerate(luma):
+                    yield pd.DataFrame({
+                        "clip_id": row.clip_id, "frame_idx": row.frame_idx, "x": columns, "y": y, "y_code": codes,
+                        "cb_code": sites[0][y // 2][columns // 2], "cr_code": sites[1][y // 2][columns // 2],
+                    })
+
+    return planes.mapInPandas(spread, schemas.SAMPLES)
 
 
 def unpack_words(raw: DataFrame, layout: str) -> DataFrame:

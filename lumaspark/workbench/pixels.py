@@ -392,14 +392,18 @@ def mosaic_planes(spark, sf_dir, repeat: int = 1):
     """Planes of the mosaic, one row per frame; ``repeat`` stacks a frame on itself."""
     given = A.mosaic(spark, sf_dir)
 
-    def ordered(name, wanted):
-        at = F.when(wanted, F.struct("y", "x", F.col(name).cast("smallint").alias("v")))
-        return F.flatten(F.array_repeat(F.transform(F.sort_array(F.collect_list(at)), lambda r: r["v"]), repeat))
+    def packed(name, wanted):
+        """Little-endian words in row order."""
+        code = F.col(name)
+        word = F.concat(F.lpad(F.hex(code % 256), 2, "0"), F.lpad(F.hex(F.shiftright(code, 8)), 2, "0"))
+        at = F.when(wanted, F.struct("y", "x", word.alias("v")))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda r: r["v"]), "")
+        return F.unhex(F.repeat(text, F.lit(repeat)))
 
     site = (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)
     return given.groupBy(*FRAME).agg(
         F.lit(40).alias("width"), F.lit(40 * repeat).alias("height"),
-        ordered("y_code", F.lit(True)).alias("luma"), ordered("cb_code", site).alias("cb"), ordered("cr_code", site).alias("cr"),
+        packed("y_code", F.lit(True)).alias("luma"), packed("cb_code", site).alias("cb"), packed("cr_code", site).alias("cr"),
     )
 
 
