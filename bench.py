@@ -59,7 +59,9 @@ def main() -> None:
     queries = {name: timed(lambda name=name: drop(registry.QUERIES[name](spark, sf_dir))) for name in names}
     rates = {}
     if not sys.argv[1:]:
+        # Frames are large: few per Arrow batch, and splits small enough to fill every core.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "6m")
         path = f"{stage_dir(spark)}/bench-planes-{uuid.uuid4().hex}"
         pixels.mosaic_planes(spark, sf_dir, STACK).repartition(cpus * 3).write.parquet(path)
         stored = spark.read.parquet(path)

@@ -165,7 +165,13 @@ def plane_stats(
                 })
                 yield out
 
-    return _with_rects(planes, crops).mapInPandas(reduce, STATS)
+    stats = _with_rects(planes, crops).mapInPandas(reduce, STATS)
+    if "row0" not in planes.columns:
+        return stats
+    # Strips of a frame share bins: add them up, on the map side first.
+    sums = [F.sum(c).alias(c) for c in ("n", "luma_sum", "rgb_sum")]
+    tops = [F.max(c).alias(c) for c in ("luma_max", "rgb_max", "peak_max")]
+    return stats.groupBy(*FRAME, "lum_bin", "fine_bin", "hue_bin").agg(*sums, *tops)
 
 
 def _with_rects(planes: DataFrame, crops: DataFrame | None) -> DataFrame:

@@ -27,7 +27,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "lumas
 
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
