@@ -257,8 +257,9 @@ COARSE_FINE_SQL = f"SELECT {KEY}, {RGB_CODE} AS bin, count(*) AS n FROM ({COARSE
 PAIRS_SQL = f"""
     SELECT {KEY}, least(greatest(code, other) >> 8, 15)::INT AS band, least(abs(code - other) // 32, 63)::INT AS diff, count(*) AS n FROM (
       SELECT {KEY}, {RGB_CODE} AS code, round({LUMA} * 4095)::INT AS other FROM ({COARSE_SQL})) GROUP BY ALL"""
-SIGMA_SQL = f"""
-    WITH pairs AS ({PAIRS_SQL}), top AS (SELECT {KEY}, least(bin >> 8, 15)::INT AS peak_band FROM ({high_sql(COARSE_FINE_SQL, 99.5)})),
+def sigma_sql(pairs: str, fine: str) -> str:
+    return f"""
+    WITH pairs AS ({pairs}), top AS (SELECT {KEY}, least(bin >> 8, 15)::INT AS peak_band FROM ({high_sql(fine, 99.5)})),
     merged AS (SELECT {KEY}, b.band, diff, sum(n)::BIGINT AS n FROM pairs p JOIN top USING (clip_id, frame_idx)
                JOIN (SELECT range::INT AS band FROM range(16)) b ON p.band IN (b.band, b.band - 1) WHERE b.band <= peak_band GROUP BY ALL),
     ranked AS (SELECT *, sum(n) OVER (PARTITION BY {KEY}, band ORDER BY diff) AS cum, sum(n) OVER (PARTITION BY {KEY}, band) AS total FROM merged),
@@ -266,6 +267,9 @@ SIGMA_SQL = f"""
     SELECT {KEY}, coalesce(max_by(med, band) / (sqrt(2) * 0.6745) / 4095.0::DOUBLE, 0.0) AS sigma_pq FROM top LEFT JOIN medians USING (clip_id, frame_idx) GROUP BY ALL"""
 
 
+SIGMA_SQL = sigma_sql(PAIRS_SQL, COARSE_FINE_SQL)
+
+
 def _coarse(spark, sf_dir):
     return A.samples(spark, sf_dir).withColumn("frame_idx", F.expr("frame_idx div 30").cast("int"))
 
@@ -288,10 +292,17 @@ def e1(spark, sf_dir):
 
 _RAW = f"SELECT {KEY}, max({RGB}) AS raw_max_pq FROM ({A.SAMPLES_SQL}) GROUP BY ALL"
 _SIGMA = "((frame_idx % 7) * 0.004::DOUBLE)"
-TAIL_SQL = f"""
-    SELECT {KEY}, raw_max_pq, {_SIGMA} AS sigma_pq, sum(n)::BIGINT AS total,
-           coalesce(sum(CASE WHEN bin >= round(least(greatest(raw_max_pq - 2 * {_SIGMA}, 0), 1) * 4095) THEN n END), 0)::BIGINT AS n_eff
-    FROM ({FINE_SQL}) JOIN ({_RAW}) USING (clip_id, frame_idx) GROUP BY ALL"""
+
+
+def tail_sql(fine: str, raw: str) -> str:
+    """Tail counts; ``raw`` has raw_max_pq and sigma_pq."""
+    return f"""
+    SELECT {KEY}, raw_max_pq, sigma_pq, sum(n)::BIGINT AS total,
+           coalesce(sum(CASE WHEN bin >= round(least(greatest(raw_max_pq - 2 * sigma_pq, 0), 1) * 4095) THEN n END), 0)::BIGINT AS n_eff
+    FROM ({fine}) JOIN ({raw}) USING (clip_id, frame_idx) GROUP BY ALL"""
+
+
+TAIL_SQL = tail_sql(FINE_SQL, f"SELECT *, {_SIGMA} AS sigma_pq FROM ({_RAW})")
 
 
 def _tail_inputs(spark, sf_dir):
@@ -320,9 +331,10 @@ def _tail_of_sql(n: str) -> str:
 
 
 # The predicted tail grows with the support, so the bisection finds the smallest support that reaches it.
-SUPPORT_SQL = f"""
+def support_sql(tails: str) -> str:
+    return f"""
     WITH RECURSIVE bis AS (
-      SELECT {KEY}, n_eff, greatest(n_eff, 2) AS low, greatest(total, n_eff, 2) AS high FROM ({TAIL_SQL})
+      SELECT {KEY}, n_eff, greatest(n_eff, 2) AS low, greatest(total, n_eff, 2) AS high FROM ({tails})
       UNION ALL
       SELECT {KEY}, n_eff, CASE WHEN {_tail_of_sql('(low + (high - low) // 2)')} < n_eff THEN low + (high - low) // 2 + 1 ELSE low END,
              CASE WHEN {_tail_of_sql('(low + (high - low) // 2)')} < n_eff THEN high ELSE low + (high - low) // 2 END
@@ -330,6 +342,9 @@ SUPPORT_SQL = f"""
     SELECT {KEY}, (CASE WHEN n_eff <= 1 THEN n_eff ELSE low END)::BIGINT AS support FROM bis WHERE low >= high"""
 
 
+SUPPORT_SQL = support_sql(TAIL_SQL)
+
+
 @query("e5_support_count", SUPPORT_SQL)
 def e5(spark, sf_dir):
     fine, raw, sigma = _tail_inputs(spark, sf_dir)
@@ -338,11 +353,15 @@ def e5(spark, sf_dir):
     return tails.join(totals, FRAME).select(*FRAME, E.support_count(F.col("n_eff"), F.col("total")).alias("support"))
 
 
-@query("e6_robust_peak", f"""
-    SELECT t.clip_id, t.frame_idx, round(CASE WHEN sigma_pq < 0.25 / 4095 OR n_eff <= 1 THEN raw_max_pq ELSE
+def robust_sql(fine: str, tails: str) -> str:
+    return f"""
+    SELECT t.clip_id, t.frame_idx, raw_max_pq, sigma_pq, n_eff, h.bin / 4095.0::DOUBLE AS percentile_pq, CASE WHEN sigma_pq < 0.25 / 4095 OR n_eff <= 1 THEN raw_max_pq ELSE
         least(greatest(raw_max_pq - least(sigma_pq * {_expected_sql('support')}, 4 * sigma_pq),
-                       least(greatest(h.bin / 4095.0::DOUBLE - 3.719016485455709::DOUBLE * sigma_pq, 0), raw_max_pq)), raw_max_pq) END, 6) AS robust_pq
-    FROM ({TAIL_SQL}) t JOIN ({SUPPORT_SQL}) s USING (clip_id, frame_idx) JOIN ({high_sql(FINE_SQL, 99.99)}) h USING (clip_id, frame_idx)""")
+                       least(greatest(h.bin / 4095.0::DOUBLE - 3.719016485455709::DOUBLE * sigma_pq, 0), raw_max_pq)), raw_max_pq) END AS robust_pq
+    FROM ({tails}) t JOIN ({support_sql(tails)}) s USING (clip_id, frame_idx) JOIN ({high_sql(fine, 99.99)}) h USING (clip_id, frame_idx)"""
+
+
+@query("e6_robust_peak", f"SELECT {KEY}, round(robust_pq, 6) AS robust_pq FROM ({robust_sql(FINE_SQL, TAIL_SQL)})")
 def e6(spark, sf_dir):
     return grain.robust_peak(*_tail_inputs(spark, sf_dir)).withColumn("robust_pq", F.round("robust_pq", 6))
 
@@ -361,10 +380,21 @@ def e7(spark, sf_dir):
     )
 
 
-@query("e7_peak_stats_robust")
+_MOSAIC_TAILS = tail_sql(
+    MOSAIC_FINE_SQL,
+    f"SELECT * FROM (SELECT {KEY}, max({RGB}) AS raw_max_pq FROM ({CROPPED_SQL}) GROUP BY ALL) JOIN ({sigma_sql(f'SELECT {KEY}, band, diff, count(*) AS n FROM ({DIFFS_SQL}) GROUP BY ALL', MOSAIC_FINE_SQL)}) USING (clip_id, frame_idx)",
+)
+
+
+@query("e7_peak_stats_robust", f"""
+    SELECT {KEY}, round(robust_pq, 6) AS selected_pq, round(raw_max_pq, 6) AS raw_max_pq, round(percentile_pq, 6) AS percentile_pq, round(sigma_pq, 8) AS sigma_pq, round(raw_max_pq - robust_pq, 6) AS correction_pq, n_eff
+    FROM ({robust_sql(MOSAIC_FINE_SQL, _MOSAIC_TAILS)})""")
 def e7_robust(spark, sf_dir):
     fine, diffs, raw = _mosaic_parts(spark, sf_dir)
-    return measure.peak_stats(fine, raw, diffs, "robust")
+    stats = measure.peak_stats(fine, raw, diffs, "robust")
+    return stats.select(
+        *FRAME, *[six(F.col(c), c) for c in ("selected_pq", "raw_max_pq", "percentile_pq", "correction_pq")], F.round("sigma_pq", 8).alias("sigma_pq"), "n_eff"
+    )
 
 
 @query("e8_peak_domain", """

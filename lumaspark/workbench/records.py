@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
@@ -485,17 +485,16 @@ def s15(spark, sf_dir):
     return catalog.list_catalog(paths(spark, sf_dir)).select("path", "season", "episode")
 
 
-# Here the text before the number decides, then the number: two plain keys stand for the natural one.
+_PIECE = "regexp_replace(piece, '^0+(.)', '\\1')"
+_PIECE_KEY = f"CASE WHEN regexp_matches(piece, '^[0-9]') THEN '0' || lpad(length({_PIECE})::VARCHAR, 4, '0') || {_PIECE} || lpad(length(piece)::VARCHAR, 4, '0') ELSE piece END"
+
+
 @query("o3_natural_order", f"""
-    SELECT path, row_number() OVER (ORDER BY season, episode, CASE WHEN film THEN nr ELSE 0 END, n2, length(path), path)::INT AS place FROM (
-      SELECT *, p % 4 >= 2 AS film, CASE WHEN p % 4 = 2 THEN 10 ELSE 9 END AS nr, CASE WHEN p % 4 >= 2 THEN p % 300 ELSE 0 END AS n2 FROM (
-        SELECT p, path, CASE WHEN p % 4 < 2 THEN p_size % 4 + 1 ELSE 4294967295 END AS season, CASE WHEN p % 4 < 2 THEN p % 200 ELSE 4294967295 END AS episode
-        FROM ({PATHS_SQL}) JOIN part ON p_partkey = p)) WHERE ends_with(path, '.mkv') AND NOT ends_with(path, '.DV.mkv') AND NOT contains(path, '_temp_')""")
+    SELECT path, array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda piece: {_PIECE_KEY}), '') AS natural_key
+    FROM ({PATHS_SQL}) WHERE ends_with(path, '.mkv') AND NOT ends_with(path, '.DV.mkv') AND NOT contains(path, '_temp_')""")
 def o3(spark, sf_dir):
     listed = catalog.list_catalog(S.skip_converted(paths(spark, sf_dir)))
-    ordered = catalog.natural_order(listed)
-    place = F.row_number().over(Window.orderBy("season", "episode", "natural_key", "path"))
-    return ordered.withColumn("place", place).select("path", "place")
+    return catalog.natural_order(listed).select("path", "natural_key")
 
 
 FILES_SQL = "SELECT p_partkey AS p, 'd' || (p_partkey % 50) || '/' AS dir, 'Film ' || p_partkey AS stem FROM part"
