@@ -26,10 +26,9 @@ from lumaspark.session import local_session, stage_dir, staged  # noqa: E402
 from lumaspark.workbench import adapters as A, ordered as W, pixels, registry  # noqa: E402
 
 HEADLINES = (
-    "measured_frames", "a1_lum_histogram", "a3_fine_histogram", "w10_cross_quad_diffs", "w17_median3", "c1_detect_crop", "e6_robust_peak",
-    "w1_histogram_distance", "w4_accept_cuts", "w9_smoothing_pass", "w14_delta_limit", "w15_smooth_targets", "w18_optimizer_pass",
-    "a13_max_cll", "a17_scene_l1", "a19_error_stats", "a22_health_report", "m4_static_metadata", "j8_composite", "f20_mmr_reshape",
-    "flagship_headers", "flagship_targets",
+    "measured_frames", "a1_lum_histogram", "w10_cross_quad_diffs", "w17_median3", "c1_detect_crop", "e6_robust_peak",
+    "w1_histogram_distance", "w4_accept_cuts", "w9_smoothing_pass", "w14_delta_limit", "w15_smooth_targets",
+    "a13_max_cll", "a17_scene_l1", "a19_error_stats", "a22_health_report", "m4_static_metadata", "j8_composite", "flagship_targets",
 )
 RUNS = 2
 STACK = 5184  # 40 x 40 mosaics stacked to the sample count of a 3840 x 2160 frame
