@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bayes_join, ecoc_language, mixing, pigeonhole, secrets
+from . import bayes_join, debruijn, ecoc_language, fertility, mixing, pigeonhole, secrets, warc
 from .tasks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "expected", "copies")
 
 
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "piece_chars", "byte_chars", "fallback", "entropy", "reasons",
+    )
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -41,17 +49,39 @@ def op7_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = debruijn.remove(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as whole-file streams, normalised, and read back by the sidecars."""
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(warc.index(warc.normalise(archives))).withColumnRenamed("id", "page_id")
+
+
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
 
 
 def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = ecoc_language.held_out(F.col("doc_id"), LANGUAGE_FOLDS, LANGUAGE_HELD_OUT)
+    held = ecoc_language.held_out(F.col("doc_id"), def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = debruijn.remove(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as whole-file streams, normalised, and read back by the sidecars."""
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(warc.index(warc.normalise(archives))).withColumnRenamed("id", "page_id")
+
+
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT)
     model = ecoc_language.train(docs.where(~held))
     return ecoc_language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_to_targets, op4_secret_scan, op6_bayes_jaccard, op7_pigeonhole_leaks, op10_ecoc_language)
+    f.__name__: f for f in (op1_mix_to_targets, op3_tokeniser_fertility, op4_secret_scan, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language)
 }
 ORACLES: dict[str, str] = {}
