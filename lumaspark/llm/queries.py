@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bayes_join, debruijn, ecoc_language, fertility, mixing, pigeonhole, secrets, warc
+from . import bayes_join, debruijn, ecoc_language, fertility, maxent, mixing, pigeonhole, secrets, url_lists, warc
 from .tasks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,66 @@ def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "expected", "copies")
 
 
+# The pages have no fetch time and there is no list: both come from the pages by formula. A key's md5 decides its lists and days.
+FIRST_DAY, DAYS = "2022-01-01", 730
+LISTS = (("adult", 5, 0), ("malware", 7, 1), ("allow", 11, 2))  # list, a key is on it where its number modulo this is that
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Entries for the hosts, domains and path prefixes of the pages: put on a list, taken off, and half of them put on again."""
+    keys = pages.select(F.explode(url_lists.keys_of(F.col("url"))).alias("key")).distinct()
+    number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("int")
+    keys = keys.withColumn("x", number)
+    member = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), (F.col("x") % m == r).alias("on")) for n, m, r in LISTS]))
+    listed = keys.select("key", "x", member.alias("m")).where("m.on").select("key", "x", "m.list")
+    start = F.col("x") % 500
+    changes = F.explode(F.array(
+        F.struct(start.alias("n"), F.lit("add").alias("kind")), F.struct((start + 30 + F.col("x") % 90).alias("n"), F.lit("remove").alias("kind")),
+        F.struct((start + 200).alias("n"), F.when(F.col("x") % 2 == 0, "add").otherwise("remove").alias("kind")),
+    ))
+    return listed.select("list", "key", changes.alias("c")).select("list", "key", F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("c.n")).alias("day"), F.lit(0).alias("seq"), "c.kind")
+
+
+def op2_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") * 37 % DAYS).cast("int"))
+    return url_lists.evaluate(pages.withColumn("day", day), dated_entries(pages)).drop("url")
+
+
+OP2_SQL = """
+WITH captures AS (
+  SELECT page_id, DATE '2022-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS day,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '\\.$', ''), '') AS host,
+    [s for s in string_split(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]*/([^?#]*)', 1), '/') if s <> ''][1:2] AS parts
+  FROM pages
+), named AS (
+  SELECT *, list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)],
+    [host || '/' || array_to_string(parts[1:i], '/') for i in range(1, len(parts) + 1)]) AS keys
+  FROM captures
+), asked AS (SELECT page_id, day, unnest(keys) AS key FROM named),
+numbered AS (SELECT DISTINCT key, CAST(('0x' || substr(md5(key), 1, 6)) AS INTEGER) AS x FROM asked),
+listed AS (
+  SELECT key, x, list FROM numbered, (VALUES ('adult', 5, 0), ('malware', 7, 1), ('allow', 11, 2)) AS l(list, m, r) WHERE x % m = r
+), entries AS (
+  SELECT list, key, DATE '2022-01-01' + x % 500 AS day, 'add' AS kind FROM listed
+  UNION ALL SELECT list, key, DATE '2022-01-01' + (x % 500 + 30 + x % 90), 'remove' FROM listed
+  UNION ALL SELECT list, key, DATE '2022-01-01' + (x % 500 + 200), CASE WHEN x % 2 = 0 THEN 'add' ELSE 'remove' END FROM listed
+), valid AS (
+  SELECT list, key, kind, day AS start, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS stop FROM entries
+), hits AS (
+  SELECT a.page_id, v.list, a.key FROM asked a JOIN valid v ON a.key = v.key AND v.kind = 'add' AND v.start <= a.day AND (v.stop IS NULL OR a.day < v.stop)
+), found AS (
+  SELECT page_id, count(*) AS n, string_agg(list || ':' || key, ',' ORDER BY list || ':' || key) AS active,
+    max(length(key) * 2 + CASE WHEN list = 'allow' THEN 1 ELSE 0 END) AS best
+  FROM hits GROUP BY page_id
+)
+SELECT c.page_id, c.day, c.host, coalesce(f.n, 0) AS n_active, coalesce(f.active, '') AS active,
+  CASE WHEN f.best IS NULL THEN 'none' WHEN f.best % 2 = 1 THEN 'allow' ELSE 'block' END AS verdict
+FROM captures c LEFT JOIN found f ON c.page_id = f.page_id
+"""
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = fertility.rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select(
@@ -35,6 +95,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HELD_OUT_FOLDS, SCORED_FOLD = 5, 1
+
+
+def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = ecoc_language.held_out(F.col("doc_id"), HELD_OUT_FOLDS, SCORED_FOLD)
+    return maxent.score(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+
+
 def op6_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_join.join(table(spark, sf_dir, "documents"))
 
@@ -71,6 +139,6 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_to_targets, op3_tokeniser_fertility, op4_secret_scan, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language)
+    f.__name__: f for f in (op1_mix_to_targets, op2_temporal_url_lists, op3_tokeniser_fertility, op4_secret_scan, op5_maxent_scores, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_temporal_url_lists": OP2_SQL}

@@ -19,6 +19,9 @@ NON_WORD = np.ones(256, dtype=bool)  # everything but ASCII letters, digits and
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     NON_WORD[_a:_b] = False
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 GRAM_BASE = 0xD6E8FEB86659FD93
 BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,8 +96,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def words_of(texts: pa.Array, separators: np.ndarray = WHITE) -> Words:
+def words_of(texts: pa.Array, separators: np.ndarray = WHITE, fold: np.ndarray | None = None) -> Words:
+    """``fold`` maps each byte before words are hashed, such as ``LOWER``."""
     data, at = buffers(texts)
+    data = data if fold is None else fold[data]
     inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
