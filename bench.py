@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then twice; the mean counts. Results are
+Each query runs once to warm up and then three times; the median counts. Results are
 written to Spark's no-op sink, so every column of every row is computed. The planes pass
 measures a stored table of full-size frames that Spark derives from the embeddings table;
 writing that table is not part of the time.
@@ -26,11 +26,11 @@ from lumaspark.session import local_session, stage_dir, staged  # noqa: E402
 from lumaspark.workbench import adapters as A, ordered as W, pixels, registry  # noqa: E402
 
 HEADLINES = (
-    "measured_frames", "a1_lum_histogram", "w10_cross_quad_diffs", "w17_median3", "c1_detect_crop", "e6_robust_peak",
-    "w1_histogram_distance", "w4_accept_cuts", "w9_smoothing_pass", "w14_delta_limit", "w15_smooth_targets",
-    "a13_max_cll", "a17_scene_l1", "a19_error_stats", "a22_health_report", "m4_static_metadata", "j8_composite", "flagship_targets",
+    "measured_frames", "a1_lum_histogram", "a3_fine_histogram", "w10_cross_quad_diffs", "w17_median3", "c1_detect_crop", "e6_robust_peak",
+    "w1_histogram_distance", "w4_accept_cuts", "w9_smoothing_pass", "w14_delta_limit", "w15_smooth_targets", "w18_optimizer_pass",
+    "a13_max_cll", "a17_scene_l1", "a19_error_stats", "a22_health_report", "m4_static_metadata", "f20_mmr_reshape", "j8_composite", "flagship_headers", "flagship_targets",
 )
-RUNS = 2
+RUNS = 3
 STACK = 5184  # 40 x 40 mosaics stacked to the sample count of a 3840 x 2160 frame
 
 

@@ -231,12 +231,13 @@ def natural_key(path) -> Column:
 
     def encode(piece: Column) -> Column:
         significant = F.regexp_replace(piece, r"^0+(?=.)", "")
-        number = F.concat(
+        too_long = F.raise_error(F.concat(F.lit("a run of more than 9999 digits in "), lower)).cast("string")
+        number = F.when(F.length(piece) > 9999, too_long).otherwise(F.concat(
             F.lit("0"),
             F.lpad(F.length(significant).cast("string"), 4, "0"),
             significant,
             F.lpad(F.length(piece).cast("string"), 4, "0"),
-        )
+        ))
         return F.when(piece.rlike("^[0-9]"), number).otherwise(piece)
 
     return F.array_join(F.transform(pieces, encode), "")

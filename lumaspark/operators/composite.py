@@ -74,8 +74,11 @@ def composite(base: DataFrame, enhancement: DataFrame, params: DataFrame) -> Dat
     )
     columns = [*SAMPLE, "bl16", "y16", "cb_near"]
     placed = luma_rows.select(columns).unionByName(chroma.select(columns))
-    joined = placed.join(enhancement.select(*SAMPLE, "el16"), SAMPLE).join(frame_params(base, params), FRAME)
-    return joined.select(*SAMPLE, composite_value().alias("out16"))
+    joined = placed.join(enhancement.select(*SAMPLE, "el16"), SAMPLE, "left").join(frame_params(base, params).withColumn("_known", F.lit(True)), FRAME, "left")
+    place = F.concat_ws(" ", F.lit(" in clip"), "clip_id", F.lit("frame"), F.col("frame_idx").cast("string"))
+    fault = F.when(F.col("_known").isNull(), F.lit("no parameters")).when(F.col("el16").isNull(), F.lit("the enhancement layer ends early"))
+    value = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, place)).cast("bigint")).otherwise(composite_value())
+    return joined.select(*SAMPLE, value.alias("out16"))
 
 
 def composite_value() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import estimators as E
 from ..functions import transfer as T
 from .measure import as_entries, with_levels
-from .samples import FRAME, crop_samples
+from .samples import FRAME, complete_crops, crop_samples
 
 
 def cross_quad_diffs(
@@ -26,8 +26,8 @@ def cross_quad_diffs(
         placed = samples.withColumn("_left", F.lit(0))
     else:
         placed = crop_samples(samples, crops).join(
-            crops.select("clip_id", F.col("rect.x").alias("_left")), "clip_id"
-        )
+            crops.select("clip_id", F.col("rect.x").alias("_left")), "clip_id", "left"
+        ).withColumn("_left", F.coalesce("_left", F.lit(0)))
     first = (F.col("x") == F.greatest(F.col("x") - F.col("x") % 2, F.col("_left")))
     sites = with_levels(placed.where(first), transfer, hlg_peak, domain).select(
         *FRAME, "y", "x", T.fine_bin("peak").alias("code")
@@ -76,7 +76,7 @@ def median3(samples: DataFrame, crops: DataFrame) -> DataFrame:
     reaches past the stored samples, the middle of those present is taken.
     """
     rect = F.col("rect")
-    placed = samples.join(crops.select("clip_id", "rect"), "clip_id")
+    placed = samples.join(complete_crops(samples, crops), "clip_id")
     shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = (
         placed.withColumn("_s", F.explode(shifts))

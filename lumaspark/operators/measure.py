@@ -53,7 +53,7 @@ def hue_histogram(samples: DataFrame, crops: DataFrame | None = None) -> DataFra
     """
     sites = samples
     if crops is not None:
-        sites = sites.join(crops.select("clip_id", "rect"), "clip_id").where(hue_site_in_crop(F.col("rect")))
+        sites = sites.join(crops.select("clip_id", "rect"), "clip_id", "left").where(hue_site_in_crop(F.col("rect")))
     elif "x" in samples.columns:
         sites = sites.where((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
     return (
@@ -153,7 +153,7 @@ def pixel_stats(
     leveled = with_levels(samples, transfer, hlg_peak, domain)
     hue = T.hue_bin("cb_code", "cr_code")
     if crops is not None:
-        leveled = leveled.join(crops.select("clip_id", "rect"), "clip_id")
+        leveled = leveled.join(crops.select("clip_id", "rect"), "clip_id", "left")
         hue = F.when(hue_site_in_crop(F.col("rect")), hue)
     elif "x" in samples.columns:
         hue = F.when((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0), hue)

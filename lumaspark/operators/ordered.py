@@ -20,8 +20,10 @@ than once: hand them a staged table (``session.staged``) when it is expensive.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = 512
@@ -116,17 +118,47 @@ def hold_last(
     return held.drop("_chunk", *[f"_carry_{c}" for c in columns])
 
 
-def _ema_chunk(keep: float, chunk: int) -> tuple[int, int]:
-    """Chunk length and number of carried chunks for a decay of ``keep`` per row.
+def with_rank(df: DataFrame, keys: Sequence[str], pos: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add the 0-based number of each row in its series, dense whatever gaps ``pos`` has."""
+    counted = running_count(df, keys, pos, F.lit(1), name, chunk)
+    return counted.withColumn(name, F.col(name) - 1)
 
-    The in-chunk sum scales a row by ``keep ** -k``; the length keeps that factor
-    below 1e140. Carries from further back than the returned number of chunks are
-    smaller than 1e-300 of their value, below what a double can add.
+
+def _ema_chunk(keep: float, chunk: int) -> int:
+    """Chunk length for a decay of ``keep`` per row: the in-chunk sum scales a row by
+    ``keep ** -k``, and the length keeps that factor below 1e140."""
+    return max(1, min(chunk, math.floor(140.0 / -math.log10(keep))))
+
+
+def fold_carries(ends: DataFrame, keys: Sequence[str], columns: Sequence[str], decay: float, forward: bool = True) -> DataFrame:
+    """What reaches each chunk from all chunks before it (after it): ``{column}_in``.
+
+    ``ends`` has one row per chunk (``keys``, ``_chunk``, ``columns``: numbers or arrays). A chunk hands on its own
+    end plus ``decay`` times what reached it. One row per chunk is streamed in order with one state per
+    series; nothing is cut off and nothing is copied.
     """
-    per_row = -math.log10(keep)
-    size = max(1, min(chunk, math.floor(140.0 / per_row)))
-    lags = max(1, math.ceil(300.0 / (per_row * size)))
-    return size, lags
+    order = F.col("_chunk").asc() if forward else F.col("_chunk").desc()
+    rows = ends.select(*keys, "_chunk", *columns).repartition(*keys).sortWithinPartitions(*keys, order)
+    step = 1 if forward else -1
+    # The carry goes to the next chunk, also if that one has no end of its own.
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "_chunk BIGINT", *[f"`{c}_in` {kinds[c]}" for c in columns]])
+    names = [f.name for f in fields]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                here = tuple(row[n] for n in names)
+                if here != series:
+                    series, state = here, [0.0] * len(columns)
+                state = [decay * s + (np.asarray(row[c]) if isinstance(row[c], (list, np.ndarray)) else row[c]) for s, c in zip(state, columns)]
+                out.append((*here, row["_chunk"] + step, *state))
+            yield pd.DataFrame(out, columns=[*names, "_chunk", *[f"{c}_in" for c in columns]])
+
+    return rows.mapInPandas(walk, schema)
 
 
 def ema(
@@ -155,7 +187,7 @@ def ema(
         for source, name in [*columns.items(), *backward.items()]:
             df = df.withColumn(name, F.col(source))
         return df
-    size, lags = _ema_chunk(keep, chunk)
+    size = _ema_chunk(keep, chunk)
     k = F.col(pos) % size
     # Distance to the chunk's last row; only the last chunk of a series is shorter.
     back = F.least(F.lit(size), F.col(length) - F.col("_chunk") * size) - 1 - k if length else None
@@ -181,25 +213,14 @@ def ema(
     local = local.withColumns(sums)
     forward_names = [f"_f_{name}" for name in columns.values()]
     backward_names = [f"_b_{name}" for name in backward.values()]
-    # One narrow row per chunk end, handed to the chunks it still matters to.
-    ends = local.where((k == size - 1) | (k == 0) if backward else k == size - 1).select(
-        *keys, "_chunk",
-        *[F.when(k == size - 1, F.col(c)).alias(c) for c in forward_names],
-        *[F.when(k == 0, F.col(c)).alias(c) for c in backward_names],
-    )
-    steps = F.sequence(F.lit(-lags if backward else 1), F.lit(lags))
-    factor = power((F.abs("_ahead") - 1) * size)
-    carry = (
-        ends.withColumn("_ahead", F.explode(steps))
-        .where(F.col("_ahead") != 0)
-        .withColumn("_chunk", F.col("_chunk") + F.col("_ahead"))
-        .groupBy(*keys, "_chunk")
-        .agg(
-            *[F.sum(F.when(F.col("_ahead") > 0, F.col(c) * factor)).alias(f"{c}_in") for c in forward_names],
-            *[F.sum(F.when(F.col("_ahead") < 0, F.col(c) * factor)).alias(f"{c}_in") for c in backward_names],
-        )
-    )
-    joined = local.join(carry, [*keys, "_chunk"], "left")
+    # One narrow row per chunk border goes through the fold of the carries.
+    joined = local
+    if forward_names:
+        ends = local.where(k == size - 1).select(*keys, "_chunk", *forward_names)
+        joined = joined.join(fold_carries(ends, keys, forward_names, keep**size), [*keys, "_chunk"], "left")
+    if backward_names:
+        ends = local.where(k == 0).select(*keys, "_chunk", *backward_names)
+        joined = joined.join(fold_carries(ends, keys, backward_names, keep**size, forward=False), [*keys, "_chunk"], "left")
     nothing = F.lit(0.0)
     out = {
         name: F.col(f"_f_{name}") + F.coalesce(F.col(f"_f_{name}_in"), nothing) * power(k + 1)

@@ -178,7 +178,8 @@ def _with_rects(planes: DataFrame, crops: DataFrame | None) -> DataFrame:
     if crops is None:
         return planes
     rect = F.array("rect.x", "rect.y", "rect.width", "rect.height")
-    return planes.join(crops.select("clip_id", rect.alias("rect")), "clip_id")
+    rect = F.when(F.col("rect").isNotNull(), rect)
+    return planes.join(crops.select("clip_id", rect.alias("rect")), "clip_id", "left")
 
 
 def plane_diffs(planes: DataFrame, domain: str = "max-rgb", crops: DataFrame | None = None) -> DataFrame:

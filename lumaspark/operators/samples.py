@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import GRID_STEP, MIN_USABLE_SHARE
+from ..functions.geometry import GRID_STEP, MIN_USABLE_SHARE, rect
 from ..functions.transfer import col, is_non_black
 
 FRAME = ["clip_id", "frame_idx"]
@@ -15,9 +15,11 @@ WINDOW_SECONDS = 20
 
 
 def attach_crop(df: DataFrame, crops: DataFrame) -> DataFrame:
-    """Add the clip's ``rect``. The join is a plain equi join: the optimizer broadcasts
-    ``crops`` only while its measured size stays under the session's threshold."""
-    return df.join(crops.select("clip_id", "rect"), "clip_id")
+    """Add the clip's ``rect``, null for a clip without a crop: such a clip counts whole.
+
+    The join is a plain equi join: the optimizer broadcasts ``crops`` only while its measured
+    size stays under the session's threshold."""
+    return df.join(crops.select("clip_id", "rect"), "clip_id", "left")
 
 
 def attach_clip(df: DataFrame, clips: DataFrame, *columns: str) -> DataFrame:
@@ -26,7 +28,7 @@ def attach_clip(df: DataFrame, clips: DataFrame, *columns: str) -> DataFrame:
 
 
 def inside(x: Column, y: Column, rect: Column) -> Column:
-    return (
+    return rect.isNull() | (
         (x >= rect["x"]) & (x < rect["x"] + rect["width"])
         & (y >= rect["y"]) & (y < rect["y"] + rect["height"])
     )
@@ -37,6 +39,12 @@ def crop_samples(samples: DataFrame, crops: DataFrame) -> DataFrame:
     return joined.where(inside(F.col("x"), F.col("y"), F.col("rect"))).drop("rect")
 
 
+def complete_crops(samples: DataFrame, crops: DataFrame) -> DataFrame:
+    """(clip_id, rect) with the extent of the stored samples for clips that have no crop."""
+    whole = samples.join(crops, "clip_id", "left_anti").groupBy("clip_id").agg(F.max("x").alias("_x"), F.max("y").alias("_y"))
+    return crops.select("clip_id", "rect").unionByName(whole.select("clip_id", rect(F.lit(0), F.lit(0), F.col("_x") + 1, F.col("_y") + 1).alias("rect")))
+
+
 def hue_site_in_crop(rect: Column) -> Column:
     """True on the luma sample that stands for a chroma site of the hue histogram.
 
@@ -44,11 +52,11 @@ def hue_site_in_crop(rect: Column) -> Column:
     """
     cx, cy = F.floor(F.col("x") / 2), F.floor(F.col("y") / 2)
     left, top = F.floor(rect["x"] / 2), F.floor(rect["y"] / 2)
-    return (
-        (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)
-        & (cx >= left) & (cx < left + F.floor(rect["width"] / 2))
+    bounded = (
+        (cx >= left) & (cx < left + F.floor(rect["width"] / 2))
         & (cy >= top) & (cy < top + F.floor(rect["height"] / 2))
     )
+    return (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0) & (rect.isNull() | bounded)
 
 
 def every_nth_frame(df: DataFrame, rate: int) -> DataFrame:
@@ -67,8 +75,8 @@ def stride_samples(samples: DataFrame, crops: DataFrame, stride: int) -> DataFra
     if step > 1:
         kept = (
             kept
-            & ((F.col("x") - F.col("rect.x")) % step == 0)
-            & ((F.col("y") - F.col("rect.y")) % step == 0)
+            & ((F.col("x") - F.coalesce("rect.x", F.lit(0))) % step == 0)
+            & ((F.col("y") - F.coalesce("rect.y", F.lit(0))) % step == 0)
         )
     return joined.where(kept).drop("rect")
 

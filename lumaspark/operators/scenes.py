@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import estimators as E
 from ..session import staged
-from .ordered import CHUNK, greedy_cuts, halo_window, hold_last, previous_row, running_count
+from .ordered import CHUNK, greedy_cuts, halo_window, hold_last, previous_row, running_count, with_rank
 from .samples import FRAME
 
 DEFAULT_THRESHOLD = 0.3
@@ -18,9 +18,9 @@ SCENE_METRICS = ("hist", "hybrid")  # both names stand for the same distance
 def histogram_distance(frames: DataFrame, rate: int = 1, chunk: int = CHUNK) -> DataFrame:
     """Add ``distance`` to the previous analysed frame; null on the first.
 
-    With sampling every ``rate``-th frame is analysed, so their ordinal is dense.
+    The rows are numbered per clip, so a missing frame changes nothing but itself.
     """
-    analysed = frames.withColumn("_ord", F.expr(f"frame_idx div {max(rate, 1)}"))
+    analysed = with_rank(frames, ["clip_id"], "frame_idx", "_ord", chunk)
     before = halo_window(
         analysed, ["clip_id"], "_ord", 1, {"_before": lambda w: F.lag("lum_hist").over(w)}, chunk
     )
@@ -32,7 +32,7 @@ def smooth_distance(df: DataFrame, window: int = DEFAULT_SMOOTHING, rate: int =
     """Add ``smoothed``: mean of the last ``window`` distances, not reset at cuts."""
     if window <= 0:
         return df.withColumn("smoothed", F.col("distance"))
-    analysed = df.withColumn("_ord", F.expr(f"frame_idx div {max(rate, 1)}"))
+    analysed = with_rank(df, ["clip_id"], "frame_idx", "_ord", chunk)
     return halo_window(
         analysed,
         ["clip_id"],
@@ -135,10 +135,17 @@ def attach_shot(frames: DataFrame, shots: DataFrame) -> DataFrame:
 
 
 def hold_analysed(all_frames: DataFrame, analysed: DataFrame, rate: int) -> DataFrame:
-    """Frames that were skipped by sampling take over the last analysed frame's row."""
-    source = F.expr(f"frame_idx - frame_idx % {max(rate, 1)}")
+    """Frames that were skipped by sampling take over the last analysed frame's row.
+
+    That is the last row that is there, also where a sampled frame is missing. Frames before the first
+    analysed row take that one. ``rate`` is kept for callers; the rows themselves tell what was analysed.
+    """
+    known = analysed.select(*FRAME, F.col("frame_idx").alias("_from"))
+    held = hold_last(all_frames.select(*FRAME).join(known, FRAME, "left"), ["clip_id"], "frame_idx", ["_from"])
+    first = known.groupBy("clip_id").agg(F.min("_from").alias("_first"))
+    placed = held.join(first, "clip_id").withColumn("_from", F.coalesce("_from", "_first")).drop("_first")
     values = analysed.withColumnRenamed("frame_idx", "_from")
-    return all_frames.select(*FRAME).withColumn("_from", source).join(values, ["clip_id", "_from"]).drop("_from")
+    return placed.join(values, ["clip_id", "_from"]).drop("_from")
 
 
 def detect_cuts(

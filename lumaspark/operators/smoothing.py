@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import estimators as E
 from ..functions import transfer as T
-from .ordered import CHUNK, ema, halo_window
+from .ordered import CHUNK, ema, fold_carries, halo_window, with_rank
 from .samples import FRAME
 
 DEFAULT_BETA = 0.1
@@ -18,11 +18,11 @@ SCENE = ["clip_id", "scene_id"]
 
 
 def scene_position(framed: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
-    """Add ``scene_pos``, the dense position inside the scene."""
-    if scenes is None:
-        scenes = framed.groupBy(*SCENE).agg(F.min("frame_idx").alias("start"))
-    starts = scenes.select(*SCENE, F.col("start").alias("_start"))
-    return framed.join(starts, SCENE).withColumn("scene_pos", F.col("frame_idx") - F.col("_start")).drop("_start")
+    """Add ``scene_pos``, the number of the row inside its scene: dense also where frames are missing.
+
+    ``scenes`` is kept for callers that have the bounds; the rows are counted.
+    """
+    return with_rank(framed, SCENE, "frame_idx", "scene_pos").withColumn("scene_pos", F.col("scene_pos").cast("int"))
 
 
 def smooth_average(
@@ -80,26 +80,8 @@ def ema_histogram(hist: DataFrame, beta: float = DEFAULT_BETA, chunk: int = CHUN
     local = chunked.groupBy(*keys).applyInPandas(average, schema)
     if keep == 0.0:
         return rescale(local.drop("_chunk"))
-    # Decay over one chunk; carries below 1e-300 of their value cannot change a double.
-    per_chunk = T.log10_or_inf(keep) * chunk
-    lags = max(1, int(np.ceil(300.0 / per_chunk)))
-    scaled = F.transform("lum_hist", lambda v: v * F.pow(F.lit(keep), (F.col("_ahead") - 1) * chunk))
-    carry = (
-        local.where(F.col("scene_pos") % chunk == chunk - 1)
-        .withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(lags))))
-        .select(*SCENE, (F.col("_chunk") + F.col("_ahead")).alias("_chunk"), F.col("_ahead"), scaled.alias("_part"))
-        .groupBy(*keys)
-        .agg(F.collect_list("_part").alias("_parts"))
-        .withColumn(
-            "_in",
-            F.aggregate(
-                F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))),
-                F.element_at("_parts", 1),
-                lambda acc, part: F.zip_with(acc, part, lambda a, b: a + b),
-            ),
-        )
-        .drop("_parts")
-    )
+    ends = local.where(F.col("scene_pos") % chunk == chunk - 1).select(*SCENE, "_chunk", "lum_hist")
+    carry = fold_carries(ends, SCENE, ["lum_hist"], keep**chunk).withColumnRenamed("lum_hist_in", "_in")
     decay = F.pow(F.lit(keep), F.col("scene_pos") % chunk + 1)
     added = F.when(
         F.col("_in").isNotNull(), F.zip_with("lum_hist", "_in", lambda a, b: a + b * decay)

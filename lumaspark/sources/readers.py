@@ -58,14 +58,16 @@ def planes_from_content(files: DataFrame, width: int, height: int, layout: str =
     """Planes of raw content rows (clip_id, first_frame, content)."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}")
-    luma, site = width * height, (width // 2) * (height // 2)
+    luma, site = width * height, ((width + 1) // 2) * ((height + 1) // 2)
     words = luma + 2 * site
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for clip, start, content in zip(pdf["clip_id"], pdf["first_frame"], pdf["content"]):
+                count, rest = divmod(len(content), 2 * words)
+                if rest:
+                    raise ValueError(f"clip {clip}: {rest} bytes after frame {start + count - 1} are no whole {width}x{height} frame")
                 raw = np.frombuffer(content, dtype="<u2")
-                count = len(raw) // words
                 for i in range(count):
                     frame = raw[i * words:(i + 1) * words]
                     frame = (frame >> 6) & 1023 if layout == "p010" else frame & 1023

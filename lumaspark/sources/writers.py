@@ -41,7 +41,7 @@ def sidecar_documents(framed: DataFrame, crops: DataFrame, **options) -> DataFra
     frames = F.struct(*[F.col("_f")[c].alias(c) for c in codes])
     return (
         scenes.join(rows, "clip_id")
-        .join(crops.select("clip_id", F.col("rect").alias("crop")), "clip_id")
+        .join(crops.select("clip_id", F.col("rect").alias("crop")), "clip_id", "left")
         .select(
             "clip_id",
             F.lit(SIDECAR_VERSION).alias("version"),

@@ -7,6 +7,7 @@ has passed it.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,10 +62,10 @@ def live_measure(
 
 OUTPUT = (
     "clip_id STRING, frame_idx INT, distance DOUBLE, smoothed DOUBLE, is_cut BOOLEAN, scene_id INT, "
-    "held_from INT, target_nits INT"
+    "held_from INT, target_nits INT, dropped BIGINT"
 )
 STATE = (
-    "expected INT, analysed INT, hist ARRAY<DOUBLE>, recent ARRAY<DOUBLE>, last_cut INT, scene_id INT, "
+    "expected INT, dropped BIGINT, analysed INT, hist ARRAY<DOUBLE>, recent ARRAY<DOUBLE>, last_cut INT, scene_id INT, "
     "target INT, held_target INT, waiting_idx ARRAY<INT>, waiting_ts ARRAY<BIGINT>, "
     "waiting_hist ARRAY<ARRAY<DOUBLE>>, waiting_target ARRAY<INT>"
 )
@@ -90,30 +91,36 @@ def live_cuts_and_targets(
     state holds what arrived within the watermark delay. Once the watermark has passed a
     waiting frame, the frames missing before it can no longer come and are passed over.
     Rows later than the watermark are dropped and counted by the query's progress
-    (``numRowsDroppedByWatermark``).
+    (``numRowsDroppedByWatermark``). Rows of frames that are already out or that were passed over are dropped as well;
+    ``dropped`` is their number in the clip up to each row. Of several rows of a waiting frame the last counts and the others are dropped.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (clip,) = key
         if state.exists:
-            (expected, analysed, hist, recent, last_cut, scene, target, held, w_idx, w_ts, w_hist, w_target) = state.get
+            (expected, dropped, analysed, hist, recent, last_cut, scene, target, held, w_idx, w_ts, w_hist, w_target) = state.get
             hist = None if hist is None else np.asarray(hist, dtype=float)
             recent = list(recent)
             waiting = {i: (t, np.asarray(h, dtype=float), r) for i, t, h, r in zip(w_idx, w_ts, w_hist, w_target)}
         else:
-            expected, analysed, hist, recent, last_cut, scene, target, held, waiting = 0, None, None, [], 0, 0, None, None, {}
+            expected, dropped, analysed, hist, recent, last_cut, scene, target, held, waiting = 0, 0, None, None, [], 0, 0, None, None, {}
         for pdf in batches:
             stamps = pd.to_datetime(pdf["ts"]).astype("datetime64[ms]").astype("int64")
             for index, stamp, values, raw in zip(pdf["frame_idx"], stamps, pdf["lum_hist"], pdf["raw_target"]):
-                if index >= expected:
+                if index < expected:
+                    dropped += 1
+                else:
+                    dropped += int(index) in waiting
                     waiting[int(index)] = (int(stamp), np.asarray(values, dtype=float), None if pd.isna(raw) else int(raw))
         horizon = state.getCurrentWatermarkMs()
         rows = []
-        while waiting:
-            index = min(waiting)
+        queue = list(waiting)
+        heapq.heapify(queue)
+        while queue:
+            index = queue[0]
             if index != expected and waiting[index][0] > horizon:
                 break
-            _, values, raw = waiting.pop(index)
+            _, values, raw = waiting.pop(heapq.heappop(queue))
             expected = index + 1
             distance = smoothed = None
             cut = False
@@ -127,15 +134,15 @@ def live_cuts_and_targets(
                 hist, analysed, held = values, index, raw
             if held is not None:
                 target = held if target is None else max(target - max_delta, min(target + max_delta, held))
-            rows.append((clip, index, distance, smoothed, cut, scene, analysed, target if held is not None else None))
+            rows.append((clip, index, distance, smoothed, cut, scene, analysed, target if held is not None else None, dropped))
         order = sorted(waiting)
         state.update((
-            expected, analysed, None if hist is None else hist.tolist(), [float(v) for v in recent], last_cut, scene, target, held,
+            expected, dropped, analysed, None if hist is None else hist.tolist(), [float(v) for v in recent], last_cut, scene, target, held,
             order, [waiting[i][0] for i in order], [waiting[i][1].tolist() for i in order], [waiting[i][2] for i in order],
         ))
         if waiting and horizon >= 0:
             state.setTimeoutTimestamp(max(min(waiting[i][0] for i in order), horizon + 1))
-        yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "distance", "smoothed", "is_cut", "scene_id", "held_from", "target_nits"]).astype(
+        yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "distance", "smoothed", "is_cut", "scene_id", "held_from", "target_nits", "dropped"]).astype(
             {"held_from": "Int32", "target_nits": "Int32"}
         )
 

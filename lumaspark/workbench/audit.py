@@ -334,8 +334,9 @@ def shot_lines(spark, sf_dir):
     value = F.when((no == 1) & (f == 0), F.lit(5)).when((no == 2) & (f == 100), F.lit(20)).when(no == 3, f + 100000).otherwise(f)
     lines = frames.where(f % 50 == 0).select("clip_id", (f / 50).cast("bigint").alias("line_no"), F.concat(F.lit(" "), value.cast("string")).alias("value"))
     counts = K.frame_counts(frames)
-    sentinels = counts.select("clip_id", F.lit(1_000_000).cast("bigint").alias("line_no"), F.col("frame_count").cast("string").alias("value"))
-    blanks = counts.select("clip_id", F.lit(999_999).cast("bigint").alias("line_no"), F.lit("  ").alias("value"))
+    # Every clip has at most one line per frame, so these come after all of them.
+    sentinels = counts.select("clip_id", (F.col("frame_count") + 1).cast("bigint").alias("line_no"), F.col("frame_count").cast("string").alias("value"))
+    blanks = counts.select("clip_id", F.col("frame_count").cast("bigint").alias("line_no"), F.lit("  ").alias("value"))
     return lines.unionByName(sentinels).unionByName(blanks), counts
 
 

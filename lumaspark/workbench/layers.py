@@ -215,11 +215,14 @@ COMPOSITE_SQL = f"""
         + CASE WHEN no = 3 OR used % 5 = 1 THEN 0 ELSE {deadzone_sql('el', 'no')} END + 32) >> 6, 0), 1023) * 64)::INT AS out16 FROM placed"""
 
 
-@query("j8_composite", COMPOSITE_SQL)
-def j8(spark, sf_dir):
+def composite_inputs(spark, sf_dir):
     layer = base(spark, sf_dir)
     el = F.shiftleft((F.col("code") * 7 + F.col("idx")) % 1024, 6)
     enhancement = layer.select(*FRAME, "plane", "idx", el.alias("el16"))
     lower = layer.select(*FRAME, "plane", "idx", F.shiftleft("code", 6).alias("bl16"))
-    params = C.composite_params(exported(spark, sf_dir).where(F.col("frame_idx") <= 2))
-    return C.composite(lower, enhancement, params)
+    return lower, enhancement, C.composite_params(exported(spark, sf_dir).where(F.col("frame_idx") <= 2))
+
+
+@query("j8_composite", COMPOSITE_SQL)
+def j8(spark, sf_dir):
+    return C.composite(*composite_inputs(spark, sf_dir))

@@ -18,6 +18,7 @@ from .scalars import six
 
 FRAME = ["clip_id", "frame_idx"]
 KEY = "clip_id, frame_idx"
+CLOSING = -1
 
 
 def at(frame):
@@ -34,25 +35,29 @@ def drain(stream, spark, mode: str = "append"):
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
     def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+        # A batch that is run again replaces its own folder.
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     run = stream.writeStream.outputMode(mode).foreachBatch(keep)
     run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
-def source(df, spark, files: int = 4):
-    """The table as a file stream, a few files per batch. A closing row per clip far in the future
-    lets the watermark pass the last frame."""
+def source(df, spark):
+    """The table as a file stream in the order of time, a few files per batch; Spark's shuffle decides on the number of
+    files, so it grows with the table."""
     base = f"{stage_dir(spark)}/lumaspark-source-{uuid.uuid4().hex}"
-    df.repartitionByRange(files, "ts").write.parquet(base)
+    df.repartitionByRange("ts").write.parquet(base)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(base)
 
 
 def _live_samples(spark, sf_dir):
+    """The samples and a closing row per clip, a day after all others, that lets the watermark pass the last frame.
+    The closing frame has the number -1, which no frame has."""
     given = A.samples(spark, sf_dir).withColumn("ts", at(F.col("frame_idx")))
-    closing = given.select("clip_id").distinct().select(
-        "clip_id", F.lit(10_000_000).alias("frame_idx"), F.lit(512).alias("cb_code"), F.lit(512).alias("cr_code"), F.lit(64).alias("y_code"), at(F.lit(10_000_000)).alias("ts")
+    last = given.groupBy("clip_id").agg(F.max("frame_idx").alias("_last"))
+    closing = last.select(
+        "clip_id", F.lit(CLOSING).alias("frame_idx"), F.lit(512).alias("cb_code"), F.lit(512).alias("cr_code"), F.lit(64).alias("y_code"), at(F.col("_last") + 86_400).alias("ts")
     )
     return source(given.unionByName(closing), spark)
 
@@ -62,7 +67,7 @@ def _live_samples(spark, sf_dir):
       (SELECT {KEY}, round(max({A.sql_max_rgb()}), 6) AS peak_pq, round(avg({A.sql_luma()}), 6) AS avg_pq FROM ({A.SAMPLES_SQL}) GROUP BY ALL) m JOIN ({low_sql(FINE_SQL, 0.1)}) lo USING (clip_id, frame_idx)""")
 def t1(spark, sf_dir):
     frames = drain(L.live_measure(_live_samples(spark, sf_dir).drop("x")).select(*FRAME, "peak_pq", "avg_pq", "min_pq"), spark)
-    return frames.where(F.col("frame_idx") < 10_000_000).select(*FRAME, *[six(F.col(c), c) for c in ("peak_pq", "avg_pq", "min_pq")])
+    return frames.where(F.col("frame_idx") != CLOSING).select(*FRAME, *[six(F.col(c), c) for c in ("peak_pq", "avg_pq", "min_pq")])
 
 
 def _live_frames(spark, sf_dir):

@@ -56,6 +56,36 @@ def w2_analysed(spark, sf_dir):
     return SC.hold_analysed(every, S.every_nth_frame(every, 3), 3)
 
 
+@query("w2_hold_over_gaps", f"""
+    SELECT clip_id, frame_idx, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame_idx),
+           first_value(s IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS k
+    FROM (SELECT {KEY}, CASE WHEN frame_idx % 3 = 0 AND frame_idx % 7 NOT IN (0, 5) THEN k END AS s FROM ({A.SERIES_SQL}))""")
+def w2_gaps(spark, sf_dir):
+    """Some sampled frames are absent: the last row that is there is held."""
+    every = A.series(spark, sf_dir).select(*FRAME, "k")
+    return SC.hold_analysed(every, S.every_nth_frame(every, 3).where(~(F.col("frame_idx") % 7).isin(0, 5)), 3)
+
+
+_GAPPY_SQL = f"SELECT {KEY}, scene_id, avg_nits FROM ({A.SERIES_SQL}) WHERE frame_idx NOT IN (255, 256, 257, 511, 512) AND frame_idx % 97 != 3"
+
+
+def _gappy(spark, sf_dir):
+    rows = A.series(spark, sf_dir).select(*FRAME, "scene_id", "avg_nits")
+    return rows.where(~F.col("frame_idx").isin(255, 256, 257, 511, 512) & (F.col("frame_idx") % 97 != 3))
+
+
+@query("w3_smooth_over_gaps", f"SELECT {KEY}, avg(avg_nits) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS 4 PRECEDING) AS smoothed FROM ({_GAPPY_SQL})")
+def w3_gaps(spark, sf_dir):
+    """A series with holes, some at the borders of chunks: the rows that are there are averaged."""
+    return SC.smooth_distance(_gappy(spark, sf_dir).withColumnRenamed("avg_nits", "distance"), 5).select(*FRAME, "smoothed")
+
+
+@query("w12_knee_over_gaps", f"SELECT {KEY}, round(avg(avg_nits) OVER (PARTITION BY clip_id, scene_id ORDER BY frame_idx ROWS 6 PRECEDING), 6) AS knee_nits FROM ({_GAPPY_SQL})")
+def w12_gaps(spark, sf_dir):
+    placed = smoothing.scene_position(_gappy(spark, sf_dir)).withColumnRenamed("avg_nits", "knee_nits")
+    return targets.smooth_knee(placed, 7).select(*FRAME, F.round("knee_nits", 6).alias("knee_nits"))
+
+
 _SERIES_DISTANCE = f"SELECT {KEY}, CASE WHEN frame_idx > 0 THEN avg_nits END AS distance FROM ({A.SERIES_SQL})"
 SMOOTHED_SQL = f"SELECT {KEY}, avg(distance) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS 4 PRECEDING) AS smoothed FROM ({_SERIES_DISTANCE})"
 
@@ -436,11 +466,11 @@ def a21(spark, sf_dir):
 # Runs of metadata rows --------------------------------------------------------------------
 RPU_SQL = f"""
     SELECT clip_id, frame_idx, (frame_idx // 11 % 3)::INT AS min_pq, (800 + frame_idx // 7 * 37 % 900)::INT AS avg_pq,
-           (800 + frame_idx // 7 * 37 % 900 + frame_idx // 5 * 53 % 1500 * (event_id % 8 % 3))::INT AS max_pq FROM ({A.SERIES_SQL}) WHERE k % 13 != 0"""
+           (800 + frame_idx // 7 * 37 % 900 + frame_idx // 5 * 53 % 1500 * (event_id % 8 % 3))::INT AS max_pq FROM ({A.SERIES_SQL})"""
 
 
 def rpu_rows(spark, sf_dir):
-    return A.series(spark, sf_dir).where(F.col("k") % 13 != 0).select(
+    return A.series(spark, sf_dir).select(
         *FRAME,
         F.expr("frame_idx div 11 % 3").cast("int").alias("min_pq"),
         F.expr("800 + frame_idx div 7 * 37 % 900").cast("int").alias("avg_pq"),

@@ -93,6 +93,16 @@ def p1(spark, sf_dir):
     return S.crop_samples(A.mosaic_luma(spark, sf_dir), A.mosaic_crops(spark, sf_dir)).select(*FRAME, "x", "y", "y_code")
 
 
+@query("p1_clip_without_crop", f"""
+    SELECT l.clip_id, frame_idx, count(*) AS n, min(x) AS left_x, max(y) AS bottom_y FROM ({A.MOSAIC_SQL}) l
+    LEFT JOIN (SELECT * FROM ({A.MOSAIC_CROPS_SQL}) WHERE ascii(right(clip_id, 1)) % 3 != 0) c ON l.clip_id = c.clip_id
+    WHERE rx IS NULL OR (x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh) GROUP BY ALL""")
+def p1_without(spark, sf_dir):
+    """Every third clip has no crop and counts whole."""
+    some = A.mosaic_crops(spark, sf_dir).where(F.ascii(F.right("clip_id", F.lit(1))) % 3 != 0)
+    return S.crop_samples(A.mosaic_luma(spark, sf_dir), some).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("left_x"), F.max("y").alias("bottom_y"))
+
+
 @query("p2_frame_sampling", f"SELECT clip_id, frame_idx, count(*) AS n FROM ({A.SAMPLES_SQL}) WHERE frame_idx % 3 = 0 GROUP BY ALL")
 def p2(spark, sf_dir):
     return S.every_nth_frame(A.samples(spark, sf_dir), 3).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))

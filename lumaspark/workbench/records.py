@@ -364,7 +364,7 @@ def s4(spark, sf_dir):
     )
     clips = rows.select("clip_id").distinct()
     header = clips.select("clip_id", F.lit(0).cast("bigint").alias("_line"), F.lit("frame,min_pq,max_pq,avg_pq").alias("value"))
-    blank = clips.select("clip_id", F.lit(10_000_000).cast("bigint").alias("_line"), F.lit("   ").alias("value"))
+    blank = rows.groupBy("clip_id").agg((F.max("_line") + 1).alias("_line")).withColumn("value", F.lit("   "))
     return readers.parse_reference_lines(rows.unionByName(header).unionByName(blank))
 
 
