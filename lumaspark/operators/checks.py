@@ -14,15 +14,21 @@ DOMAIN_SLACK = 0.25 / 4095.0
 MAX_BIAS_CODES = 25.0
 
 
+def violations(df: DataFrame, *rules: tuple[Column, object, str, str, Column]) -> DataFrame:
+    """The broken rules (condition, item, name, severity, detail) of every row, in one pass over ``df``."""
+
+    def found(condition: Column, item, rule: str, severity: str, detail: Column) -> Column:
+        number = F.col(item) if isinstance(item, str) else item
+        return F.when(condition, F.struct(
+            number.cast("int").alias("item"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"),
+        ))
+
+    broken = F.array_compact(F.array(*[found(*rule) for rule in rules]))
+    return df.select("clip_id", F.explode(broken).alias("_v")).select("clip_id", "_v.*")
+
+
 def violation(df: DataFrame, condition: Column, item, rule: str, severity: str, detail: Column) -> DataFrame:
-    number = F.col(item) if isinstance(item, str) else item
-    return df.where(condition).select(
-        "clip_id",
-        number.cast("int").alias("item"),
-        F.lit(rule).alias("rule"),
-        F.lit(severity).alias("severity"),
-        detail.cast("string").alias("detail"),
-    )
+    return violations(df, (condition, item, rule, severity, detail))
 
 
 def all_violations(*parts: DataFrame) -> DataFrame:
@@ -43,9 +49,10 @@ def _judged_scenes(scenes: DataFrame, frames: DataFrame) -> DataFrame:
 def check_scene_ranges(scenes: DataFrame, frames: DataFrame) -> DataFrame:
     judged = _judged_scenes(scenes, frames)
     span = F.concat_ws("-", "start", "end")
-    return all_violations(
-        violation(judged, F.col("_reversed"), "scene_id", "scene_reversed", "warning", span),
-        violation(judged, F.col("_outside"), "scene_id", "scene_outside", "warning", span),
+    return violations(
+        judged,
+        (F.col("_reversed"), "scene_id", "scene_reversed", "warning", span),
+        (F.col("_outside"), "scene_id", "scene_outside", "warning", span),
     )
 
 
@@ -64,27 +71,28 @@ def _total(column: str) -> Column:
     return F.aggregate(column, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def lum_hist_rules() -> list[tuple]:
+    length, total = F.size("lum_hist"), _total("lum_hist")
+    return [
+        (length != 256, "frame_idx", "lum_hist_length", "error", length),
+        ((length == 256) & (F.abs(total - 100.0) > 1.0), "frame_idx", "lum_hist_sum", "error", F.format_string("%.2f", total)),
+    ]
+
+
 def check_lum_hist(frames: DataFrame) -> DataFrame:
-    length = F.size("lum_hist")
-    return all_violations(
-        violation(frames, length != 256, "frame_idx", "lum_hist_length", "error", length),
-        violation(
-            frames.withColumn("_sum", _total("lum_hist")), (length == 256) & (F.abs(F.col("_sum") - 100.0) > 1.0),
-            "frame_idx", "lum_hist_sum", "error", F.format_string("%.2f", F.col("_sum")),
-        ),
-    )
+    return violations(frames, *lum_hist_rules())
+
+
+def hue_hist_rules() -> list[tuple]:
+    has, length, total = F.col("hue_hist").isNotNull(), F.size("hue_hist"), _total("hue_hist")
+    return [
+        (has & (length != 31), "frame_idx", "hue_hist_length", "warning", length),
+        (has & (length == 31) & (total > 100.5), "frame_idx", "hue_hist_sum", "warning", F.format_string("%.2f", total)),
+    ]
 
 
 def check_hue_hist(frames: DataFrame) -> DataFrame:
-    with_hue = frames.where(F.col("hue_hist").isNotNull())
-    length = F.size("hue_hist")
-    return all_violations(
-        violation(with_hue, length != 31, "frame_idx", "hue_hist_length", "warning", length),
-        violation(
-            with_hue.withColumn("_sum", _total("hue_hist")), (length == 31) & (F.col("_sum") > 100.5),
-            "frame_idx", "hue_hist_sum", "warning", F.format_string("%.2f", F.col("_sum")),
-        ),
-    )
+    return violations(frames, *hue_hist_rules())
 
 
 def hue_coverage(frames: DataFrame) -> DataFrame:
@@ -101,17 +109,23 @@ def hue_coverage(frames: DataFrame) -> DataFrame:
     return counted.withColumn("pct", pct).withColumn("warn", low)
 
 
-def check_pq_range(frames: DataFrame) -> DataFrame:
+def pq_range_rules() -> list[tuple]:
     def outside(column: str) -> Column:
         return (F.col(column) < 0.0) | (F.col(column) > 1.0)
 
-    return all_violations(
-        violation(frames, outside("peak_pq"), "frame_idx", "peak_pq_range", "error", F.format_string("%.4f", "peak_pq")),
-        violation(
-            frames, ~outside("peak_pq") & outside("avg_pq"), "frame_idx", "avg_pq_range", "error",
-            F.format_string("%.4f", "avg_pq"),
-        ),
-    )
+    return [
+        (outside("peak_pq"), "frame_idx", "peak_pq_range", "error", F.format_string("%.4f", "peak_pq")),
+        (~outside("peak_pq") & outside("avg_pq"), "frame_idx", "avg_pq_range", "error", F.format_string("%.4f", "avg_pq")),
+    ]
+
+
+def check_pq_range(frames: DataFrame) -> DataFrame:
+    return violations(frames, *pq_range_rules())
+
+
+def check_frames(frames: DataFrame) -> DataFrame:
+    """All rules on single frames in one pass: both histograms and the range of peak and average."""
+    return violations(frames, *lum_hist_rules(), *hue_hist_rules(), *pq_range_rules())
 
 
 def check_fall(headers: DataFrame, frames: DataFrame) -> DataFrame:
@@ -130,9 +144,10 @@ def check_fall(headers: DataFrame, frames: DataFrame) -> DataFrame:
     def detail(header: str, value: str) -> Column:
         return F.format_string("header=%d derived=%.0f", F.col(header), F.col(value))
 
-    return all_violations(
-        violation(joined, off("maxfall", "_max"), F.lit(None), "maxfall", "warning", detail("maxfall", "_max")),
-        violation(joined, off("avgfall", "_avg"), F.lit(None), "avgfall", "warning", detail("avgfall", "_avg")),
+    return violations(
+        joined,
+        (off("maxfall", "_max"), F.lit(None), "maxfall", "warning", detail("maxfall", "_max")),
+        (off("avgfall", "_avg"), F.lit(None), "avgfall", "warning", detail("avgfall", "_avg")),
     )
 
 
@@ -144,9 +159,10 @@ def check_flags(headers: DataFrame, frames: DataFrame) -> DataFrame:
     joined = headers.join(counts, "clip_id")
     flagged = F.col("flags") == 3
     detail = F.concat_ws("/", "_with", "_all")
-    return all_violations(
-        violation(joined, flagged & (F.col("_with") < F.col("_all")), F.lit(None), "targets_missing", "warning", detail),
-        violation(joined, ~flagged & (F.col("_with") > 0), F.lit(None), "targets_unexpected", "warning", detail),
+    return violations(
+        joined,
+        (flagged & (F.col("_with") < F.col("_all")), F.lit(None), "targets_missing", "warning", detail),
+        (~flagged & (F.col("_with") > 0), F.lit(None), "targets_unexpected", "warning", detail),
     )
 
 
@@ -172,8 +188,8 @@ def check_metadata(exported: DataFrame, cm_version: str | None = "V40") -> DataF
     )
     nothing = F.lit(None)
 
-    def broken(condition: Column, rule: str) -> DataFrame:
-        return violation(rows, condition, nothing, rule, "error", F.lit(""))
+    def broken(condition: Column, rule: str) -> tuple:
+        return condition, nothing, rule, "error", F.lit("")
 
     ordered = (F.col("l1.min_pq") <= F.col("l1.avg_pq")) & (F.col("l1.avg_pq") <= F.col("l1.max_pq"))
     parts = [
@@ -195,7 +211,7 @@ def check_metadata(exported: DataFrame, cm_version: str | None = "V40") -> DataF
             broken(F.col("l11").isNull(), "l11_missing"),
             broken(~F.coalesce(F.col("l254.dm_version_index") == 2, F.lit(False)), "l254_version"),
         ]
-    return all_violations(*parts)
+    return violations(rows, *parts)
 
 
 def check_duration(source: DataFrame, output: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -214,15 +230,10 @@ def check_counts(frames: DataFrame, sidecar: DataFrame) -> DataFrame:
         "clip_id",
         *[F.size(f"frames.{c}").alias(c) for c in ("min_pq_12bit", "avg_luma_pq_12bit", "avg_max_rgb_pq_12bit")],
     ).join(frame_counts(frames), "clip_id")
-    return all_violations(
-        *[
-            violation(
-                joined, F.col(c) != F.col("frame_count"), F.lit(None), f"sidecar_{c}", "error",
-                F.concat_ws("/", c, "frame_count"),
-            )
-            for c in ("min_pq_12bit", "avg_luma_pq_12bit", "avg_max_rgb_pq_12bit")
-        ]
-    )
+    return violations(joined, *[
+        (F.col(c) != F.col("frame_count"), F.lit(None), f"sidecar_{c}", "error", F.concat_ws("/", c, "frame_count"))
+        for c in ("min_pq_12bit", "avg_luma_pq_12bit", "avg_max_rgb_pq_12bit")
+    ])
 
 
 def check_domains(max_rgb: DataFrame, luma: DataFrame) -> DataFrame:
@@ -260,7 +271,10 @@ def check_shots(starts: DataFrame, counts: DataFrame) -> DataFrame:
     text = F.col("start").cast("string")
     return all_violations(
         violation(all_clips, F.col("_n").isNull(), F.lit(None), "shots_empty", "error", F.lit("")),
-        violation(linked, (F.col("line") == 0) & (F.col("start") != 0), "line", "shots_first", "error", text),
-        violation(linked, F.col("_before") >= F.col("start"), "line", "shots_order", "error", text),
+        violations(
+            linked,
+            ((F.col("line") == 0) & (F.col("start") != 0), "line", "shots_first", "error", text),
+            (F.col("_before") >= F.col("start"), "line", "shots_order", "error", text),
+        ),
         violation(final, F.col("start") >= F.col("frame_count"), "line", "shots_outside", "error", text),
     )

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import GRID_STEP, MIN_USABLE_SHARE, rect
 from ..functions.transfer import col, is_non_black
+from .ordered import hold_last
 
 FRAME = ["clip_id", "frame_idx"]
 # Fixed quality presets: name to (spatial stride, frame sampling rate).
 QUALITY = {"fast": (2, 3), "balanced": (2, 1), "auto": (2, 1), "accurate": (1, 1)}
 PROBE_LIMIT = 120
+TICKS_PER_CHUNK = 1 << 16
 WINDOW_SECONDS = 20
 
 
@@ -125,19 +127,18 @@ def probe_ticks(clips: DataFrame, n: int = 7) -> DataFrame:
 def first_usable_after(ticks: DataFrame, frames: DataFrame, limit: int = PROBE_LIMIT) -> DataFrame:
     """First usable frame within ``limit`` frames from the first frame at or after a tick.
 
-    ``frames`` has ``pts`` and ``usable``. Both minima come out of one pre-aggregated
-    pass, so nothing is sorted and no frame list is collected.
+    ``frames`` has ``pts`` and ``usable``. Ticks and frames are one series, walked backwards: each row takes over the
+    nearest frame and the nearest usable frame behind it. No tick meets the frames of its clip one by one.
     """
-    at_or_after = ticks.join(frames.select(*FRAME, "pts", "usable"), "clip_id").where(F.col("pts") >= F.col("tick"))
-    return (
-        at_or_after.groupBy("clip_id", "probe", "tick")
-        .agg(
-            F.min("frame_idx").alias("first_frame"),
-            F.min(F.when(F.col("usable"), F.col("frame_idx"))).alias("frame_idx"),
-        )
-        .where(F.col("frame_idx") - F.col("first_frame") < limit)
-        .select("clip_id", "probe", "frame_idx")
+    nothing = F.lit(None).cast("int")
+    shown = frames.select(
+        "clip_id", (-2 * F.col("pts")).cast("bigint").alias("_pos"), F.col("frame_idx").alias("first_frame"),
+        F.when(F.col("usable"), F.col("frame_idx")).alias("frame_idx"), nothing.alias("probe"),
     )
+    # A frame at the very tick counts, so the tick stands just after it on the way back.
+    asked = ticks.select("clip_id", (1 - 2 * F.col("tick")).cast("bigint").alias("_pos"), nothing.alias("first_frame"), nothing.alias("frame_idx"), F.col("probe").cast("int").alias("probe"))
+    held = hold_last(shown.unionByName(asked), ["clip_id"], "_pos", ["first_frame", "frame_idx"], TICKS_PER_CHUNK)
+    return held.where(F.col("probe").isNotNull() & (F.col("frame_idx") - F.col("first_frame") < limit)).select("clip_id", "probe", "frame_idx")
 
 
 def sample_windows(clips: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.ordered import pick_by_index
 from ..sources import readers, writers
 from . import adapters as A
 from . import ordered as W
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 from .scalars import six
 
 FRAME = ["clip_id", "frame_idx"]
@@ -376,10 +376,14 @@ def v12_bias(spark, sf_dir):
     return K.check_bias(scoring.error_stats(pairs))
 
 
-@query("o6_all_violations", f"""
-    SELECT rule, count(*) AS n FROM (
-      SELECT CASE WHEN rev THEN 'scene_reversed' ELSE 'scene_outside' END AS rule FROM ({JUDGED_SQL}) WHERE rev OR outside
-      UNION ALL SELECT CASE WHEN flags = 3 THEN 'targets_missing' ELSE 'targets_unexpected' END FROM ({_BENT_HEADER_SQL})) GROUP BY ALL""")
+RULE_QUERIES = (
+    "v1_scene_ranges", "v2_scene_coverage", "v3_lum_hist", "v4_hue_hist", "v5_pq_range", "v6_fall", "v7_flags", "v8_metadata", "v9_duration",
+    "v10_counts", "v11_shot_rules", "v12_domains", "v12_bias",
+)
+
+
+@query("o6_all_violations", "SELECT rule, severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT rule, severity FROM ({ORACLES[name]})" for name in RULE_QUERIES) + ") GROUP BY ALL")
 def o6(spark, sf_dir):
-    every = K.all_violations(K.check_scene_ranges(*_bent(spark, sf_dir)), v7(spark, sf_dir))
-    return every.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """All twelve rule families together."""
+    every = K.all_violations(*[QUERIES[name](spark, sf_dir) for name in RULE_QUERIES])
+    return every.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
