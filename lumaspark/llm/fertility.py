@@ -28,7 +28,7 @@ from .tasks import stage
 
 VOCABULARIES = "/opt/tokenizers"  # where the files lie on every node
 PIECES, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
-REACH = 4.0
+REACH = 3.0  # of the far-out fence
 LEAST_DOCS = 40
 FLOORS = {"piece_chars": 0.15, "byte_chars": 0.15, "fallback": 0.01, "entropy": 0.15}
 BLOCK_BYTES = 8 << 20
