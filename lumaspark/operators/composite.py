@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.reshape import (
@@ -165,3 +169,116 @@ def composite_params(exported: DataFrame) -> DataFrame:
         | ((c["kind"] == "polynomial") & F.exists(c["pieces"], lambda p: ~passes_through(p))),
     )
     return rows.withColumn("active", acts)
+
+
+# The same on packed planes: one row per frame, no sample is shuffled ----------------------
+PLANES = ("luma", "cb", "cr")
+PACKED = "clip_id STRING, frame_idx INT, luma BINARY, cb BINARY, cr BINARY"
+
+
+def _piece_of(x: np.ndarray, curve: dict) -> np.ndarray:
+    """Index of the first piece whose upper pivot lies above each code, else of the last piece."""
+    n = len(curve["pieces"])
+    return np.minimum(np.searchsorted(np.asarray(curve["pivots"][1:n + 1]), x, side="right"), n - 1)
+
+
+def _container(fixed: np.ndarray, denom: int) -> np.ndarray:
+    return np.clip((fixed >> denom) << CONTAINER_SHIFT, 0, 65535)
+
+
+def _coefficient(line, i: int) -> int:
+    return 0 if line is None or len(line) <= i or line[i] is None else int(line[i])
+
+
+def _shape_luma(bl: np.ndarray, curve: dict, denom: int) -> np.ndarray:
+    if curve["kind"] != "polynomial" or not len(curve["pieces"]):
+        return bl
+    x = bl >> CONTAINER_SHIFT
+    lines = [p["coefs"][0] if len(p["coefs"]) else None for p in curve["pieces"]]
+    c = np.array([[_coefficient(line, i) if i < 2 or p["ord"] >= 1 else 0 for i in range(3)] for line, p in zip(lines, curve["pieces"])], np.int64)
+    at = _piece_of(x, curve)
+    return _container(c[at, 0] + (c[at, 1] + c[at, 2] * x) * x, denom)
+
+
+def _shape_chroma(bl: np.ndarray, y16: np.ndarray, cb16: np.ndarray, cr16: np.ndarray, curve: dict, denom: int) -> np.ndarray:
+    if curve["kind"] != "mmr":
+        return bl
+    if not len(curve["pieces"]):
+        return cb16
+    y, cb, cr = (v >> CONTAINER_SHIFT for v in (y16, cb16, cr16))
+    at = _piece_of(y, curve)
+    out = np.empty_like(bl)
+    for number, piece in enumerate(curve["pieces"]):
+        here = at == number
+        luma, first, second = y[here], cb[here], cr[here]
+        total = np.full(len(luma), int(piece["constant"]), np.int64)
+        for order in range(1, min(max(int(piece["ord"]), 1), 3) + 1):
+            line = piece["coefs"][order - 1] if len(piece["coefs"]) >= order else None
+            if line is None or not len(line):
+                continue
+            k = [_coefficient(line, i) for i in range(7)]
+            # Powers of luma and both chroma codes, scaled back after each product.
+            a, b, c = luma, first, second
+            for _ in range(order - 1):
+                a, b, c = ((p * v) >> denom for p, v in ((a, luma), (b, first), (c, second)))
+            cross = (((k[3] * a) >> denom) * first) + (((k[4] * a) >> denom) * second) + (((k[5] * b) >> denom) * second)
+            lead = (k[6] * a) >> denom
+            total += k[0] * a + k[1] * b + k[2] * c + cross + ((lead * first * second if order == 1 else lead * b) >> denom)
+        out[here] = _container(total, denom)
+    return out
+
+
+def _residual(el16: np.ndarray, row, channel: int) -> np.ndarray:
+    t = (el16 >> CONTAINER_SHIFT) - int(row.nlq_offset[channel])
+    if row.disabled:
+        return np.zeros_like(t)
+    denom, bits = int(row.denom), int(row.el_bits)
+    slope, threshold, limit = (
+        (int(getattr(row, f"{n}_int")[channel]) << denom) + int(getattr(row, n)[channel]) for n in ("slope", "threshold", "max")
+    )
+    limit <<= 11 - bits
+    sign = np.sign(t)
+    dq = ((t * 2 - sign) << (10 - bits)) * slope + (threshold << (11 - bits)) * sign
+    return np.where(t == 0, 0, np.clip(dq, -limit, limit) >> (denom - 5 - bits))
+
+
+def composite_frame(base: list[np.ndarray], enhancement: list[np.ndarray], row) -> list[np.ndarray]:
+    """The three composited planes of a frame, as 16-bit words; ``row`` has the frame's parameters."""
+    luma, denom = base[0], int(row.denom)
+    # A chroma sample's luma stands at flat index min(4 * idx, last).
+    near = luma[np.minimum(np.arange(len(base[1])) * 4, len(luma) - 1)]
+    neutral = np.full(len(base[2]), NEUTRAL_CHROMA_16, np.int64)
+    shaped = [
+        _shape_luma(luma, row.curves[0], denom),
+        _shape_chroma(base[1], near, base[1], neutral, row.curves[1], denom),
+        _shape_chroma(base[2], near, base[1], base[2], row.curves[2], denom),
+    ]
+    sums = [s + _residual(el, row, c) for c, (s, el) in enumerate(zip(shaped, enhancement))]
+    return [np.clip((v + 32) >> CONTAINER_SHIFT, 0, 1023) << CONTAINER_SHIFT for v in sums]
+
+
+def composite_planes(base: DataFrame, enhancement: DataFrame, params: DataFrame) -> DataFrame:
+    """``composite`` for frames stored as packed little-endian words (clip_id, frame_idx, luma, cb, cr).
+
+    The join is by frame, so a frame's planes move at most once. A frame without an enhancement row or
+    parameters, and a layer of another size, fail the job.
+    """
+    upper = enhancement.select(*FRAME, *[F.col(p).alias(f"el_{p}") for p in PLANES])
+    known = frame_params(base, params)
+    rows = base.select(*FRAME, *PLANES).join(upper, FRAME, "left").join(known.withColumn("_known", F.lit(True)), FRAME, "left")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.rename(columns={"_known": "known"}).itertuples(index=False):
+                place = f"clip {row.clip_id} frame {row.frame_idx}"
+                if row.known is not True and row.known != True:  # noqa: E712  null after the outer join
+                    raise ValueError(f"no parameters in {place}")
+                below = [np.frombuffer(getattr(row, p), "<u2").astype(np.int64) for p in PLANES]
+                above = [np.frombuffer(getattr(row, f"el_{p}") or b"", "<u2").astype(np.int64) for p in PLANES]
+                if [len(p) for p in below] != [len(p) for p in above]:
+                    raise ValueError(f"the enhancement layer ends early or has another size in {place}")
+                out.append((row.clip_id, row.frame_idx, *[p.astype("<u2").tobytes() for p in composite_frame(below, above, row)]))
+            yield pd.DataFrame(out, columns=["clip_id", "frame_idx", *PLANES])
+
+    return rows.mapInPandas(task, PACKED)

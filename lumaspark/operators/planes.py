@@ -226,3 +226,34 @@ def measure_planes(
     stats = plane_stats(planes, transfer, hlg_peak, domain, crops)
     diffs = plane_diffs(planes, "luma" if transfer == "HLG" else domain, crops) if estimator == "robust" else None
     return measure.finish_frames(measure.assemble(stats, min_percentile), peak_percentile, estimator, diffs)
+
+
+def median3_planes(planes: DataFrame, crops: DataFrame | None = None) -> DataFrame:
+    """``grain.median3`` on stored frames: nine shifted views of the luma plane and the middle of each nine.
+
+    Only the interior of the crop changes. Rows must be whole frames; a strip lacks its neighbours' rows and fails.
+    """
+    given = _with_rects(planes, crops)
+    names = planes.columns
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                luma = codes_of(row.luma).reshape(-1, int(row.width)).copy()
+                if int(getattr(row, "row0", 0)) or len(luma) != int(row.height):
+                    raise ValueError(f"clip {row.clip_id} frame {row.frame_idx}: the median needs whole frames")
+                rect = getattr(row, "rect", None)
+                x, y, w, h = rect if rect is not None else (0, 0, luma.shape[1], luma.shape[0])
+                source = luma.copy()
+                right, rows = x + w - 1, max(SAMPLES_AT_ONCE // max(luma.shape[1], 1), 1)
+                for top in range(y + 1, y + h - 1, rows):
+                    bottom = min(top + rows, y + h - 1)
+                    if right - x < 2:
+                        break
+                    views = [source[top + dy:bottom + dy, x + 1 + dx:right + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+                    luma[top:bottom, x + 1:right] = np.partition(np.stack(views), 4, axis=0)[4]
+                out.append(luma.astype("<u2").tobytes())
+            yield pdf.assign(luma=out)[names]
+
+    return given.mapInPandas(smooth, planes.schema)

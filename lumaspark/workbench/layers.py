@@ -226,3 +226,33 @@ def composite_inputs(spark, sf_dir):
 @query("j8_composite", COMPOSITE_SQL)
 def j8(spark, sf_dir):
     return C.composite(*composite_inputs(spark, sf_dir))
+
+
+def packed(layer, value: str):
+    """Planes of long samples as little-endian words, one row per frame."""
+    word = F.concat(F.lpad(F.hex(F.col(value) % 256), 2, "0"), F.lpad(F.hex(F.shiftright(value, 8)), 2, "0"))
+    rows = layer.select(*FRAME, "plane", F.struct("idx", word.alias("w")).alias("s"))
+
+    def plane(number: int, name: str):
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("plane") == number, F.col("s")))), lambda s: s["w"]), "")
+        return F.unhex(text).alias(name)
+
+    return rows.groupBy(*FRAME).agg(*[plane(i, name) for i, name in enumerate(C.PLANES)])
+
+
+def unpacked(planes, value: str):
+    """Long samples (plane, idx) of packed words."""
+    def words(name: str):
+        text = F.hex(name)
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length(name), 1) - 1), lambda i: F.conv(
+            F.concat(F.substring(text, (i * 4 + 3).cast("int"), F.lit(2)), F.substring(text, (i * 4 + 1).cast("int"), F.lit(2))), 16, 10).cast("int"))
+
+    parts = [planes.select(*FRAME, F.lit(i).alias("plane"), F.posexplode(words(name)).alias("idx", value)) for i, name in enumerate(C.PLANES)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("j8_composite_planes", COMPOSITE_SQL)
+def j8_planes(spark, sf_dir):
+    """The same samples, composited as packed planes."""
+    lower, enhancement, params = composite_inputs(spark, sf_dir)
+    return unpacked(C.composite_planes(packed(lower, "bl16"), packed(enhancement, "el16"), params), "out16")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import estimators as E
 from ..functions import transfer as T
+from ..sources import readers
 from ..operators import grain, measure, planes, samples as S
 from . import adapters as A
 from .registry import query
@@ -416,13 +417,16 @@ def e8(spark, sf_dir):
     return clips.join(measure.peak_domain(clips), "clip_id")
 
 
-@query("w17_median3", f"""
+MEDIAN_SQL = f"""
     WITH m AS ({A.MOSAIC_LUMA_SQL}), inner_m AS (SELECT m.* FROM m JOIN ({A.MOSAIC_CROPS_SQL}) c ON m.clip_id = c.clip_id
         WHERE x > rx AND x < rx + rw - 1 AND y > ry AND y < ry + rh - 1),
     med AS (SELECT i.clip_id, i.frame_idx, i.x, i.y, list_sort(list(n.y_code))[count(*) // 2 + 1] AS med FROM inner_m i JOIN m n
         ON i.clip_id = n.clip_id AND i.frame_idx = n.frame_idx AND n.x BETWEEN i.x - 1 AND i.x + 1 AND n.y BETWEEN i.y - 1 AND i.y + 1 GROUP BY ALL)
     SELECT m.clip_id, m.frame_idx, m.x, m.y, coalesce(med, y_code)::INT AS y_code FROM m LEFT JOIN med
-        ON m.clip_id = med.clip_id AND m.frame_idx = med.frame_idx AND m.x = med.x AND m.y = med.y""")
+        ON m.clip_id = med.clip_id AND m.frame_idx = med.frame_idx AND m.x = med.x AND m.y = med.y"""
+
+
+@query("w17_median3", MEDIAN_SQL)
 def w17(spark, sf_dir):
     return grain.median3(A.mosaic_luma(spark, sf_dir), A.mosaic_crops(spark, sf_dir))
 
@@ -469,3 +473,9 @@ def a26_planes(spark, sf_dir):
 def a2_planes(spark, sf_dir):
     stats = planes.plane_stats(mosaic_planes(spark, sf_dir), crops=A.mosaic_crops(spark, sf_dir))
     return stats.where(F.col("hue_bin").isNotNull()).groupBy(*FRAME, F.col("hue_bin").alias("bin")).agg(F.sum("n").alias("n"))
+
+
+@query("w17_median3_planes", MEDIAN_SQL)
+def w17_planes(spark, sf_dir):
+    smooth = planes.median3_planes(mosaic_planes(spark, sf_dir), A.mosaic_crops(spark, sf_dir))
+    return readers.samples_from_planes(smooth).select(*FRAME, "x", "y", "y_code")

@@ -118,6 +118,28 @@ def test_short_layer_and_missing_parameters_fail(spark, small):
         C.composite(base, enhancement, params.where("false")).agg(F.sum("out16")).collect()
 
 
+def test_packed_layers_fail_alike_and_move_no_sample(spark, small):
+    base, enhancement, params = layers.composite_inputs(spark, small)
+    lower, upper = layers.packed(base, "bl16"), layers.packed(enhancement, "el16")
+    with pytest.raises(Exception, match="ends early"):
+        C.composite_planes(lower, layers.packed(enhancement.where("idx < 1000"), "el16"), params).count()
+    with pytest.raises(Exception, match="ends early"):
+        C.composite_planes(lower, upper.where("frame_idx > 0"), params).count()
+    with pytest.raises(Exception, match="no parameters"):
+        C.composite_planes(lower, upper, params.where("false")).count()
+    stored = spark.createDataFrame([], lower.schema)
+    plan = C.composite_planes(stored, spark.createDataFrame([], upper.schema), params)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.split("MapInPandas")[0].lower() and "idx" not in plan.split("\n")[0].replace("frame_idx", "")
+
+
+def test_median_of_planes(spark):
+    planes = raw_planes(spark, 9, 7)
+    some = crops(spark, "a")
+    got = readers.samples_from_planes(P.median3_planes(planes, some)).select(*FRAME, "x", "y", "y_code")
+    want = grain.median3(readers.samples_from_planes(planes), some).select(*FRAME, "x", "y", "y_code")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Conf(dict):
         def get(self, key, default=None):
