@@ -1,12 +1,14 @@
-"""Samples to frames, scenes, targets and headers: the whole measurement of a catalogue."""
+"""Samples or stored planes to frames, scenes, targets and headers: the whole measurement of a catalogue."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import grain, measure, rollups, samples as S, scenes as SC, smoothing, targets
+from ..operators import grain, measure, planes as P, rollups, samples as S, scenes as SC, smoothing, targets
 from ..session import staged
 
 
@@ -50,11 +52,15 @@ class Options:
         targets.profile_named(self.profile)
 
 
-@dataclass(frozen=True)
 class Result:
-    frames: DataFrame
-    scenes: DataFrame
-    headers: DataFrame
+    """Scenes and headers, and the frames with their targets: those are worked out when they are asked for."""
+
+    def __init__(self, frames: Callable[[], DataFrame], scenes: DataFrame, headers: DataFrame) -> None:
+        self._frames, self.scenes, self.headers = frames, scenes, headers
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        return self._frames()
 
 
 def with_quality(name: str, options: Options) -> Options:
@@ -101,6 +107,14 @@ def analyze_frames(measured: DataFrame, o: Options, all_frames: DataFrame | None
     )
     smoothed = staged(smoothed, "smoothed")
     scenes = rollups.scene_stats(smoothed)
+    headers = rollups.headers(
+        smoothed, scenes, o.version, o.optimizer, o.target_peak_nits, o.header_peak_source
+    )
+    return Result(lambda: with_targets(smoothed, scenes, o), scenes, headers)
+
+
+def with_targets(smoothed: DataFrame, scenes: DataFrame, o: Options) -> DataFrame:
+    """The smoothed frames with the optimizer's targets."""
     final = smoothed
     if o.optimizer:
         final = targets.optimizer_pass(smoothed, scenes, o.profile)
@@ -117,15 +131,27 @@ def analyze_frames(measured: DataFrame, o: Options, all_frames: DataFrame | None
             final = smoothed.drop("target_nits").join(
                 better.select("clip_id", "frame_idx", "target_nits"), ["clip_id", "frame_idx"]
             )
-    headers = rollups.headers(
-        smoothed, scenes, o.version, o.optimizer, o.target_peak_nits, o.header_peak_source
-    )
-    return Result(final, scenes, headers)
+    return final
+
+
+def measure_stored(planes: DataFrame, crops: DataFrame | None, o: Options) -> DataFrame:
+    """``measure_samples`` for stored planes: each row is reduced where it is read."""
+    if S.effective_stride(o.stride) > 1:
+        raise ValueError("a stride is for long samples; stored planes are measured whole")
+    chosen = S.every_nth_frame(planes, o.sample_rate)
+    if o.denoise == "median3":
+        chosen = P.median3_planes(chosen, crops)
+    domain = "luma" if o.transfer == "HLG" else o.domain
+    return P.measure_planes(
+        chosen, o.transfer, o.hlg_peak_nits, domain, crops, o.min_percentile, o.peak_percentile, o.peak_estimator,
+    ).drop("fine_entries", "n", "raw_max_pq")
 
 
 def analyze(samples: DataFrame, crops: DataFrame | None = None, options: Options | None = None) -> Result:
-    """The whole measurement. The frame table is staged once, so the samples are scanned once."""
+    """The whole measurement of long samples or stored planes. The frame table is staged once, so the input is scanned
+    once. A clip without a crop is measured whole."""
     o = options or Options()
-    measured = staged(measure_samples(samples, crops, o), "frames")
+    pixel_pass = measure_stored if "luma" in samples.columns else measure_samples
+    measured = staged(pixel_pass(samples, crops, o), "frames")
     every = samples.select("clip_id", "frame_idx").distinct() if o.sample_rate > 1 else None
     return analyze_frames(measured, o, every)

@@ -556,6 +556,19 @@ def flagship_headers(spark, sf_dir):
     return _analysis(spark, sf_dir).headers
 
 
+@query("flagship_headers_planes", """
+    SELECT clip_id, count(*)::INT AS frame_count, max(n)::BIGINT AS samples FROM (SELECT clip_id, frame_idx, count(*) AS n FROM (""" + A.MOSAIC_SQL + """) GROUP BY ALL) GROUP BY clip_id""")
+def flagship_headers_planes(spark, sf_dir):
+    """The whole analysis of stored planes gives the headers that the long samples give."""
+    from .pixels import mosaic_planes
+
+    o = Options(scene_threshold=THRESHOLD)
+    columns = ("clip_id", "scene_count", "frame_count", "maxcll", "maxfall", "avgfall")
+    stored, long = (analyze(given, None, o).headers.select(*columns) for given in (mosaic_planes(spark, sf_dir), A.mosaic(spark, sf_dir)))
+    sizes = A.mosaic(spark, sf_dir).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n")).groupBy("clip_id").agg(F.max("n").alias("samples"))
+    return stored.join(long, list(columns)).join(sizes, "clip_id").select("clip_id", "frame_count", "samples")
+
+
 @query("flagship_targets", f"""
     WITH {ANALYSIS_CTES},
     limited AS MATERIALIZED (SELECT clip_id, frame_idx, p AS v FROM ({limit_sql(optimizer_sql('SELECT * FROM smooth'), 'raw_target', 'clip_id', 'frame_idx', 200)})),

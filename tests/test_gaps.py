@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumaspark.operators import composite as C, grain, measure, ordered as O, planes as P, samples as S, scenes as SC, smoothing
+from lumaspark.plans.analyze import Options, analyze
 from lumaspark.session import stage_dir
 from lumaspark.sources import readers
 from lumaspark.streaming import live as L
@@ -140,6 +141,26 @@ def test_median_of_planes(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("options", [{}, {"peak_estimator": "robust", "denoise": "median3"}, {"sample_rate": 2}])
+def test_whole_analysis_of_planes_equals_samples(spark, options):
+    planes = raw_planes(spark, 8, 6, frames=7)
+    o = Options(scene_threshold=5.0, min_scene_length=2, **options)
+    results = [analyze(given, crops(spark, "a"), o) for given in (planes, readers.samples_from_planes(planes))]
+    heads, frames = ([sorted(map(tuple, getattr(r, part).select(*columns).collect())) for r in results] for part, columns in (
+        ("headers", ("clip_id", "frame_count", "scene_count", "maxcll", "maxfall", "avgfall")), ("frames", ("clip_id", "frame_idx", "target_nits")),
+    ))
+    assert heads[0] == heads[1] and frames[0] == frames[1]
+    assert [h[0] for h in heads[0]] == ["a", "b"] and len(frames[0]) == 14
+
+
+def test_headers_alone_smooth_no_target(spark, monkeypatch):
+    from lumaspark.plans import analyze as plan
+
+    monkeypatch.setattr(plan, "with_targets", lambda *a: pytest.fail("targets were worked out"))
+    planes = raw_planes(spark, 8, 6, frames=3)
+    assert analyze(planes, None, Options()).headers.count() == 2
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Conf(dict):
         def get(self, key, default=None):
