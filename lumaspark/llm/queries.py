@@ -95,6 +95,58 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def found_sql(pattern: str, group: int) -> str:
+    """Start, text and measured group of each match of a pattern in d(doc_id, t)."""
+    q = pattern.replace("'", "''")
+    return f"""
+      SELECT doc_id, m[i] AS v, g[i] AS value, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS start FROM (
+        SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT doc_id, regexp_extract_all(t, '{q}', 0) AS m, regexp_extract_all(t, '{q}', {group}) AS g, [length(x) for x in string_split_regex(t, '{q}')] AS gaps,
+                 [length(x) for x in regexp_extract_all(t, '{q}', 0)] AS sizes FROM d WHERE regexp_matches(t, '{q}')))"""
+
+
+def secrets_sql() -> str:
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, start, {secrets.KINDS.index(kind)} AS rank, start + length(v) AS stop FROM ({found_sql(pattern, group)}) WHERE length(value) >= {least}"
+        for kind, pattern, group, least in secrets.PATTERNS
+    )
+    w, allowed = secrets.WINDOW, " AND ".join(f"NOT regexp_matches(v, '{p}')" for p in secrets.ALLOWED)
+    hexadecimal, mixed = (secrets.KINDS.index(k) for k in ("entropy_hex", "entropy_mixed"))
+    hex_most, mixed_most = (secrets.most_weight(secrets.LEAST_BITS[k]) for k in ("entropy_hex", "entropy_mixed"))
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    shown = f"{names}[rank + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({base}),
+candidates AS MATERIALIZED (SELECT doc_id, start, v FROM ({found_sql(secrets.CANDIDATE, 0)}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND {allowed}),
+windows AS (SELECT doc_id, start AS c, start + i AS start, substr(v, CAST(i AS INTEGER) + 1, {w}) AS z FROM (SELECT *, unnest(range(length(v) - {w} + 1)) AS i FROM candidates)),
+counted AS (SELECT doc_id, c, start, z, count(*) AS n FROM (SELECT *, unnest(string_split(z, '')) AS ch FROM windows) GROUP BY doc_id, c, start, z, ch),
+summed AS (SELECT doc_id, c, start, z, CAST(sum(({secrets.weights()})[n + 1]) AS BIGINT) AS total FROM counted GROUP BY doc_id, c, start, z),
+kinds AS (
+  SELECT doc_id, c, start, CASE
+    WHEN NOT regexp_matches(z, '[0-9]') THEN NULL
+    WHEN regexp_full_match(z, '[0-9A-Fa-f]+') THEN CASE WHEN regexp_matches(z, '[A-Fa-f]') AND total <= {hex_most} THEN {hexadecimal} END
+    WHEN regexp_matches(z, '[A-Z]') AND regexp_matches(z, '[a-z]') AND total <= {mixed_most} THEN {mixed} END AS rank
+  FROM summed
+), marked AS (
+  SELECT *, CASE WHEN start <= lag(start) OVER p + {w} THEN 0 ELSE 1 END AS new FROM kinds WHERE rank IS NOT NULL WINDOW p AS (PARTITION BY doc_id, c, rank ORDER BY start)
+), islands AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, c, rank ORDER BY start) AS part FROM marked
+), entropy AS (
+  SELECT doc_id, min(start) AS start, rank, max(start) + {w} AS stop FROM islands GROUP BY doc_id, c, rank, part
+), every AS (
+  SELECT doc_id, start, rank, stop FROM base
+  UNION ALL SELECT doc_id, start, rank, stop FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start <= e.start AND b.stop >= e.stop)
+), told AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg({shown}, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg({shown}, ',' ORDER BY start, rank, stop) AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id
+"""
+
+
 HELD_OUT_FOLDS, SCORED_FOLD = 5, 1
 
 
@@ -128,6 +180,33 @@ def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.index(warc.normalise(archives))).withColumnRenamed("id", "page_id")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, [w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> ''] AS words FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i + 1:i + 20], ' ') AS h FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS i FROM d)),
+firsts AS MATERIALIZED (SELECT h, min((doc_id, i)) AS first FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT doc_id, pos FROM (SELECT w.doc_id, unnest(range(w.i, w.i + 20)) AS pos FROM windows w JOIN firsts f ON w.h = f.h WHERE (w.doc_id, w.i) <> f.first)),
+gone AS (SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM d) p
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = p.doc_id AND c.pos = p.pos) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(len(g.gone), 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS hex FROM pages
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(hex, i // 4 * 5 + 1, 5)) AS BIGINT) >> (15 - i % 4 * 5)) & 31 AS INTEGER) + 1, 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
 
 
@@ -141,4 +220,4 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_mix_to_targets, op2_temporal_url_lists, op3_tokeniser_fertility, op4_secret_scan, op5_maxent_scores, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language)
 }
-ORACLES: dict[str, str] = {"op2_temporal_url_lists": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_temporal_url_lists": OP2_SQL, "op4_secret_scan": secrets_sql(), "op8_debruijn_dedup": OP8_SQL, "op9_warc_normaliser": OP9_SQL}
