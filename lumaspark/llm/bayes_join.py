@@ -30,6 +30,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, BANDS, BAND_ROWS = 96, 32, 3
 STEP = 16
+VALUE = np.dtype(np.uint16)  # kept bits of a MinHash value; different sets agree by chance once in 65536, which only keeps a pair
 TOLERANCE = 1e-9
 BLOCK = 256
 PAIRS_AT_ONCE = 1 << 15
@@ -73,9 +74,9 @@ def signatures(texts: pa.Array) -> pa.Array:
     for a, b in W.slices(texts, SKETCH_BYTES):
         g, at = shingles(texts.slice(a, b - a))
         full = np.flatnonzero(np.diff(at))
-        low = np.empty((len(full), HASHES), np.uint32)
+        low = np.empty((len(full), HASHES), VALUE)
         for j in range(HASHES if len(full) else 0):
-            low[:, j] = np.minimum.reduceat((g ^ FLIPS[j]) * MULTIPLIERS[j], at[full]) >> np.uint64(32)
+            low[:, j] = np.minimum.reduceat((g ^ FLIPS[j]) * MULTIPLIERS[j], at[full]) >> np.uint64(64 - 8 * VALUE.itemsize)
         lines: list[bytes | None] = [None] * (b - a)
         for k, r in enumerate(full.tolist()):
             lines[r] = low[k].tobytes()
@@ -116,7 +117,7 @@ def compare(need: dict[int, int]):
     def task(batches):
         for rows, cuts in runs(batches, ("key", "lo", "hi")):
             raw, _ = binaries(rows.column("sketch"))
-            s = raw.view(np.uint32).reshape(-1, HASHES)
+            s = raw.view(VALUE).reshape(-1, HASHES)
             key, lo, hi, band, block, node, copies = (flat(rows, c) for c in ("key", "lo", "hi", "band", "block", "node", "copies"))
             out: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -226,7 +227,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     nodes = stage(
         sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "join-nodes"
     )
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS)))))
+    width = VALUE.itemsize * BAND_ROWS
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * width + 1, F.lit(width)))))
     banded = nodes.where("sketch IS NOT NULL").select("node", band.alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("long")
