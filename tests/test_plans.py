@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lumaspark.operators import measure
 from lumaspark.sources import readers
-from lumaspark.workbench import adapters as A
+from lumaspark.workbench import registry, adapters as A
 
 SAMPLE = (
     "a1_lum_histogram", "a13_max_cll", "a19_error_stats", "c1_detect_crop", "j3_attach_scene", "j5_match_cuts", "j8_composite", "j10_first_usable_after",
@@ -45,7 +45,8 @@ def test_the_pixel_pass_shuffles_bins_and_scans_once(spark, small):
 
 def test_every_operator_has_a_query_and_sql(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(queries) == set(oracles)
+    # The optional text operators have tests of their own where SQL can't say what they do.
+    assert set(oracles) <= set(queries) and set(registry.QUERIES) <= set(oracles)
     found = {name.split("_")[0] for name in queries}
     counts = {"s": 15, "f": 21, "p": 8, "a": 26, "j": 12, "w": 18, "e": 8, "c": 5, "o": 6, "v": 12, "m": 18, "t": 4}
     assert {f"{letter}{i}" for letter, n in counts.items() for i in range(1, n + 1)} <= found
