@@ -112,22 +112,24 @@ def j5(spark, sf_dir):
     return scoring.match_cuts(mine, theirs).withColumn("recall_pct", F.round("recall_pct", 6))
 
 
-# Two runs over the users of the event table; some users are missing in one of them.
-RUNS_SQL = "SELECT 'user' || user_id || '.bin' AS name, count(*)::INT AS scene_count, round(max(value))::INT AS maxcll, round(avg(value))::INT AS maxfall FROM events WHERE {where} GROUP BY user_id"
-BASE_SQL, CURRENT_SQL = RUNS_SQL.format(where="event_type != 'view'"), RUNS_SQL.format(where="event_type != 'click' AND user_id % 5 != 0")
-
-
-def _run(spark, sf_dir, condition):
-    return A.table(spark, sf_dir, "events").where(condition).groupBy(
-        F.concat(F.lit("user"), F.col("user_id"), F.lit(".bin")).alias("name")
-    ).agg(
-        F.count(F.lit(1)).cast("int").alias("scene_count"), F.round(F.max("value")).cast("int").alias("maxcll"),
-        F.round(F.avg("value")).cast("int").alias("maxfall"),
+# Two runs over all events; the second has other values, and every fifth user has another name in it.
+RUNS_SQL = "SELECT {stem} || user_id || '.bin' AS name, (count(*) + user_id % {step})::INT AS scene_count, round(max(value) + user_id % {step})::INT AS maxcll, round(avg(value) + user_id % {step})::INT AS maxfall FROM events GROUP BY user_id"
+BASE_SQL = RUNS_SQL.format(stem="'user'", step=1)
+CURRENT_SQL = RUNS_SQL.format(stem="CASE WHEN user_id % 5 = 0 THEN 'other' ELSE 'user' END", step=7)
+
+
+def _run(spark, sf_dir, stem, step: int):
+    shift = F.col("user_id") % step
+    runs = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    return runs.select(
+        F.concat(stem, F.col("user_id"), F.lit(".bin")).alias("name"), (F.col("n") + shift).cast("int").alias("scene_count"),
+        F.round(F.col("top") + shift).cast("int").alias("maxcll"), F.round(F.col("mean") + shift).cast("int").alias("maxfall"),
     )
 
 
 def _two_runs(spark, sf_dir):
-    return _run(spark, sf_dir, F.col("event_type") != "view"), _run(spark, sf_dir, (F.col("event_type") != "click") & (F.col("user_id") % 5 != 0))
+    renamed = F.when(F.col("user_id") % 5 == 0, "other").otherwise("user")
+    return _run(spark, sf_dir, F.lit("user"), 1), _run(spark, sf_dir, renamed, 7)
 
 
 @query("j6_pair_runs", f"SELECT name, TRUE AS paired FROM ({BASE_SQL}) JOIN ({CURRENT_SQL}) USING (name) UNION ALL SELECT name, FALSE FROM ({BASE_SQL}) WHERE name NOT IN (SELECT name FROM ({CURRENT_SQL}))")

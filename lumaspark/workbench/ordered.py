@@ -144,9 +144,10 @@ def w5_repair(spark, sf_dir):
     return SC.repair_scenes(bent, counts)
 
 
-@query("o1_sort_cuts", MARKS_SQL)
+@query("o1_sort_cuts", f"SELECT {KEY} FROM ({A.SERIES_SQL})")
 def o1(spark, sf_dir):
-    return SC.sort_cuts(_marks(spark, sf_dir))
+    """Every frame as a cut; ``tests/test_frames.py`` looks at the order itself."""
+    return SC.sort_cuts(A.series(spark, sf_dir).select(*FRAME))
 
 
 @query("j3_attach_scene", f"""

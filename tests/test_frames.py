@@ -168,3 +168,11 @@ def test_rect_helpers(spark):
         G.scale_rect(G.rect(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), 2).alias("up"), G.shrink_rect(G.rect(F.lit(5), F.lit(9), F.lit(3), F.lit(4)), 4).alias("down")
     ).first()
     assert tuple(row.up) == (2, 4, 6, 8) and tuple(row.down) == (1, 2, 2, 2)
+
+
+def test_cuts_come_out_in_order(spark):
+    from lumaspark.operators import scenes
+
+    rows = [(clip, frame) for frame in (30, 2, 111, 7) for clip in ("b", "a10", "a2")]
+    cuts = spark.createDataFrame(rows, "clip_id STRING, frame_idx INT").repartition(3)
+    assert [tuple(r) for r in scenes.sort_cuts(cuts).collect()] == sorted(rows)
