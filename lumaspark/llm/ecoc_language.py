@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
 from . import words as W
+from .tasks import stage
 
 FEATURES = 1 << 14
 SMOOTHING = 0.5
@@ -100,7 +100,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     given = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     pairs = given.select(F.lower(F.col(text)), F.col(lang))
     counts = pairs.mapInArrow(_count, "lang STRING, feature INT, n BIGINT").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    counts = staged(counts, "ecoc-counts")
+    counts = stage(counts, "ecoc-counts")
     languages = sorted(r[0] for r in given.select(lang).distinct().collect())
     code = codewords(len(languages))
     if not languages:

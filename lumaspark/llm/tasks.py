@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -9,20 +10,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import staged
+from ..session import stage_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """``staged``, after which Spark drops the shuffle files of the write: what it wrote is read instead of them."""
+    """Writes ``df`` once into the shared folder and reads it back, after which Spark drops the shuffle files of the
+    write: what it wrote is read instead of them. ``discard`` removes the table."""
     spark = df.sparkSession
+    path = f"{stage_dir(spark)}/lumaspark-{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return staged(df, label)
+        df.write.mode("error").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._staged_at = path
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Removes staged tables that nothing will read again: all that was made from them is written itself."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
