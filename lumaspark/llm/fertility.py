@@ -31,7 +31,7 @@ PIECES, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 REACH = 3.0  # of the far-out fence
 LEAST_DOCS = 40
 FLOORS = {"piece_chars": 0.15, "byte_chars": 0.15, "fallback": 0.01, "entropy": 0.15}
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = tuple(FLOORS)

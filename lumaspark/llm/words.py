@@ -26,7 +26,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 GRAM_BASE = 0xD6E8FEB86659FD93
 BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HASH_PIECE = 1 << 20  # bytes hashed at once
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
