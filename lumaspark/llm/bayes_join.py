@@ -259,8 +259,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the rows whose class has a lesser id; of repeated rows with one id a single one stays; rows without an id stay."""
-    heads = stage(join(docs, doc_id, text, **how).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_head"), "n"), "join-heads")
-    kept = docs.join(heads.select("_head"), F.col(doc_id).cast("long") == F.col("_head"), "left_semi")
-    if not heads.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    found = stage(join(docs, doc_id, text, **how).where("doc_id IS NOT NULL"), "join-classes")
+    # the ids that go are fewer than those that stay; still they grow with the corpus, so they are merged and never broadcast
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
+    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    if found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
