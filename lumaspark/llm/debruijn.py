@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
-from .tasks import flat, stage
+from .tasks import discard, flat, stage
 
 WINDOW = 20
 ANCHOR = 6
@@ -170,6 +170,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     all_edges = stage(given.mapInArrow(edges(window, anchor), EDGE), "debruijn-edges")
     twice = all_edges.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
     shared = stage(all_edges.join(twice, "anchor", "left_semi"), "debruijn-shared")
+    discard(all_edges)
     kinds = stage(shared.groupBy("anchor", "edge").agg(F.min(F.struct("doc", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("c")), "debruijn-kinds")
 
     repeated = kinds.where("c > 1").select("edge", "c")
