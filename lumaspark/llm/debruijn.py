@@ -8,7 +8,7 @@ words it covers. So about one row per seven words is shuffled, not one per word.
 2. Edges that occur more than once are linked to the edge that follows them at every occurrence, if that one is always preceded by them: these
    paths have no branch and are compacted by pointer doubling, one join per round. Every occurrence of a path but the first is a repeated span.
 3. Where a minimiser has several different edges, the windows of each edge's first occurrence are compared one by one: passages begin and end inside edges.
-4. Spans on one diagonal are joined, and each is verified at its source coordinates: both documents are read there and a 128-bit digest of the words must agree.
+4. A repeated span names the last place before it in its own document, else the first of all. Spans on one diagonal are joined, and each is verified at its source coordinates: both documents are read there and a 128-bit digest of the words must agree.
 5. Words under a verified span are removed.
 
 All groupings have map-side combination and all joins have one row per key on one side, so a passage or a copied document that makes up a third of the corpus is
@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
 from .tasks import discard, flat, stage
@@ -164,28 +164,38 @@ def paths(occurrences: DataFrame, repeated: DataFrame) -> DataFrame:
     return jumps.join(heads, "edge").select("edge", "windows")
 
 
+def sourced(occurrences: DataFrame, windows: Column) -> DataFrame:
+    """All occurrences but the first, each with an earlier one: the last before it in its document, else the first of all."""
+    later = occurrences.where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    own = F.col("prior").isNotNull()
+    return later.select(
+        "doc", F.col("start").cast("long"), windows.alias("windows"), F.when(own, F.col("doc")).otherwise(F.col("first.doc")).alias("source_doc"),
+        F.coalesce("prior", "first.start").cast("long").alias("source_start"),
+    )
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc, start, words, source_doc, source_start: verified passages of which every window starts earlier, at the source."""
     given = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    # the place before in the same document: there a text that repeats itself has one source at one distance, and so one long span
+    within = Window.partitionBy("doc", "edge").orderBy("start")
     all_edges = stage(given.mapInArrow(edges(window, anchor), EDGE), "debruijn-edges")
     twice = all_edges.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
-    shared = stage(all_edges.join(twice, "anchor", "left_semi"), "debruijn-shared")
+    shared = stage(all_edges.join(twice, "anchor", "left_semi").withColumn("prior", F.lag("start").over(within)), "debruijn-shared")
     discard(all_edges)
     kinds = stage(shared.groupBy("anchor", "edge").agg(F.min(F.struct("doc", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("c")), "debruijn-kinds")
 
     repeated = kinds.where("c > 1").select("edge", "c")
     heads = paths(shared.select("edge", "doc", "start", "n"), repeated)
     whole = heads.join(kinds.where("c > 1").select("edge", "first"), "edge")
-    later = shared.select("edge", "doc", "start").join(whole, "edge").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    by_path = later.select("doc", F.col("start").cast("long"), F.col("windows"), F.col("first.doc").alias("source_doc"), F.col("first.start").cast("long").alias("source_start"))
+    by_path = sourced(shared.select("edge", "doc", "start", "prior").join(whole, "edge"), F.col("windows"))
 
     branching = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
     firsts = kinds.join(branching, "anchor", "left_semi").select("first.doc", "first.start", "n")
     per_doc = firsts.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # no more than a document's own edges
-    single = stage(given.join(per_doc, "doc").select("doc", "text", "spans").mapInArrow(single_windows(window), "edge BIGINT, doc BIGINT, start INT"), "debruijn-windows")
+    single = stage(given.join(per_doc, "doc").select("doc", "text", "spans").mapInArrow(single_windows(window), "edge BIGINT, doc BIGINT, start INT").withColumn("prior", F.lag("start").over(within)), "debruijn-windows")
     least = single.groupBy("edge").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    again = single.join(least, "edge").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    by_window = again.select("doc", F.col("start").cast("long"), F.lit(1).cast("long").alias("windows"), F.col("first.doc").alias("source_doc"), F.col("first.start").cast("long").alias("source_start"))
+    by_window = sourced(single.join(least, "edge"), F.lit(1).cast("long"))
 
     diagonal = Window.partitionBy("doc", "source_doc", "shift").orderBy("start", "windows")
     spans = by_path.unionByName(by_window).withColumn("shift", F.col("start") - F.col("source_start"))
