@@ -4,9 +4,11 @@ Two public vocabularies measure each text: a piece vocabulary with byte fallback
 with the space before it. From these come characters per token under either vocabulary, the share of fallback bytes, and the entropy of
 the piece tokens. A word that recurs in a block of texts is encoded once.
 
-Rejection bands: documents are grouped by language (by script where it is null) and by the power of two of their token count, on which
-entropy depends. In each group of ``LEAST_DOCS`` or more documents that pass the base rules, a measure may lie ``REACH`` interquartile ranges beyond the
-quartiles; the ranges have a floor so that a uniform group doesn't reject on trifles. Quartiles are taken over all documents by Spark.
+Rejection bands: documents are grouped by language (by script where it is null) and by the power of two of the characters of their words, on which
+entropy depends and which bad fertility doesn't change. Where fewer than ``LEAST_DOCS`` documents of such a group pass the base rules, the band is that of the language,
+else of the script, else of all documents, however few; so every document has one. A measure may lie ``REACH`` interquartile ranges beyond the group's
+quartiles; the ranges have a floor so that a uniform group doesn't reject on trifles. A group of all lengths gives way in entropy by one bit for each doubling
+of the characters past its quartiles of length, more than which length alone can't add or take. Quartiles are taken over all documents by Spark.
 
 Defined results: a null or empty text has no words and fails the base rules; its measures are null. Repeated rows are measured alike and both count. A null language uses the script of the text's first letter.
 Columns of the input are kept; one named like an output column is replaced. Texts are read whole.
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .tasks import stage
+from .tasks import let, stage
 
 VOCABULARIES = "/opt/tokenizers"  # where the files lie on every node
 PIECES, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 REACH = 3.0  # of the far-out fence
 LEAST_DOCS = 40
+LEVELS = 4  # of groups: language and size, language, script, all documents
 FLOORS = {"piece_chars": 0.15, "byte_chars": 0.15, "fallback": 0.01, "entropy": 0.15}
 BLOCK_BYTES = 4 << 20
 SYMBOLS = np.zeros(256, bool)
@@ -154,26 +157,51 @@ def measurer(folder: str):
 
 def script_of(text: Column) -> Column:
     """Script of the first letter."""
-    letter = F.regexp_extract(text, r"\p{L}", 0)
-    found = F.lit("other")
-    for s in reversed(SCRIPTS):
-        found = F.when(letter.rlike(rf"\p{{Is{s}}}"), s.lower()).otherwise(found)
-    return F.concat(F.lit("script:"), found)
+
+    def named(letter: Column) -> Column:
+        found = F.lit("other")
+        for s in reversed(SCRIPTS):
+            found = F.when(letter.rlike(rf"\p{{Is{s}}}"), s.lower()).otherwise(found)
+        return F.concat(F.lit("script:"), found)
+
+    return let(F.regexp_extract(text, r"\p{L}", 0), named)
+
+
+def groups_of() -> Column:
+    """The groups of a document, finest first, one per row as struct(level, key, size)."""
+    every = F.lit(-1)
+    levels = ((F.col("_group"), F.col("_size")), (F.col("_group"), every), (F.col("_script"), every), (F.lit(""), every))
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), key.alias("_key"), size.alias("_cell")) for k, (key, size) in enumerate(levels)])).alias("_g")
+
+
+def bands_of(measured: DataFrame, reach: float) -> DataFrame:
+    """_group, _script, _size → low and high of each measure, from the finest group that is large enough."""
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(c)
+    slack = lambda m: reach * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(FLOORS[m]))
+    level = ("_level", "_key", "_cell")
+    passed = measured.where("NOT base_failed").select(groups_of(), "_length", *MEASURES).select("_g.*", "_length", *MEASURES)
+    groups = passed.groupBy(*level).agg(F.count("*").alias("_n"), *[quartiles(m) for m in (*MEASURES, "_length")]).where((F.col("_n") >= LEAST_DOCS) | (F.col("_level") == LEVELS - 1))
+    fences = [x for m in MEASURES for x in ((F.col(m)[0] - slack(m)).alias(f"_low_{m}"), (F.col(m)[1] + slack(m)).alias(f"_high_{m}"))]
+    lengths = [F.when(F.col("_level") > 0, F.col("_length")[k]).alias(n) for k, n in enumerate(("_short", "_long"))]
+    bands = groups.select(*level, F.struct(*fences, *lengths).alias("_band"))
+    cells = measured.select("_group", "_script", "_size").distinct()
+    asked = cells.select("*", groups_of()).select("_group", "_script", "_size", "_g.*")
+    return asked.join(bands, list(level)).groupBy("_group", "_script", "_size").agg(F.min_by("_band", "_level").alias("_band")).select("_group", "_script", "_size", "_band.*")
 
 
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", folder: str = VOCABULARIES, reach: float = REACH) -> DataFrame:
     """``docs`` without the text, with all measures, ``base_failed``, ``kept`` and ``reasons`` (measures out of band, joined by commas)."""
     fields = [f.split(":")[0].strip() for f in OUTPUT.removeprefix("STRUCT<").removesuffix(">").split(",")]
     own = {*fields, "base_failed", "kept", "reasons", text}
-    group = F.coalesce(F.col(lang).cast("string"), script_of(F.coalesce(F.col(text), F.lit(""))))
-    measured = docs.select(*[c for c in docs.columns if c not in own], group.alias("_group"), measurer(folder)(F.col(text)).alias("_m")).select("*", "_m.*").drop("_m")
+    script = script_of(F.coalesce(F.col(text), F.lit("")))
+    measured = docs.select(*[c for c in docs.columns if c not in own], F.col(lang).cast("string").alias("_group"), script.alias("_script"), measurer(folder)(F.col(text)).alias("_m")).select("*", "_m.*").drop("_m")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = stage(measured.withColumns({"base_failed": failed, "_size": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")}), "fertility")
-    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(c)
-    groups = measured.where("NOT base_failed").groupBy("_group", "_size").agg(F.count("*").alias("_n"), *[quartiles(m) for m in MEASURES]).where(F.col("_n") >= LEAST_DOCS)
-    slack = lambda m: reach * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(FLOORS[m]))
-    bands = groups.select("_group", "_size", *[x for m in MEASURES for x in ((F.col(m)[0] - slack(m)).alias(f"_low_{m}"), (F.col(m)[1] + slack(m)).alias(f"_high_{m}"))])
-    joined = measured.join(bands, ["_group", "_size"], "left")
-    out = [F.when((F.col(m) < F.col(f"_low_{m}")) | (F.col(m) > F.col(f"_high_{m}")), F.lit(m)) for m in MEASURES]
+    length = F.log2(F.greatest("word_chars", F.lit(1)).cast("double"))
+    measured = stage(measured.withColumns({"base_failed": failed, "_group": F.coalesce("_group", "_script"), "_length": length, "_size": F.floor(length).cast("int")}), "fertility")
+    joined = measured.join(bands_of(measured, reach), ["_group", "_script", "_size"], "left")
+    low, high = ({m: F.col(f"_{side}_{m}") for m in MEASURES} for side in ("low", "high"))
+    low["entropy"] -= F.greatest(F.coalesce(F.col("_short") - F.col("_length"), F.lit(0.0)), F.lit(0.0))
+    high["entropy"] += F.greatest(F.coalesce(F.col("_length") - F.col("_long"), F.lit(0.0)), F.lit(0.0))
+    out = [F.when((F.col(m) < low[m]) | (F.col(m) > high[m]), F.lit(m)) for m in MEASURES]
     judged = joined.withColumn("reasons", F.concat_ws(",", *out)).withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == ""))
     return judged.select(*[c for c in judged.columns if not c.startswith("_")])

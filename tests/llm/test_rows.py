@@ -183,6 +183,22 @@ def test_fertility_band_rejects_the_odd_one(spark):
     assert all(r.kept for r in few)  # a group too small for quartiles has no band
 
 
+def test_fertility_bands_reach_every_document(spark):
+    """The odd text is rejected in a large and a small corpus, in a rare language, and when it is long; a long or short clean one is not."""
+    rng = random.Random(3)
+    stock = "the and with from this that have which their about would there people".split()
+    clean = lambda n: " ".join(rng.choice(stock) + rng.choice("abcdefghij") for _ in range(n))
+    odd = lambda n: " ".join(chr(0x1F600 + rng.randrange(60)) + chr(0x12000 + rng.randrange(900)) for _ in range(n))
+    rows = [(i, clean(200), "en") for i in range(80)] + [(100, clean(20_000), "en"), (101, clean(55), "en"), (102, clean(200), "zz"), (103, clean(200), None)]
+    rows += [(900, odd(60), "en"), (901, odd(60), "zz"), (902, odd(20_000), "en"), (903, odd(60), None)]
+    judged = {r.doc_id: r for r in Q.rules(documents(spark, rows)).collect()}
+    assert len(judged) == len(rows)
+    for i, r in judged.items():
+        assert not r.base_failed and r.kept == (i < 900), (i, r.reasons)
+    few = {r.doc_id: r for r in Q.rules(documents(spark, [*rows[:5], rows[-4]])).collect()}
+    assert {i for i, r in few.items() if r.kept} == set(range(5)) and "fallback" in few[900].reasons
+
+
 def test_scores_count_all_training_tokens(spark, monkeypatch):
     monkeypatch.setattr(M, "FREQUENT", 8)
     rng = random.Random(4)
