@@ -6,7 +6,7 @@
    similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); below ``TOLERANCE`` the pair is dropped.
 4. The rest is verified exactly on the 5-gram sets (as 64-bit hashes).
 
-No pair becomes a row. A bucket of n nodes is dealt into about n / ``BLOCK`` blocks and each pair of blocks is one group of bounded size; what leaves it is a list of
+No pair becomes a row. A bucket of n nodes is dealt into about n / ``BLOCK`` blocks, or more if their n-grams pass ``BLOCK_BYTES`` each, and each pair of blocks is one group of bounded size; what leaves it is a list of
 surviving pairs in one row, later one row per node with the number of its links and the least node it is connected to in the group. A pair is handled only in the
 first band that it shares. Equal texts are collapsed by an aggregation, so a third of all rows being copies costs one node.
 
@@ -30,9 +30,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, BANDS, BAND_ROWS = 96, 32, 3
 STEP = 16
-VALUE = np.dtype(np.uint16)  # kept bits of a MinHash value; different sets agree by chance once in 65536, which only keeps a pair
+VALUE = np.dtype(np.uint16)  # kept bits of a MinHash value, spread anew; different minima agree by chance once in 65536, which only keeps a pair
 TOLERANCE = 1e-9
 BLOCK = 256
+BLOCK_BYTES = 32 << 20  # of n-gram hashes in a block
 PAIRS_AT_ONCE = 1 << 15
 SKETCH_BYTES = 1 << 20
 COLUMNS = 4096  # n-grams per matrix product
@@ -70,18 +71,22 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(texts: pa.Array) -> pa.Array:
+    """Kept bits of the MinHash values, null without a word, and the number of n-grams."""
     out: list[bytes | None] = []
+    sizes: list[int] = []
     for a, b in W.slices(texts, SKETCH_BYTES):
         g, at = shingles(texts.slice(a, b - a))
         full = np.flatnonzero(np.diff(at))
         low = np.empty((len(full), HASHES), VALUE)
         for j in range(HASHES if len(full) else 0):
-            low[:, j] = np.minimum.reduceat((g ^ FLIPS[j]) * MULTIPLIERS[j], at[full]) >> np.uint64(64 - 8 * VALUE.itemsize)
+            # the top bits of a minimum over many n-grams are nought, so they are mixed with the others before the cut
+            low[:, j] = W.mix(np.minimum.reduceat((g ^ FLIPS[j]) * MULTIPLIERS[j], at[full])) >> np.uint64(64 - 8 * VALUE.itemsize)
         lines: list[bytes | None] = [None] * (b - a)
         for k, r in enumerate(full.tolist()):
             lines[r] = low[k].tobytes()
         out += lines
-    return pa.array(out, pa.binary())
+        sizes += np.diff(at).tolist()
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], ["sketch", "grams"])
 
 
 def shingle_sets(texts: pa.Array) -> pa.Array:
@@ -218,24 +223,28 @@ def verify(threshold: float):
     return task
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def placed(nodes: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Nodes (node, sketch, grams) → key, band, node, block, lo, hi: a row for each pair of blocks of a bucket that a node is compared in."""
+    width = VALUE.itemsize * BAND_ROWS
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * width + 1, F.lit(width)))))
+    banded = nodes.where("sketch IS NOT NULL").select("node", "grams", band.alias("band", "key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("grams").alias("n_grams")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("n_grams") * 8 / block_bytes)).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), parts)
+    dealt = banded.join(full, "key").select("key", "band", "node", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    return dealt.select("key", "band", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: ``doc_id``, ``rep_id`` (least id with that text), ``class_id`` (least id of the component of links),
     ``n_copies`` (rows with that text) and ``n_links`` (other rows of similarity ``threshold`` or more, copies among them)."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     text_key = F.when(F.col("doc_id").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary"))))
-    sketched = stage(given.select("doc_id", text_key.alias("key"), arrow(signatures, "binary")("text").alias("sketch")), "join-sketches")
+    sketched = stage(given.select("doc_id", text_key.alias("key"), arrow(signatures, "STRUCT<sketch: BINARY, grams: BIGINT>")("text").alias("s")).select("doc_id", "key", "s.*"), "join-sketches")
     nodes = stage(
-        sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "join-nodes"
+        sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("grams").alias("grams")), "join-nodes"
     )
-    width = VALUE.itemsize * BAND_ROWS
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * width + 1, F.lit(width)))))
-    banded = nodes.where("sketch IS NOT NULL").select("node", band.alias("band", "key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("long")
-    own = F.pmod(F.xxhash64("node", F.lit(11)), parts)
-    placed = banded.join(full, "key").select("key", "band", "node", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    placed = placed.select("key", "band", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    compared = placed.join(nodes.select("node", "copies", "sketch"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    compared = placed(nodes, block, block_bytes).join(nodes.select("node", "copies", "sketch"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = stage(
         compared.mapInArrow(compare(least_matches(threshold, tolerance)), "key BIGINT, lo BIGINT, hi BIGINT, nodes ARRAY<BIGINT>, copies ARRAY<BIGINT>, pairs BINARY"), "join-pairs"
     )

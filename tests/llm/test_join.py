@@ -93,6 +93,25 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert need[96] > 45
 
 
+def test_long_unrelated_texts_have_unlike_sketches():
+    texts = pa.array([sentence(100_000, start=k * 1_000_000) for k in range(3)])
+    s = np.array([np.frombuffer(x["sketch"], J.VALUE) for x in J.signatures(texts).to_pylist()])
+    for i, j in combinations(range(3), 2):
+        assert (s[i] == s[j]).sum() <= 2
+
+
+def test_blocks_are_cut_by_bytes_of_sets(spark):
+    nodes = spark.range(60).selectExpr("id AS node", "unhex(repeat('00', 192)) AS sketch", "CAST(131072 AS BIGINT) AS grams")  # 1 MB of hashes each
+    groups = J.placed(nodes, block_bytes=4 << 20).groupBy("key", "lo", "hi").count().collect()
+    assert max(r["count"] for r in groups) < 30
+    assert {r["count"] for r in J.placed(nodes.selectExpr("node", "sketch", "CAST(9 AS BIGINT) AS grams")).groupBy("key", "lo", "hi").count().collect()} == {60}
+
+
+def test_links_hold_with_small_blocks_of_bytes(spark, rows):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(documents(spark, rows), block_bytes=20_000).collect()}
+    assert {i: v for i, v in got.items() if i not in (200, 201)} == expected(rows)
+
+
 def test_overlaps_by_product_equal_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 500, 60).astype(np.uint64)) for _ in range(12)]
