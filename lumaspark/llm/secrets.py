@@ -6,6 +6,10 @@ over it with one character count per code kept up to date, one added and one tak
 is carried as whole numbers, so that every engine gets the same decision. Windows of hexadecimal characters and mixed windows have
 their own least entropy; windows above it that touch are one span. Allow-listed candidates and spans inside a pattern's span are left out.
 
+A ``thorough`` scan, that of the pipeline, has two more classes, windows of lower-case letters and digits alone and of upper-case letters and digits alone
+(base36 and base32), and an allow-list match inside a candidate silences the windows that overlap it and no others; a pattern that begins with
+``^`` and an allowed value still speak for the whole candidate. The plain scan is what the SQL twin defines.
+
 Defined results: a null text counts as empty; repeated rows are scanned alike; of spans with equal start the kinds go in the order of ``KINDS``,
 then the shorter first. Texts are scanned whole. Columns of the input are kept; one named like an output column is replaced.
 """
@@ -13,6 +17,7 @@ then the shorter first. Texts are scanned whole. Columns of the input are kept;
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,10 +31,11 @@ PATTERNS = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+THOROUGH_KINDS = (*KINDS, "entropy_lower", "entropy_upper")
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"
 SCALE = 1 << 20
-LEAST_BITS = {"entropy_hex": 2.9, "entropy_mixed": 3.7}
+LEAST_BITS = {"entropy_hex": 2.9, "entropy_mixed": 3.7, "entropy_lower": 3.4, "entropy_upper": 3.4}
 ALLOWED = (
     r"(?i)example|dummy|placeholder|changeme",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -77,8 +83,10 @@ def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int)
     return F.when(text.rlike(quick), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def window_spans(value: Column, start: Column, window: int = WINDOW) -> Column:
-    """Spans of the candidate ``value`` whose windows have enough entropy, by counts kept up to date."""
+def window_spans(value: Column, start: Column, window: int = WINDOW, silenced: Sequence[str] | None = None) -> Column:
+    """Spans of the candidate ``value`` whose windows have enough entropy, by counts kept up to date. With ``silenced`` the scan
+    is thorough, and windows that overlap a match of one of these patterns don't count."""
+    thorough = silenced is not None
     table = F.array(*[F.lit(w) for w in weights(window)])
     empty = F.array().cast(f"array<{SPAN}>")
     hex_most, mixed_most = (most_weight(LEAST_BITS[k], window) for k in ("entropy_hex", "entropy_mixed"))
@@ -94,10 +102,11 @@ def window_spans(value: Column, start: Column, window: int = WINDOW) -> Column:
         span = lambda a: F.array(F.struct(a.alias("start"), F.lit(rank).alias("rank"), at.alias("stop")))
         return F.when(~hit, spans).when(joins, F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), span(last["start"]))).otherwise(F.concat(spans, span(low)))
 
-    def scan(codes: Column) -> Column:
+    def scan(codes: Column, quiet: Column | None = None) -> Column:
+        more = {"l": "entropy_lower", "u": "entropy_upper"} if thorough else {}
         begin = F.struct(
             F.array_repeat(F.lit(0), CODES).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("upper"),
-            F.lit(0).alias("lower"), F.lit(0).alias("hex"), empty.alias("h"), empty.alias("m"), F.lit(0).alias("at"),
+            F.lit(0).alias("lower"), F.lit(0).alias("hex"), empty.alias("h"), empty.alias("m"), *[empty.alias(k) for k in more], F.lit(0).alias("at"),
         )
 
         def step(acc: Column, code: Column) -> Column:
@@ -112,46 +121,62 @@ def window_spans(value: Column, start: Column, window: int = WINDOW) -> Column:
                     (acc["sum"] + F.when(code == gone, 0).otherwise(change)).alias("sum"),
                     (acc["digits"] + moved(lambda c: within(c, "0", "9"))).alias("digits"), (acc["upper"] + moved(lambda c: within(c, "A", "Z"))).alias("upper"),
                     (acc["lower"] + moved(lambda c: within(c, "a", "z"))).alias("lower"), (acc["hex"] + moved(is_hex)).alias("hex"),
-                    acc["h"].alias("h"), acc["m"].alias("m"), (acc["at"] + 1).alias("at"),
+                    acc["h"].alias("h"), acc["m"].alias("m"), *[acc[k].alias(k) for k in more], (acc["at"] + 1).alias("at"),
                 ),
-                lambda s: s.withField("h", grown(s["h"], KINDS.index("entropy_hex"), s["at"], full(s) & (s["hex"] == window) & (s["upper"] + s["lower"] > 0) & (s["sum"] <= hex_most)))
-                .withField("m", grown(s["m"], KINDS.index("entropy_mixed"), s["at"], full(s) & (s["hex"] < window) & (s["upper"] > 0) & (s["lower"] > 0) & (s["sum"] <= mixed_most))),
+                lambda s: with_more(s, s.withField("h", grown(s["h"], KINDS.index("entropy_hex"), s["at"], full(s) & (s["hex"] == window) & (s["upper"] + s["lower"] > 0) & (s["sum"] <= hex_most)))
+                .withField("m", grown(s["m"], KINDS.index("entropy_mixed"), s["at"], full(s) & (s["hex"] < window) & (s["upper"] > 0) & (s["lower"] > 0) & (s["sum"] <= mixed_most)))),
             )
 
-        def full(s: Column) -> Column:
-            return (s["at"] >= window) & (s["digits"] > 0)
-
-        return let(F.aggregate(codes, begin, step), lambda s: F.concat(s["h"], s["m"]))
+        def with_more(old: Column, new: Column) -> Column:
+            for k, kind in more.items():
+                one = old["lower" if k == "l" else "upper"]
+                hit = full(old) & (old["hex"] < window) & (one > 0) & (old["digits"] + one == window) & (old["sum"] <= most_weight(LEAST_BITS[kind], window))
+                new = new.withField(k, grown(old[k], THOROUGH_KINDS.index(kind), old["at"], hit))
+            return new
 
-    found = let(F.transform(F.split(value, ""), F.ascii), scan)
+        def full(s: Column) -> Column:
+            whole = (s["at"] >= window) & (s["digits"] > 0)
+            return whole if quiet is None else whole & ~F.exists(quiet, lambda q: (q["start"] < s["at"]) & (q["stop"] > s["at"] - window))
+
+        return let(F.aggregate(codes, begin, step), lambda s: F.concat(s["h"], s["m"], *[s[k] for k in more]))
+
+    codes = F.transform(F.split(value, ""), F.ascii)
+    if silenced:
+        # every pattern by itself, so that a match of one can't hide that of another
+        quiet = F.concat(*[F.transform(matches(value, p), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("stop"))) for p in silenced])
+        found = let(F.struct(codes.alias("codes"), quiet.alias("quiet")), lambda x: scan(x["codes"], x["quiet"]))
+    else:
+        found = let(codes, lambda c: scan(c))
     return F.transform(found, lambda s: F.struct((s["start"] + start).alias("start"), s["rank"].alias("rank"), (s["stop"] + start).alias("stop")))
 
 
-def entropy_spans(text: Column, allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = ()) -> Column:
+def entropy_spans(text: Column, allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = (), thorough: bool = False) -> Column:
+    silenced = [p for p in allowed if not re.match(r"(\(\?\w+\))?\^", p)] if thorough else []
+
     def suspicious(m: Column) -> Column:
         ok = m["text"].rlike("[0-9]") & m["text"].rlike("[A-Za-z]")
-        for pattern in allowed:
+        for pattern in (p for p in allowed if p not in silenced):
             ok = ok & ~m["text"].rlike(pattern)
         return ok & ~m["text"].isin(list(allowed_values)) if allowed_values else ok
 
     candidates = F.filter(matches(text, CANDIDATE), suspicious)
-    spans = F.flatten(F.transform(candidates, lambda m: window_spans(m["text"], m["start"])))
+    spans = F.flatten(F.transform(candidates, lambda m: window_spans(m["text"], m["start"], silenced=silenced if thorough else None)))
     return F.when(text.rlike(CANDIDATE.replace(",}", "}")), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = ()) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: arrays of struct(start, rank in ``KINDS``, stop) in order, code points, end exclusive."""
+def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = (), thorough: bool = False) -> DataFrame:
+    """``docs`` with ``base_spans`` and ``all_spans``: arrays of struct(start, rank in ``THOROUGH_KINDS``, stop) in order, code points, end exclusive."""
     kept = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*[pattern_spans(whole, *p) for p in PATTERNS]))
-    found = docs.withColumns({"_base": base, "_more": entropy_spans(whole, allowed, allowed_values)})
+    found = docs.withColumns({"_base": base, "_more": entropy_spans(whole, allowed, allowed_values, thorough)})
     new = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["stop"] >= m["stop"])))
     return found.select(*kept, F.col("_base").alias("base_spans"), F.array_sort(F.concat("_base", new)).alias("all_spans"))
 
 
 def shown(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in THOROUGH_KINDS])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))))
 
 

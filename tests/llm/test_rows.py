@@ -95,6 +95,20 @@ def test_allowed_values_and_patterns(spark):
     assert S.scan(empty(spark)).count() == 0
 
 
+def test_thorough_scan_masks_one_case_secrets_and_those_beside_allowed_words(spark):
+    import corpus_pipeline
+
+    lower, upper, mixed = "k9x2m7q4w8r5t1y6n3v0bzhp", "K7XQ2MZP4WRT5YNB3VCHJGAE", "Kx9fQ2mLw8Rt5YbN1vCz7HdPq3"
+    texts = [f"a {lower} b", f"a {upper} b", f"see docs/example/{mixed} now", "an example_of_a_long_name_with_words2 here", f"sha256-{mixed} x", f"{'x' * 30}1 AAAAAAAAAAAAAAAAAAAAAAA1", f"a {mixed} b"]
+    docs = documents(spark, [*enumerate(texts), (99, None)]).withColumn("n_chars", F.lit(0).cast("long"))
+    out = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()}
+    assert out[0] == out[1] == out[6] == "a [secret] b" and out[99] is None
+    assert out[2].startswith("see docs/example") and "[secret]" in out[2] and mixed[:8] not in out[2] and mixed[-8:] not in out[2]
+    assert [out[k] for k in (3, 4, 5)] == texts[3:6]
+    plain = S.scan(docs).select("doc_id", S.shown(F.col("all_spans")).alias("spans")).collect()
+    assert {r.doc_id for r in plain if r.spans} == {6}  # as its SQL defines
+
+
 LANGUAGES = {"aa": "lorum ipsa dolet kamit", "bb": "grunz wachtel pfosten zwerg", "cc": "océan été rêve île", "dd": "привет слово река гора"}
 
 
