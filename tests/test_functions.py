@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one
 from lumaspark.functions import estimators as E, reshape as R, text as X, transfer as T
+from single_row import one
 
 
 def test_pq_codes_and_round_trip(spark):
