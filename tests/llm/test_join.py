@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import documents, empty, sentence, words
+from text_tables import documents, empty, sentence, words
 
 from lumaspark.llm import bayes_join as J
 from lumaspark.llm.tasks import components, runs

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import documents, empty, sentence, words
+from text_tables import documents, empty, sentence, words
 
 from lumaspark.llm import debruijn as D
 from lumaspark.llm import pigeonhole as P

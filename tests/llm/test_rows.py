@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import documents, empty, sentence, words
+from text_tables import documents, empty, sentence, words
 from pyspark.sql import functions as F
 
 from lumaspark.llm import ecoc_language as L

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import documents, empty, sentence
+from text_tables import documents, empty, sentence
 from pyspark.sql import functions as F
 
 from lumaspark.llm import mixing as X
