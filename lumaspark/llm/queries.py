@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bayes_join, debruijn, ecoc_language, fertility, maxent, mixing, pigeonhole, secrets, url_lists, warc
+from . import bayes_join, debruijn, ecoc_language, fertility, inner_product, maxent, mixing, pigeonhole, ranked_search, secrets, spelling, url_lists, warc
 from .tasks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,7 +217,80 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE doc_id IS NOT NULL
+), d AS MATERIALIZED (SELECT doc_id, doc, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+held AS MATERIALIZED (SELECT doc_id, doc, n, term, count(*) AS tf FROM (SELECT doc_id, doc, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, corpus GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), scored AS (
+  SELECT item_id, doc_id, doc, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weighed USING (term), corpus GROUP BY item_id, doc_id, doc
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 by its table (made from the polynomial) over the bytes of each run; words are near by the words they become without one character.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS steps FROM range(256) t(i)
+), runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) GROUP BY ALL
+), bytes AS (
+  SELECT doc_id, run, n, [CAST('0x' || substr(x, i, 2) AS BIGINT) for i in range(1, len(x), 2)] AS bytes FROM (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE length(run) >= 7)
+), summed AS (
+  SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS h FROM bytes, crc
+), observed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM summed
+), vocabulary AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM observed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER) - 1) || substr(word, CAST(i AS INTEGER) + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * v.n THEN -best[1] END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word
+), followed AS (
+  SELECT word, word AS at, form FROM judged UNION ALL SELECT f.word, j.word, j.form FROM followed f JOIN judged j ON f.form = j.word
+)
+SELECT j.word, j.form, f.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN followed f ON j.word = f.word AND f.form IS NULL
+"""
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_to_targets, op2_temporal_url_lists, op3_tokeniser_fertility, op4_secret_scan, op5_maxent_scores, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language)
+    f.__name__: f for f in (op1_mix_to_targets, op2_temporal_url_lists, op3_tokeniser_fertility, op4_secret_scan, op5_maxent_scores, op6_bayes_jaccard, op7_pigeonhole_leaks, op8_debruijn_dedup, op9_warc_normaliser, op10_ecoc_language, op11_ranked_search, op12_spelling_variants, op13_exact_top_k)
 }
-ORACLES: dict[str, str] = {"op2_temporal_url_lists": OP2_SQL, "op4_secret_scan": secrets_sql(), "op8_debruijn_dedup": OP8_SQL, "op9_warc_normaliser": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_temporal_url_lists": OP2_SQL, "op4_secret_scan": secrets_sql(), "op8_debruijn_dedup": OP8_SQL, "op9_warc_normaliser": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_top_k": OP13_SQL}

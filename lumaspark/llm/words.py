@@ -141,6 +141,27 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         a = b
 
 
+def pieces(texts: pa.Array, separators: np.ndarray, most: int = SLICE_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """The texts, those of more than ``most`` bytes cut before separators (ASCII characters), and the row of each piece.
+
+    A word is never cut: a piece without a separator goes on to the next one."""
+    data, at = buffers(texts)
+    n = np.ones(len(at) - 1, np.int64)
+    cuts: dict[int, np.ndarray] = {}
+    for row in np.flatnonzero(np.diff(at) > most).tolist():
+        spots = np.flatnonzero(separators[data[at[row] : at[row + 1]]]) + at[row]
+        place = np.unique(np.searchsorted(spots, np.arange(at[row] + most, at[row + 1], most)))
+        cuts[row] = spots[place[place < len(spots)]]
+        n[row] += len(cuts[row])
+    rows = np.repeat(np.arange(len(n)), n)
+    begins = at[rows]
+    first = np.cumsum(n) - n
+    for row, cut in cuts.items():
+        begins[first[row] + 1 : first[row] + n[row]] = cut
+    ends = np.append(begins, at[-1])
+    return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data)), rows
+
+
 def columns(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """A list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
