@@ -15,9 +15,7 @@ from ..operators.checks import check_shots
 from ..operators.planes import codes_of
 from ..operators.ordered import previous_row, running_count
 
-LAYOUTS = ("planar", "p010")
 LINES_PER_CHUNK = 8192
-PLANE_COLUMNS = ["clip_id", "frame_idx", "width", "height", "luma", "cb", "cr"]
 
 
 def read_samples(
@@ -39,46 +37,6 @@ def read_samples(
     return samples
 
 
-def planes_from_raw(
-    spark: SparkSession, path: str, width: int, height: int, layout: str = "planar"
-) -> DataFrame:
-    """Planes of raw 4:2:0 files (16-bit little-endian words), one row per frame.
-
-    Planar files hold Y, U and V one after the other; P010 files hold Y and then U and V
-    interleaved, with the code in the high bits. The clip is the file's stem. The binary source
-    reads a file as one value, so files are expected per clip segment.
-    """
-    files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("clip_id"), F.lit(0).alias("first_frame"), "content"
-    )
-    return planes_from_content(files, width, height, layout)
-
-
-def planes_from_content(files: DataFrame, width: int, height: int, layout: str = "planar") -> DataFrame:
-    """Planes of raw content rows (clip_id, first_frame, content)."""
-    if layout not in LAYOUTS:
-        raise ValueError(f"unknown layout {layout!r}")
-    luma, site = width * height, ((width + 1) // 2) * ((height + 1) // 2)
-    words = luma + 2 * site
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for clip, start, content in zip(pdf["clip_id"], pdf["first_frame"], pdf["content"]):
-                count, rest = divmod(len(content), 2 * words)
-                if rest:
-                    raise ValueError(f"clip {clip}: {rest} bytes after frame {start + count - 1} are no whole {width}x{height} frame")
-                raw = np.frombuffer(content, dtype="<u2")
-                for i in range(count):
-                    frame = raw[i * words:(i + 1) * words]
-                    frame = (frame >> 6) & 1023 if layout == "p010" else frame & 1023
-                    y, chroma = frame[:luma], frame[luma:]
-                    cb, cr = (chroma[0::2], chroma[1::2]) if layout == "p010" else (chroma[:site], chroma[site:])
-                    planes = [p.astype("<u2").tobytes() for p in (y, cb, cr)]
-                    yield pd.DataFrame([(clip, start + i, width, height, *planes)], columns=PLANE_COLUMNS)
-
-    return files.mapInPandas(split, schemas.PLANES)
-
-
 def samples_from_planes(planes: DataFrame) -> DataFrame:
     """Long samples of planes; each luma sample gets the codes of its chroma site."""
 

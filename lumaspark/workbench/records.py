@@ -11,10 +11,10 @@ from ..functions import text as X
 from ..functions import transfer as T
 from ..operators import grain, measure, metadata as M, rollups, samples as S, scoring
 from ..session import stage_dir
-from ..sources import catalog, readers, writers
+from ..sources import catalog, raw_video, readers, writers
 from . import adapters as A
 from . import audit, ordered as W
-from .pixels import FINE_SQL, high_sql
+from .pixels import FINE_SQL, high_sql, mosaic_planes
 from .registry import query
 from .scalars import six
 
@@ -329,30 +329,13 @@ def s10(spark, sf_dir):
 # File formats -----------------------------------------------------------------------------
 @query("s2_raw_planes", f"SELECT clip_id, frame_idx, x, y, y_code, cb_code, cr_code FROM ({A.MOSAIC_SQL})")
 def s2(spark, sf_dir):
-    """Raw words of both layouts are assembled from the mosaic and split again."""
-    given = A.mosaic(spark, sf_dir)
-
-    def words(codes):
-        code = lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.shiftright(c, 8)), 2, "0"))
-        return F.array_join(F.transform(codes, code), "")
-
-    def ordered(value, wanted):
-        return F.transform(F.sort_array(F.collect_list(F.when(wanted, F.struct(F.col("y"), F.col("x"), value.alias("v"))))), lambda r: r["v"])
-
-    site = (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)
-    frames = given.groupBy(*FRAME).agg(
-        ordered(F.col("y_code"), F.lit(True)).alias("luma"), ordered(F.col("cb_code"), site).alias("cb"), ordered(F.col("cr_code"), site).alias("cr")
-    )
-    up = lambda codes: F.transform(codes, lambda c: F.shiftleft(c, 6))
-    woven = F.flatten(F.zip_with("cb", "cr", lambda b, r: F.array(b, r)))
-    planar = frames.where(F.col("frame_idx") % 2 == 0).select(
-        "clip_id", F.col("frame_idx").alias("first_frame"), F.unhex(words(F.concat("luma", "cb", "cr"))).alias("content")
-    )
-    p010 = frames.where(F.col("frame_idx") % 2 == 1).select(
-        "clip_id", F.col("frame_idx").alias("first_frame"), F.unhex(words(up(F.concat(F.col("luma"), woven)))).alias("content")
-    )
-    both = readers.planes_from_content(planar, 40, 40).unionByName(readers.planes_from_content(p010, 40, 40, "p010"))
-    return readers.samples_from_planes(both)
+    """Planes of the mosaic as raw files of both layouts, four frames a file, read back two frames a task."""
+    planes, back = mosaic_planes(spark, sf_dir), []
+    for layout, clips in (("planar", ("m0", "m2")), ("p010", ("m1", "m3"))):
+        path = scratch(spark, f"raw-{layout}")
+        raw_video.write_raw(planes.where(F.col("clip_id").isin(*clips)), path, A.SIDE, A.SIDE, layout, frames_per_file=4)
+        back.append(raw_video.read_raw(spark, path, A.SIDE, A.SIDE, layout, frames_per_task=2))
+    return readers.samples_from_planes(back[0].union(back[1]))
 
 
 @query("s4_reference_csv", f"SELECT clip_id, frame_idx, (our_code // 10)::INT AS min_pq, (our_code + 5)::INT AS max_pq, our_code AS avg_pq FROM ({audit.PAIRS_SQL})")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumaspark import schemas
 from lumaspark.functions import geometry as G, transfer as T
 from lumaspark.operators import crop as C, grain, measure, planes as P, samples as S
-from lumaspark.sources import readers
+from lumaspark.sources import raw_video, readers
 
 W, H = 160, 90
 
@@ -119,8 +119,8 @@ def test_raw_files_of_both_layouts(spark, tmp_path):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     (tmp_path / "a" / "film.yuv").write_bytes(planar)
     (tmp_path / "b" / "film.yuv").write_bytes(packed)
-    a = readers.samples_from_planes(readers.planes_from_raw(spark, str(tmp_path / "a"), 6, 8)).collect()
-    b = readers.samples_from_planes(readers.planes_from_raw(spark, str(tmp_path / "b"), 6, 8, "p010")).collect()
+    a = readers.samples_from_planes(raw_video.read_raw(spark, str(tmp_path / "a"), 6, 8)).collect()
+    b = readers.samples_from_planes(raw_video.read_raw(spark, str(tmp_path / "b"), 6, 8, "p010")).collect()
     assert sorted(a) == sorted(b) and len(a) == 2 * 48
     assert {(r.frame_idx, r.y, r.x): (r.y_code, r.cb_code) for r in a}[(1, 5, 4)] == (y[1, 5, 4], cb[1, 2, 2])
 

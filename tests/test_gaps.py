@@ -1,6 +1,7 @@
 """What is missing must not lose anything: clips without a crop, absent frames, short layers, truncated files."""
 
 import random
+import tempfile
 import uuid
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lumaspark.operators import composite as C, grain, measure, ordered as O, planes as P, samples as S, scenes as SC, smoothing
 from lumaspark.plans.analyze import Options, analyze
 from lumaspark.session import stage_dir
-from lumaspark.sources import readers
+from lumaspark.sources import raw_video, readers
 from lumaspark.streaming import live as L
 from lumaspark.workbench import layers
 
@@ -21,8 +22,11 @@ def raw_planes(spark, width, height, frames=2, extra=b"", layout="planar"):
     rng = np.random.default_rng(3)
     site = ((width + 1) // 2) * ((height + 1) // 2)
     words = rng.integers(64, 941, frames * (width * height + 2 * site)).astype("<u2")
-    rows = [("a", 0, bytearray(words.tobytes() + extra)), ("b", 0, bytearray(words.tobytes()))]
-    return readers.planes_from_content(spark.createDataFrame(rows, "clip_id STRING, first_frame INT, content BINARY"), width, height, layout)
+    folder = tempfile.mkdtemp(prefix="spark-raw-")
+    for name, content in (("a", words.tobytes() + extra), ("b", words.tobytes())):
+        with open(f"{folder}/{name}.yuv", "wb") as out:
+            out.write(content)
+    return raw_video.read_raw(spark, folder, width, height, layout)
 
 
 @pytest.mark.parametrize("size", [(5, 5), (8, 6), (7, 4)])
