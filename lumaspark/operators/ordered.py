@@ -26,8 +26,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
+
 CHUNK = 512
 SUPER = 1024  # chunks per group in the second level of a state scan
+SKETCH_SIZE = 1024  # off by less than half a hundredth of the rows
+SPLITTERS = 63
+MOST_ORDERED = 1 << 16  # distinct values ordered in one task
 
 
 def _chunk_of(pos: str, size: int) -> Column:
@@ -434,48 +439,87 @@ def limit_steps(
 
 
 def pick_by_index(
-    df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]], bins: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]], most: int = MOST_ORDERED
 ) -> DataFrame:
-    """Order statistics by zero-based index, exact, without sorting a key in one task.
+    """Order statistics by zero-based index, exact, on any distribution of values.
+
+    ``picks`` maps a name to a function from the row count to an index; an index that no row has gives null. A quantile sketch per
+    key, merged from the tasks, bounds where each wanted index lies. One pass then counts exactly what is below that range and
+    the equal values inside it; only rows inside are shuffled by value. Where the sketch was wrong the
+    whole key is taken. As long as a range holds more than ``most`` distinct values it is cut by the splitters
+    of a new sketch and counted again, so what one task orders is bounded whatever the values are. Null values don't count.
 
-    ``picks`` maps a name to a function from the row count to an index. Equal values
-    are counted first, so ties never pile up. Distinct values are put into ``bins``
-    equal ranges per key; only the ranges that hold a wanted index are ordered.
+    The driver sees two numbers per round. ``df`` is read twice.
     """
-    keys = list(keys)
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all")
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    binned = counts.join(ends, keys).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))
-        .otherwise(F.lit(0))
-        .cast("bigint"),
-    )
-    over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    totals = (
-        binned.groupBy(*keys, "_bin", "_all")
-        .agg(F.sum("_n").alias("_in_bin"))
-        .withColumn("_upto", F.sum("_in_bin").over(over_bins))
-    )
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("pick"), f(F.col("_all")).cast("bigint").alias("at")) for n, f in picks.items()])
-    )
-    hits = (
-        totals.withColumn("_want", wanted)
-        .where((F.col("_want.at") < F.col("_upto")) & (F.col("_want.at") >= F.col("_upto") - F.col("_in_bin")))
-        .select(*keys, "_bin", (F.col("_upto") - F.col("_in_bin")).alias("_before"), "_want")
-    )
-    chosen = binned.join(hits.select(*keys, "_bin", "_before").distinct(), [*keys, "_bin"])
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = chosen.withColumn("_end", F.col("_before") + F.sum("_n").over(in_bin))
-    picked = (
-        ranked.drop("_before")
-        .join(hits.drop("_before"), [*keys, "_bin"])
-        .where((F.col("_want.at") < F.col("_end")) & (F.col("_want.at") >= F.col("_end") - F.col("_n")))
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_want.pick") == n, F.col("_v"))).alias(n) for n in picks]
+    keys, names = list(keys), list(picks)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    held = staged(_near_index(rows, keys, picks), "near-index")
+    told = _sizes(held, keys).agg(F.max("_distinct"), F.sum((~F.col("_sure")).cast("int"))).first()
+    if told[1]:
+        lost = _sizes(held, keys).where(~F.col("_sure")).select(*keys, "_pick", "_at")
+        whole = rows.join(lost, keys).groupBy(*keys, "_pick", "_at", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.lit(0).cast("bigint"))
+        held = staged(held.join(lost.drop("_at"), [*keys, "_pick"], "left_anti").unionByName(whole), "whole-keys")
+        told = _sizes(held, keys).agg(F.max("_distinct")).first()
+    widest = told[0] or 0
+    while widest > most:
+        held = staged(_narrowed(held, keys), "narrowed")
+        before, widest = widest, _sizes(held, keys).agg(F.max("_distinct")).first()[0] or 0
+        if widest >= before:  # whole numbers beyond what a double tells apart
+            break
+    upward = Window.partitionBy(*keys, "_pick").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.where("_v IS NOT NULL").withColumn("_end", F.col("_below") + F.sum("_n").over(upward))
+    found = ranked.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_pick") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)])
+
+
+def _near_index(rows: DataFrame, keys: list[str], picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, _pick, _at, _below, _v, _n): counts of the values near each wanted index. ``_below`` counts what lies under them all."""
+    wide = F.col("_v").cast("double")
+    finite = F.when(F.abs(wide) < float("inf"), wide)
+    facts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_all"), F.count(finite).alias("_finite"), F.kll_sketch_agg_double(finite, SKETCH_SIZE).alias("_sketch")
     )
+
+    def bound(at: Column, step: int) -> Column:
+        """The hundredth of the values ``step`` before or after the wanted one, null beyond the ends."""
+        mark = F.floor((at + 0.5) * 100 / F.col("_all")).cast("int") + step
+        return F.when((F.col("_finite") > 0) & mark.between(1, 99), F.get("_cuts", mark - 1))
+
+    ranges = facts.withColumn("_cuts", F.when(F.col("_finite") > 0, F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(i / 100) for i in range(1, 100)])))).drop("_sketch")
+    for i, index in enumerate(picks.values()):
+        at = index(F.col("_all")).cast("bigint")
+        ranges = ranges.withColumn(f"_at{i}", F.when((at >= 0) & (at < F.col("_all")), at))
+        ranges = ranges.withColumn(f"_lo{i}", bound(F.col(f"_at{i}"), -1)).withColumn(f"_hi{i}", bound(F.col(f"_at{i}"), 2))
+    n = range(len(picks))
+    at = F.array(*[F.col(f"_at{i}") for i in n])
+    marked = rows.join(ranges.drop("_all", "_finite", "_cuts"), keys)
+    # A row is under, in or over the range of each pick; outside all ranges its value doesn't matter.
+    place = [F.when(F.col(f"_at{i}").isNull() | (F.col("_v") > F.col(f"_hi{i}")), 1).when(F.col("_v") < F.col(f"_lo{i}"), -1).otherwise(0) for i in n]
+    placed = marked.select(*keys, at.alias("_ats"), F.array(*place).alias("_place"), "_v")
+    counted = placed.groupBy(*keys, "_ats", "_place", F.when(F.array_contains("_place", 0), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.withColumn("_pick", F.explode(F.array(*[F.lit(i) for i in n]))).withColumn("_side", F.get("_place", F.col("_pick")))
+    inside = F.col("_side") == 0
+    spread = each.where("_side <= 0").groupBy(*keys, "_pick", F.get("_ats", F.col("_pick")).alias("_at"), F.when(inside, F.col("_v")).alias("_v")).agg(F.sum("_n").alias("_n"))
+    below = spread.where("_v IS NULL").select(*keys, "_pick", F.col("_n").alias("_below"))
+    return spread.where("_v IS NOT NULL").join(below, [*keys, "_pick"], "left").select(*keys, "_pick", "_at", F.coalesce("_below", F.lit(0)).alias("_below"), "_v", "_n")
+
+
+def _sizes(held: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values of each range, and whether the wanted index lies in it."""
+    sums = held.groupBy(*keys, "_pick", "_at").agg(F.count("_v").alias("_distinct"), F.min("_below").alias("_below"), F.sum("_n").alias("_in"))
+    return sums.withColumn("_sure", (F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_below") + F.col("_in")))
+
+
+def _narrowed(held: DataFrame, keys: list[str]) -> DataFrame:
+    """The part of each range, between two splitters of its distinct values, that holds the wanted index."""
+    group = [*keys, "_pick"]
+    wide = F.col("_v").cast("double")
+    sketch = F.kll_sketch_agg_double(F.when(F.abs(wide) < float("inf"), wide), SKETCH_SIZE)
+    ranks = F.array(*[F.lit((i + 1) / (SPLITTERS + 1)) for i in range(SPLITTERS)])
+    some = F.count(F.when(F.abs(wide) < float("inf"), 1))
+    cuts = held.groupBy(*group).agg(sketch.alias("_sketch"), some.alias("_some")).select(*group, F.when(F.col("_some") > 0, F.kll_sketch_get_quantile_double("_sketch", ranks)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+    binned = held.join(cuts, group).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= wide))).drop("_cuts")
+    upward = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*group, "_at", "_below", "_bin").agg(F.sum("_n").alias("_in")).withColumn("_end", F.col("_below") + F.sum("_in").over(upward))
+    chosen = bins.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_in"))).select(*group, "_bin", (F.col("_end") - F.col("_in")).alias("_base"))
+    return binned.join(chosen, [*group, "_bin"]).select(*group, "_at", F.col("_base").alias("_below"), "_v", "_n")

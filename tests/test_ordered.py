@@ -128,12 +128,59 @@ def test_windows_counts_and_carries(table, series):
         assert before.get(clip, []) == [None, *seen][:len(seen)]
 
 
-def test_pick_by_index_with_heavy_ties(spark):
+PICKS = {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "p95": lambda n: F.least(F.floor(n * F.lit(0.95)), n - 1), "top": lambda n: n - 1}
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 16])
+def test_pick_by_index_with_heavy_ties(spark, most):
     rng = random.Random(5)
-    values = {"a": [0.0] * 400 + [rng.random() * 50 for _ in range(300)], "b": [7.5] * 3, "c": [1e-9 * i for i in range(50)] + [1e6]}
-    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "clip_id STRING, e DOUBLE")
-    picks = {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "p95": lambda n: F.least(F.floor(n * F.lit(0.95)), n - 1), "top": lambda n: n - 1}
-    for row in O.pick_by_index(df, KEYS, "e", picks, bins=16).collect():
-        ordered = sorted(values[row.clip_id])
+    nan, inf = float("nan"), float("inf")
+    values = {
+        "a": [0.0] * 400 + [rng.random() * 50 for _ in range(300)], "b": [7.5] * 3, "c": [1e-9 * i for i in range(50)] + [1e6],
+        "d": [-inf] * 30 + [rng.gauss(0, 1) for _ in range(40)] + [inf] * 60, "e": [1.0] + [nan] * 5, "f": [nan],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "clip_id STRING, e DOUBLE")
+    got = {r.clip_id: r for r in O.pick_by_index(df, KEYS, "e", PICKS, most).collect()}
+    assert set(got) == set(values)
+    for clip, row in got.items():
+        ordered = sorted(values[clip], key=lambda v: (v != v, v))
         n = len(ordered)
-        assert (row.low, row.mid, row.p95, row.top) == (ordered[0], ordered[n // 2], ordered[min(int(n * 0.95), n - 1)], ordered[-1])
+        want = (ordered[0], ordered[n // 2], ordered[min(int(n * 0.95), n - 1)], ordered[-1])
+        assert repr((row.low, row.mid, row.p95, row.top)) == repr(want)
+
+
+def test_pick_by_index_of_whole_numbers_and_beyond_the_end(spark):
+    df = spark.createDataFrame([("a", (1 << 60) + i) for i in range(40)] + [("b", None)], "clip_id STRING, e BIGINT")
+    picks = {"third": lambda n: n * 0 + 3, "none": lambda n: n + 5}
+    for most in (2, 1 << 16):
+        assert [tuple(r) for r in O.pick_by_index(df, KEYS, "e", picks, most).collect()] == [("a", (1 << 60) + 3, None)]
+
+
+def test_one_far_value_leaves_no_task_with_all_rows(spark):
+    """Ten million distinct values and one of 1e300: what any task after the scans reads stays a small share."""
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).select(F.lit("a").alias("clip_id"), F.when(F.col("id") == 5, 1e300).otherwise(F.xxhash64("id") % 1_000_000_007 + F.col("id") / n).alias("e"))
+    seen = tasks_read(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        row = O.pick_by_index(df, KEYS, "e", {"mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1}).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    heaviest = max(records for stage, records in tasks_read(spark).items() if stage not in seen)
+    assert row.top == 1e300
+    assert df.where(F.col("e") < row.mid).count() == n // 2
+    assert 0 < heaviest < n / 50
+
+
+def tasks_read(spark):
+    """Most records that one task of each finished stage read from a shuffle."""
+    context = spark.sparkContext._jsc.sc()
+    store, gateway = context.statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    out = {}
+    for i in range(stages.size()):
+        stage = stages.apply(i)
+        tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+        reads = [tasks.apply(j).taskMetrics() for j in range(tasks.size())]
+        out[stage.stageId()] = max([m.get().shuffleReadMetrics().recordsRead() for m in reads if m.isDefined()], default=0)
+    return out
