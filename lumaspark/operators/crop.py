@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import (
@@ -9,9 +13,11 @@ from ..functions.geometry import (
     GRID_STEP,
     MIN_LINE_SHARE,
     area,
+    bottom,
     rect,
     rect_matches,
     rect_union,
+    right,
 )
 from ..functions.transfer import is_non_black
 from ..session import staged
@@ -81,7 +87,7 @@ def vote_crop(candidates: DataFrame, tolerance: int = EDGE_TOLERANCE, rounds: in
 
     Equal rectangles are counted first, so a clip contributes its distinct
     rectangles only, however many probes agree. Clusters are the connected
-    components of "edges within tolerance"; labels spread until nothing changes.
+    components of "edges within tolerance", found over whole cells of near rectangles.
     """
     distinct = candidates.groupBy("clip_id", "rect").agg(
         F.count(F.lit(1)).alias("n"), F.min("ord").alias("label")
@@ -100,36 +106,51 @@ def vote_crop(candidates: DataFrame, tolerance: int = EDGE_TOLERANCE, rounds: in
     )
 
 
+def crop_cells(distinct: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of the grid of edges (left, top, right, bottom), and the pairs of cells with a match across.
+
+    A cell spans ``tolerance + 1`` steps of each edge, so all rectangles in it match each other and the cell is one node,
+    named by its least label. Matches across lie between a cell and the 80 around it, of which each pair is looked at from
+    one side. A cell holds at most ``(tolerance + 1) ** 4`` places however many rectangles a clip has, so rows grow
+    with the rectangles and not with their pairs.
+    """
+    side = tolerance + 1
+    r = F.col("rect")
+    ends = (r["x"], r["y"], right(r), bottom(r))
+    cell = [F.floor(e / side).cast("bigint").alias(f"_c{k}") for k, e in enumerate(ends)]
+    place = F.struct(*[F.pmod(e, F.lit(side)).alias(f"p{k}") for k, e in enumerate(ends)])
+    axes = [f"_c{k}" for k in range(4)]
+    placed = distinct.select("*", *cell)
+    cells = staged(placed.groupBy("clip_id", *axes).agg(F.min("label").alias("node"), F.collect_set(place).alias("places")), "crop-cells")
+    steps = [d for d in product((-1, 0, 1), repeat=4) if d > (0, 0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(d)]) for d in steps]))
+    asking = cells.withColumn("_d", step).select(
+        "clip_id", *[(F.col(f"_c{k}") + F.col(f"_d.d{k}")).alias(f"_c{k}") for k in range(4)], "_d", F.col("node").alias("other"), F.col("places").alias("other_places")
+    )
+
+    def match(p: Column, q: Column) -> Column:
+        return reduce(and_, [F.abs(F.col(f"_d.d{k}") * side + q[f"p{k}"] - p[f"p{k}"]) <= tolerance for k in range(4)])
+
+    touching = F.exists("other_places", lambda p: F.exists("places", lambda q: match(p, q)))
+    found = asking.join(cells, ["clip_id", *axes]).where(touching).select("clip_id", "node", "other")
+    return placed.join(cells.drop("places"), ["clip_id", *axes]).drop(*axes), found.union(found.select("clip_id", "other", "node"))
+
+
 def cluster_labels(distinct: DataFrame, tolerance: int, rounds: int) -> DataFrame:
     """Smallest label reachable over matching rectangles.
 
-    A band join on (clip, x bucket) finds neighbours without pairing all rectangles
-    of a clip. Labels are spread ``rounds`` times per pass with pointer jumping until a
-    pass changes nothing; the changed-row count is one number.
+    Labels are spread over the cells ``rounds`` times per pass with pointer jumping until a
+    pass changes nothing; the driver sees whether a row changed.
     """
-    bucket = tolerance + 1
-    nodes = staged(distinct.withColumn("node", F.col("label")), "crop-nodes")
-    home = nodes.withColumn("_b", F.floor(F.col("rect.x") / bucket)).withColumn("_c", F.floor(F.col("rect.y") / bucket))
-    near = (
-        home.select("clip_id", F.col("node").alias("other"), F.col("rect").alias("other_rect"), "_b", "_c")
-        .withColumn("_b", F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])))
-        .withColumn("_c", F.explode(F.array(*[F.col("_c") + d for d in (-1, 0, 1)])))
-    )
-    edges = staged(
-        home.join(near, ["clip_id", "_b", "_c"])
-        .where(rect_matches(F.col("rect"), F.col("other_rect"), tolerance))
-        .select("clip_id", "node", "other"),
-        "crop-edges",
-    )
-    current = nodes.select("clip_id", "node", "label")
+    members, pairs = crop_cells(distinct, tolerance)
+    edges = staged(pairs, "crop-edges")
+    nodes = members.select("clip_id", "node").distinct()
+    current = staged(nodes.withColumn("label", F.col("node")), "crop-labels")
     while True:
         spread = current
         for _ in range(rounds):
-            lowest = (
-                edges.join(spread.select("clip_id", F.col("node").alias("other"), "label"), ["clip_id", "other"])
-                .groupBy("clip_id", "node")
-                .agg(F.min("label").alias("label"))
-            )
+            near = edges.join(spread.select("clip_id", F.col("node").alias("other"), "label"), ["clip_id", "other"]).select("clip_id", "node", "label")
+            lowest = near.union(spread.select("clip_id", "node", "label")).groupBy("clip_id", "node").agg(F.min("label").alias("label"))
             # A label is itself a node, so jumping to its label halves the distance.
             jump = lowest.select("clip_id", F.col("node").alias("label"), F.col("label").alias("next"))
             spread = lowest.join(jump, ["clip_id", "label"], "left").select(
@@ -139,7 +160,7 @@ def cluster_labels(distinct: DataFrame, tolerance: int, rounds: int) -> DataFram
         before = current.select("clip_id", "node", F.col("label").alias("old"))
         changed = spread.join(before, ["clip_id", "node"]).where(F.col("old") != F.col("label"))
         if changed.isEmpty():
-            return nodes.drop("label").join(spread, ["clip_id", "node"]).drop("node")
+            return members.drop("label").join(spread, ["clip_id", "node"]).drop("node")
         current = spread
 
 

@@ -154,6 +154,38 @@ def test_votes(spark):
     assert chain.cluster_count == 1 and tuple(chain.rect) == (0, 0, 160, 98)
 
 
+def test_votes_equal_a_plain_loop(spark):
+    """Clusters over cells are those of all pairs, with negative edges and matches across every kind of border."""
+    rng = np.random.default_rng(17)
+    rects = {clip: sorted({tuple(int(v) for v in rng.integers(-span, span, 4)) for _ in range(n)}) for clip, n, span in (("a", 150, 6), ("b", 300, 9), ("c", 40, 3))}
+    rows = [(clip, 1, i, r) for clip, found in rects.items() for i, r in enumerate(found)]
+    distinct = spark.createDataFrame(rows, f"clip_id STRING, n INT, label INT, rect {schemas.RECT}")
+    got = {(r.clip_id, tuple(r.rect)): r.label for r in C.cluster_labels(distinct, 2, 4).collect()}
+
+    def near(a, b):
+        ends = lambda r: (r[0], r[1], r[0] + r[2], r[1] + r[3])
+        return all(abs(p - q) <= 2 for p, q in zip(ends(a), ends(b), strict=True))
+
+    for clip, found in rects.items():
+        label = list(range(len(found)))
+        while True:
+            new = [min(label[j] for j in range(len(found)) if near(found[i], found[j])) for i in range(len(found))]
+            if new == label:
+                break
+            label = new
+        assert [got[clip, r] for r in found] == label
+
+
+def test_many_sizes_at_one_corner_give_few_edges(spark):
+    n = 100_000
+    rect = F.expr("named_struct('x', 0, 'y', 12, 'width', cast(id % 400 as int), 'height', cast(id div 400 as int))")
+    distinct = spark.range(n).select(F.lit("a").alias("clip_id"), F.lit(1).alias("n"), F.col("id").cast("int").alias("label"), rect.alias("rect"))
+    members, edges = C.crop_cells(distinct, 2)
+    assert members.count() == n
+    cells = members.select("node").distinct().count()
+    assert cells == 134 * 84 and edges.count() <= 8 * cells
+
+
 def test_median_leaves_the_border(spark):
     y = np.arange(48).reshape(6, 8) * 7 % 31 + 100
     rect = spark.createDataFrame([("c", (1, 1, 6, 5))], f"clip_id STRING, rect {schemas.RECT}")
