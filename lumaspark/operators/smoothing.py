@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import estimators as E
 from ..functions import transfer as T
+from ..session import staged
 from .ordered import CHUNK, ema, fold_carries, halo_window, with_rank
 from .samples import FRAME
 
 DEFAULT_BETA = 0.1
+SETTLED = 1e-9  # percent of a histogram
 SCENE = ["clip_id", "scene_id"]
 
 
@@ -96,37 +96,81 @@ def rescale(df: DataFrame) -> DataFrame:
     return df.withColumn("lum_hist", scaled)
 
 
+def recursive_median(rows: np.ndarray, history: list[np.ndarray], window: int) -> np.ndarray:
+    """Each row becomes the median of itself and of the ``window - 1`` outputs before it, scaled to 100."""
+    out = np.empty_like(rows)
+    kept = np.empty((window, rows.shape[1]))
+    held = list(history)[-(window - 1) :]
+    for i, hist in enumerate(rows):
+        n = len(held)
+        if n:
+            for k, h in enumerate(held):
+                kept[k] = h
+            kept[n] = hist
+            ranked = np.sort(kept[: n + 1], axis=0)
+            hist = (ranked[n // 2] + ranked[(n + 1) // 2]) / 2 if n % 2 else ranked[n // 2]
+            total = hist.sum()
+            if total > 0:
+                hist = hist * (100.0 / total)
+        out[i] = hist
+        held.append(out[i])
+        if n + 1 == window:
+            held.pop(0)
+    return out
+
+
 def median_histogram(framed: DataFrame, window: int, chunk: int = CHUNK) -> DataFrame:
     """Per-bin median of the current histogram and up to ``window - 1`` earlier outputs, rescaled.
 
-    The filter feeds on its own output, so its value depends on every earlier frame of
-    the scene and a scene cannot be cut into independent parts. Scenes are spread
-    over tasks and each task streams its rows in order with ``window - 1`` histograms of
-    state: no scene is ever held as a whole. ``window`` <= 1 changes nothing.
+    The filter feeds on its own output, so a value may depend on every earlier frame of the scene. Scenes are cut into chunks all the same: each first runs
+    from the outputs at the end of the scene's first chunk, and then the state that a chunk began with is compared with what the chunk before it
+    ended with. Only chunks that began with another state run again, from the right one. From three frames on
+    the median stays between its own last outputs and soon stands still, so the first guess holds; with two it is an average that forgets, and one more run settles it.
+    A scene that does neither is still right: every round settles at least one more of its chunks. States within ``SETTLED`` percent count as equal.
+
+    The driver sees one emptiness test per round. ``window`` <= 1 changes nothing.
     """
     if window <= 1:
         return framed
-    ordered = framed.repartition(*SCENE).sortWithinPartitions(*SCENE, "scene_pos")
-    names = ordered.columns
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, history = None, []
-        for pdf in batches:
-            out = []
-            for clip, scene, row in zip(pdf["clip_id"], pdf["scene_id"], pdf["lum_hist"]):
-                if (clip, scene) != current:
-                    current, history = (clip, scene), []
-                hist = np.asarray(row, dtype=float)
-                if history:
-                    hist = np.median(np.stack([*history, hist]), axis=0)
-                    total = hist.sum()
-                    if total > 0:
-                        hist = hist * (100.0 / total)
-                history = [*history, hist][-(window - 1):]
-                out.append(hist)
-            yield pdf.assign(lum_hist=out)[names]
-
-    return ordered.mapInPandas(stream, ordered.schema)
+    chunk = max(chunk, window)
+    keys = [*SCENE, "_chunk"]
+    names = framed.columns
+    placed = staged(framed.withColumn("_chunk", F.floor(F.col("scene_pos") / chunk).cast("bigint")), "median-chunks")
+    ends = f"{SCENE[0]} string, {SCENE[1]} {placed.schema[SCENE[1]].dataType.simpleString()}, _chunk bigint, _state array<array<double>>"
+
+    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows
+        rows = rows.sort_values("scene_pos")
+        history = [np.asarray(h, float) for h in entry["_state"].iloc[0]] if len(entry) else []
+        return rows.assign(lum_hist=list(recursive_median(np.stack(rows["lum_hist"].to_numpy()).astype(float), history, window)))
+
+    def runs(rows: DataFrame, entries: DataFrame, label: str) -> DataFrame:
+        return staged(rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(run, placed.schema), label)
+
+    def exits(done: DataFrame) -> DataFrame:
+        """The last outputs of each whole chunk, as the state of the next."""
+        last = done.where(F.col("scene_pos") % chunk >= chunk - window + 1)
+        states = last.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("scene_pos", "lum_hist"))), lambda r: r["lum_hist"]).alias("_state"))
+        return states.withColumn("_chunk", F.col("_chunk") + 1)
+
+    spark = framed.sparkSession
+    first = runs(placed.where("_chunk = 0"), spark.createDataFrame([], ends), "median-first")
+    later = placed.where("_chunk > 0")
+    begun = exits(first).drop("_chunk")
+    entries = staged(later.select(*keys).distinct().join(begun, SCENE), "median-entries")
+    if entries.isEmpty():
+        return first.select(*names)
+    done = first.unionByName(runs(later, entries, "median-guess"))
+    while True:
+        right = exits(done).withColumnRenamed("_state", "_right")
+        far = F.exists(F.zip_with(F.flatten("_state"), F.flatten("_right"), lambda a, b: F.abs(a - b) > SETTLED), lambda x: x)
+        wrong = staged(entries.join(right, keys).where(far).select(*keys, F.col("_right").alias("_state")), "median-wrong")
+        if wrong.isEmpty():
+            return done.select(*names)
+        again = runs(later.join(wrong.select(*keys), keys, "left_semi"), wrong, "median-again")
+        done = staged(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again), "median-done")
+        entries = staged(entries.join(wrong.select(*keys), keys, "left_anti").unionByName(wrong), "median-entries")
 
 
 def default_peak_source(domain: str, profile: str) -> str:
