@@ -147,10 +147,14 @@ def parse_sidecar(documents: DataFrame, required_version: int = 1) -> tuple[Data
     return series, scenes
 
 
+def read_sidecar_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.SIDECAR).option("recursiveFileLookup", True).json(path)
+
+
 def read_sidecar(spark: SparkSession, path: str, required_version: int = 1, require_scenes: bool = False):
     """(frames, scenes) of the sidecars under ``path``. With ``require_scenes`` documents without
     scenes are passed over too, so that the caller can fall back."""
-    documents = spark.read.schema(schemas.SIDECAR).json(path)
+    documents = read_sidecar_documents(spark, path)
     if require_scenes:
         documents = documents.where(F.size("scenes") > 0)
     return parse_sidecar(documents, required_version)
@@ -165,6 +169,19 @@ def read_hdr10plus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_hdr10plus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(clip_id, doc) of files that hold a document per line with its ``clip_id``, as a catalogue is kept."""
+    documents = spark.read.schema(f"clip_id STRING, {schemas.HDR10PLUS}").json(path)
+    return documents.select("clip_id", F.struct("SceneInfo", "SceneInfoSummary").alias("doc"))
+
+
+def read_configs(spark: SparkSession, path: str, per_clip: bool = False) -> DataFrame:
+    """(clip_id, config) as written by ``writers.write_configs``."""
+    if per_clip:
+        return spark.read.schema("value STRING, clip_id STRING").text(path).select("clip_id", F.col("value").alias("config"))
+    return spark.read.schema("clip_id STRING, config STRING").json(path)
+
+
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """(clip_id, track_json) per container-metadata file."""
     return spark.read.text(path, wholetext=True).select(

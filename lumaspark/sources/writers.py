@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators.metadata import shots_from_scenes
 from ..operators.rollups import frame_l1, scene_l1
 from ..operators.scoring import delta_rows
+from . import ordered_text
 
 SIDECAR_VERSION = 1
+SECTION = 1 << 40  # positions of one part of a sidecar
 STATS_COLUMNS = ("selected_pq", "raw_max_pq", "percentile_pq", "robust_pq", "sigma_pq", "correction_pq")
 
 
@@ -24,37 +28,47 @@ def write_samples(samples: DataFrame, table: str, buckets: int) -> None:
     )
 
 
-def sidecar_documents(framed: DataFrame, crops: DataFrame, **options) -> DataFrame:
-    """One nested document per clip: options, crop, scene rows and columnar frame codes.
+def sidecar_pieces(framed: DataFrame, crops: DataFrame, **options) -> DataFrame:
+    """One nested document per clip (options, crop, scene rows, columnar frame codes) as pieces of text: (folder, position, text).
 
-    The format is one document per clip, so its arrays are as long as the clip; each
-    frame adds three small integers.
+    A document is as long as its clip, so it is never a value: each scene and each code of each series is a row, and what lies between them too.
     """
     settings = {
         "min_percentile": 0.1, "denoise_mode": "off", "peak_domain": "max-rgb",
         "peak_estimator": "max", "peak_percentile": 99.99, **options,
     }
     names = ("start", "end", "min_pq_12bit", "avg_luma_pq_12bit", "avg_max_rgb_pq_12bit", "max_pq_12bit")
-    scenes = scene_l1(framed).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("scenes"))
     codes = ("min_pq_12bit", "avg_luma_pq_12bit", "avg_max_rgb_pq_12bit")
-    rows = frame_l1(framed).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", *codes))).alias("_f"))
-    frames = F.struct(*[F.col("_f")[c].alias(c) for c in codes])
-    return (
-        scenes.join(rows, "clip_id")
-        .join(crops.select("clip_id", F.col("rect").alias("crop")), "clip_id", "left")
-        .select(
-            "clip_id",
-            F.lit(SIDECAR_VERSION).alias("version"),
-            *[F.lit(settings[k]).alias(k) for k in ("min_percentile", "denoise_mode", "peak_domain", "peak_estimator", "peak_percentile")],
-            "crop",
-            "scenes",
-            frames.alias("frames"),
-        )
-    )
+    scenes, frames = scene_l1(framed), frame_l1(framed)
+    clips = frames.groupBy("clip_id").agg(F.min("frame_idx").alias("_frame")).join(scenes.groupBy("clip_id").agg(F.min("start").alias("_scene")), "clip_id")
+    facts = clips.join(crops.select("clip_id", F.col("rect").alias("crop")), "clip_id", "left")
+    head = F.to_json(F.struct(
+        "clip_id", F.lit(SIDECAR_VERSION).alias("version"),
+        *[F.lit(settings[k]).alias(k) for k in ("min_percentile", "denoise_mode", "peak_domain", "peak_estimator", "peak_percentile")], "crop",
+    ))
+
+    def between(section: int, text) -> DataFrame:
+        return facts.select("clip_id", F.lit(section * SECTION).alias("position"), text.alias("text"))
+
+    def series(rows: DataFrame, section: int, at: str, first: str, text) -> DataFrame:
+        comma = F.when(F.col(at) == F.col(first), "").otherwise(",")
+        return rows.join(clips, "clip_id").select("clip_id", (F.col(at) + section * SECTION + 1).alias("position"), F.concat(comma, text).alias("text"))
+
+    open_head = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"scenes":['))
+    pieces = [facts.withColumn("_head", head).select("clip_id", F.lit(0).cast("bigint").alias("position"), open_head.alias("text"))]
+    pieces.append(series(scenes, 0, "start", "_scene", F.to_json(F.struct(*names))))
+    for i, c in enumerate(codes):
+        pieces.append(between(i + 1, F.lit(('],"frames":{' if i == 0 else "],") + f'"{c}":[')))
+        pieces.append(series(frames, i + 1, "frame_idx", "_frame", F.col(c).cast("string")))
+    pieces.append(between(len(codes) + 1, F.lit("]}}\n")))
+    every = reduce(DataFrame.unionByName, pieces)
+    return every.select(ordered_text.clip_folder(F.col("clip_id")).alias("folder"), F.col("position").cast("bigint").alias("position"), "text")
 
 
 def write_sidecar(framed: DataFrame, crops: DataFrame, path: str, **options) -> None:
-    sidecar_documents(framed, crops, **options).write.mode("overwrite").json(path)
+    """``clip_id=….json`` per clip, written in parts under ``path/_parts`` and then strung together."""
+    ordered_text.write(sidecar_pieces(framed, crops, **options), f"{path}/_parts", line_end="")
+    ordered_text.merged(framed.sparkSession, f"{path}/_parts", f"{path}/documents", ".json")
 
 
 def stats_rows(stats: DataFrame) -> DataFrame:
@@ -68,14 +82,12 @@ def stats_rows(stats: DataFrame) -> DataFrame:
 
 
 def write_peak_stats(stats: DataFrame, path: str) -> None:
-    """One CSV folder per clip, rows in frame order inside each file."""
-    rows = stats_rows(stats).repartition("clip_id").sortWithinPartitions("clip_id", "frame")
-    rows.write.mode("overwrite").partitionBy("clip_id").option("header", True).csv(path)
+    """One file per clip in frame order, in parts."""
+    ordered_text.write_csv(stats_rows(stats), path)
 
 
 def write_deltas(joined: DataFrame, path: str, with_sidecar: bool) -> None:
-    rows = delta_rows(joined, with_sidecar).sortWithinPartitions("clip_id", "frame")
-    rows.write.mode("overwrite").partitionBy("clip_id").option("header", True).csv(path)
+    ordered_text.write_csv(delta_rows(joined, with_sidecar), path)
 
 
 def write_measurements(headers: DataFrame, scenes: DataFrame, frames: DataFrame, path: str) -> None:
@@ -133,5 +145,9 @@ def config_documents(
     return rows.select("clip_id", F.concat(body, blocks).alias("config"))
 
 
-def write_configs(configs: DataFrame, path: str) -> None:
-    configs.write.mode("overwrite").partitionBy("clip_id").text(path)
+def write_configs(configs: DataFrame, path: str, per_clip: bool = False) -> None:
+    """One line per clip with its configuration, many to a file, or with ``per_clip`` a folder for each (for the tools that read them; a few clips)."""
+    if per_clip:
+        configs.select("config", "clip_id").write.mode("overwrite").partitionBy("clip_id").text(path)
+    else:
+        configs.select("clip_id", "config").write.mode("overwrite").json(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import transfer as T
 from ..operators import checks as K, measure, scoring, scenes as SC
 from ..operators.ordered import pick_by_index
+from ..session import stage_dir
 from ..sources import readers, writers
 from . import adapters as A
 from . import ordered as W
@@ -101,14 +104,18 @@ def o2(spark, sf_dir):
     })
 
 
+# Every frame is a cut of one side or both, by its value: a dense list of cuts in which most match at a distance.
+MINE, THEIRS = "k % 5 IN (1, 2)", "k % 7 IN (0, 3)"
+
+
 @query("j5_match_cuts", f"""
-    WITH o AS (SELECT {KEY} FROM ({A.SERIES_SQL}) WHERE k IN (7, 17, 27)), r AS (SELECT {KEY} FROM ({A.SERIES_SQL}) WHERE k IN (8, 18, 28, 38))
+    WITH o AS (SELECT {KEY} FROM ({A.SERIES_SQL}) WHERE {MINE}), r AS (SELECT {KEY} FROM ({A.SERIES_SQL}) WHERE {THEIRS} OR NOT {MINE})
     SELECT clip_id, count(CASE WHEN hit THEN 1 END) AS matched, count(*) AS total, (SELECT count(*) FROM o WHERE o.clip_id = q.clip_id) AS ours, round(100.0::DOUBLE * count(CASE WHEN hit THEN 1 END) / count(*), 6) AS recall_pct
-    FROM (SELECT r.*, EXISTS (SELECT 1 FROM o WHERE o.clip_id = r.clip_id AND abs(o.frame_idx - r.frame_idx) <= 1) AS hit FROM r) q GROUP BY clip_id""")
+    FROM (SELECT r.*, EXISTS (SELECT 1 FROM o WHERE o.clip_id = r.clip_id AND o.frame_idx IN (r.frame_idx - 1, r.frame_idx, r.frame_idx + 1)) AS hit FROM r) q GROUP BY clip_id""")
 def j5(spark, sf_dir):
     series = A.series(spark, sf_dir)
-    mine = series.where(F.col("k").isin(7, 17, 27)).select(*FRAME)
-    theirs = series.where(F.col("k").isin(8, 18, 28, 38)).select(*FRAME)
+    mine = series.where(MINE).select(*FRAME)
+    theirs = series.where(f"{THEIRS} OR NOT {MINE}").select(*FRAME)
     return scoring.match_cuts(mine, theirs).withColumn("recall_pct", F.round("recall_pct", 6))
 
 
@@ -311,7 +318,9 @@ def _sidecars(spark, sf_dir):
     crops = A.series(spark, sf_dir).select("clip_id").distinct().select(
         "clip_id", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("width"), F.lit(40).alias("height")).alias("rect")
     )
-    return writers.sidecar_documents(W.series_frames(spark, sf_dir), crops)
+    path = f"{stage_dir(spark)}/lumaspark-sidecars-{uuid.uuid4().hex}"
+    writers.write_sidecar(W.series_frames(spark, sf_dir), crops, path)
+    return readers.read_sidecar_documents(spark, path)
 
 
 @query("v10_counts", f"""
@@ -321,10 +330,10 @@ def v10(spark, sf_dir):
     return K.check_counts(shorter, _sidecars(spark, sf_dir))
 
 
-# Shot lists per clip: good for some clips, with one fault in others.
+# Shot lists per clip, a shot for every frame: good for some clips, with one fault in others.
 LINES_SQL = f"""
-    SELECT clip_id, frame_idx // 50 AS line_no, CASE WHEN no = 1 AND frame_idx = 0 THEN '5' WHEN no = 2 AND frame_idx = 100 THEN '20' WHEN no = 3 THEN (frame_idx + 100000)::VARCHAR ELSE frame_idx::VARCHAR END AS value, no, frame_idx
-    FROM (SELECT *, event_id % 8 AS no FROM ({A.SERIES_SQL})) WHERE frame_idx % 50 = 0"""
+    SELECT clip_id, frame_idx AS line_no, CASE WHEN no = 1 AND frame_idx = 0 THEN '5' WHEN no = 2 AND frame_idx = 100 THEN '20' WHEN no = 3 THEN (frame_idx + 100000)::VARCHAR ELSE frame_idx::VARCHAR END AS value, no, frame_idx
+    FROM (SELECT *, event_id % 8 AS no FROM ({A.SERIES_SQL}))"""
 SENTINEL_SQL = f"SELECT clip_id, frame_count FROM ({W.COUNTS_SQL})"
 
 
@@ -334,9 +343,9 @@ def shot_lines(spark, sf_dir):
     no = F.col("event_id") % 8
     f = F.col("frame_idx")
     value = F.when((no == 1) & (f == 0), F.lit(5)).when((no == 2) & (f == 100), F.lit(20)).when(no == 3, f + 100000).otherwise(f)
-    lines = frames.where(f % 50 == 0).select("clip_id", (f / 50).cast("bigint").alias("line_no"), F.concat(F.lit(" "), value.cast("string")).alias("value"))
+    lines = frames.select("clip_id", f.cast("bigint").alias("line_no"), F.concat(F.lit(" "), value.cast("string")).alias("value"))
     counts = K.frame_counts(frames)
-    # Every clip has at most one line per frame, so these come after all of them.
+    # Every clip has one line per frame, so these come after all of them.
     sentinels = counts.select("clip_id", (F.col("frame_count") + 1).cast("bigint").alias("line_no"), F.col("frame_count").cast("string").alias("value"))
     blanks = counts.select("clip_id", F.col("frame_count").cast("bigint").alias("line_no"), F.lit("  ").alias("value"))
     return lines.unionByName(sentinels).unionByName(blanks), counts
@@ -351,10 +360,10 @@ def s5(spark, sf_dir):
 
 
 @query("v11_shot_rules", f"""
-    SELECT clip_id, 0 AS item, 'shots_first' AS rule, 'error' AS severity, '5' AS detail FROM ({LINES_SQL}) WHERE no = 1 AND frame_idx = 0
-    UNION ALL SELECT clip_id, 2, 'shots_order', 'error', '20' FROM ({LINES_SQL}) WHERE no = 2 AND frame_idx = 100
-    UNION ALL SELECT clip_id, 0, 'shots_first', 'error', '100000' FROM ({LINES_SQL}) WHERE no = 3 AND frame_idx = 0
-    UNION ALL SELECT clip_id, max(line_no)::INT, 'shots_outside', 'error', (max(frame_idx) + 100000)::VARCHAR FROM ({LINES_SQL}) WHERE no = 3 GROUP BY clip_id""")
+    WITH l AS (SELECT clip_id, (row_number() OVER w - 1)::INT AS line, value::INT AS start, lag(value::INT) OVER w AS before, lead(line_no) OVER w IS NULL AS final FROM ({LINES_SQL}) WINDOW w AS (PARTITION BY clip_id ORDER BY line_no))
+    SELECT clip_id, line AS item, 'shots_first' AS rule, 'error' AS severity, start::VARCHAR AS detail FROM l WHERE line = 0 AND start <> 0
+    UNION ALL SELECT clip_id, line, 'shots_order', 'error', start::VARCHAR FROM l WHERE before >= start
+    UNION ALL SELECT clip_id, line, 'shots_outside', 'error', start::VARCHAR FROM l JOIN ({W.COUNTS_SQL}) USING (clip_id) WHERE final AND start >= frame_count""")
 def v11(spark, sf_dir):
     lines, counts = shot_lines(spark, sf_dir)
     return K.check_shots(readers.shot_starts(lines), counts)

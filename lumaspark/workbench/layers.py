@@ -208,7 +208,7 @@ _EL = "((code * 7 + idx) % 1024)"
 COMPOSITE_SQL = f"""
     WITH b AS MATERIALIZED ({BASE_SQL}), facts AS (SELECT {KEY}, max(idx) AS last FROM b WHERE plane = 0 GROUP BY ALL),
     placed AS (SELECT b.*, coalesce(l.code, 0) AS y, CASE WHEN b.plane = 1 THEN b.code ELSE c.code END AS cb, CASE WHEN b.plane = 1 THEN 512 ELSE b.code END AS cr, {NO.replace('clip_id', 'b.clip_id')} AS no,
-        least(b.frame_idx, 2) AS used, (b.code * 7 + b.idx) % 1024 AS el FROM b JOIN facts USING (clip_id, frame_idx)
+        b.frame_idx AS used, (b.code * 7 + b.idx) % 1024 AS el FROM b JOIN facts USING (clip_id, frame_idx)
       LEFT JOIN b l ON b.plane > 0 AND l.plane = 0 AND l.clip_id = b.clip_id AND l.frame_idx = b.frame_idx AND l.idx = least(b.idx * 4, last)
       LEFT JOIN b c ON b.plane = 2 AND c.plane = 1 AND c.clip_id = b.clip_id AND c.frame_idx = b.frame_idx AND c.idx = b.idx)
     SELECT {KEY}, plane, idx, (least(greatest((CASE WHEN plane = 0 AND no % 2 = 0 THEN {poly_sql('code', 'no')} WHEN plane > 0 AND no IN (1, 2) THEN {mmr_sql('y', 'cb', 'cr', 'no', 23)} ELSE code * 64 END
@@ -220,7 +220,7 @@ def composite_inputs(spark, sf_dir):
     el = F.shiftleft((F.col("code") * 7 + F.col("idx")) % 1024, 6)
     enhancement = layer.select(*FRAME, "plane", "idx", el.alias("el16"))
     lower = layer.select(*FRAME, "plane", "idx", F.shiftleft("code", 6).alias("bl16"))
-    return lower, enhancement, C.composite_params(exported(spark, sf_dir).where(F.col("frame_idx") <= 2))
+    return lower, enhancement, C.composite_params(exported(spark, sf_dir))
 
 
 @query("j8_composite", COMPOSITE_SQL)

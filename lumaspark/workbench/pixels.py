@@ -243,7 +243,7 @@ DIFFS_SQL = f"""
 MOSAIC_FINE_SQL = f"SELECT {KEY}, {RGB_CODE} AS bin, count(*) AS n FROM ({CROPPED_SQL}) GROUP BY ALL"
 
 
-def _mosaic_parts(spark, sf_dir):
+def mosaic_parts(spark, sf_dir):
     given, crops = A.mosaic(spark, sf_dir), A.mosaic_crops(spark, sf_dir)
     inside = S.crop_samples(given, crops)
     diffs = grain.diff_histogram(grain.cross_quad_diffs(given, crops))
@@ -391,7 +391,7 @@ def e7(spark, sf_dir):
     )
 
 
-_MOSAIC_TAILS = tail_sql(
+MOSAIC_TAILS = tail_sql(
     MOSAIC_FINE_SQL,
     f"SELECT * FROM (SELECT {KEY}, max({RGB}) AS raw_max_pq FROM ({CROPPED_SQL}) GROUP BY ALL) JOIN ({sigma_sql(f'SELECT {KEY}, band, diff, count(*) AS n FROM ({DIFFS_SQL}) GROUP BY ALL', MOSAIC_FINE_SQL)}) USING (clip_id, frame_idx)",
 )
@@ -399,9 +399,9 @@ _MOSAIC_TAILS = tail_sql(
 
 @query("e7_peak_stats_robust", f"""
     SELECT {KEY}, round(robust_pq, 6) AS selected_pq, round(raw_max_pq, 6) AS raw_max_pq, round(percentile_pq, 6) AS percentile_pq, round(sigma_pq, 8) AS sigma_pq, round(raw_max_pq - robust_pq, 6) AS correction_pq, n_eff
-    FROM ({robust_sql(MOSAIC_FINE_SQL, _MOSAIC_TAILS)})""")
+    FROM ({robust_sql(MOSAIC_FINE_SQL, MOSAIC_TAILS)})""")
 def e7_robust(spark, sf_dir):
-    fine, diffs, raw = _mosaic_parts(spark, sf_dir)
+    fine, diffs, raw = mosaic_parts(spark, sf_dir)
     stats = measure.peak_stats(fine, raw, diffs, "robust")
     return stats.select(
         *FRAME, *[six(F.col(c), c) for c in ("selected_pq", "raw_max_pq", "percentile_pq", "correction_pq")], F.round("sigma_pq", 8).alias("sigma_pq"), "n_eff"

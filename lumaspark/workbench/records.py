@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,11 +11,11 @@ from .. import schemas
 from ..functions import text as X
 from ..functions import transfer as T
 from ..operators import grain, measure, metadata as M, rollups, samples as S, scoring
-from ..session import stage_dir
-from ..sources import catalog, raw_video, readers, writers
+from ..session import stage_dir, staged
+from ..sources import catalog, ordered_text, raw_video, readers, writers
 from . import adapters as A
 from . import audit, ordered as W
-from .pixels import FINE_SQL, high_sql, mosaic_planes
+from .pixels import LUM_SQL, MOSAIC_FINE_SQL, MOSAIC_TAILS, mosaic_parts, mosaic_planes, robust_sql
 from .registry import query
 from .scalars import six
 
@@ -317,13 +318,19 @@ def a23(spark, sf_dir):
     return M.outlier_scenes(hdr10plus(spark, sf_dir), "histogram", 250.0)
 
 
-@query("s10_hdr10plus_reader", f"SELECT 'all' AS clip_id, count(*) * 2 AS scenes, sum(k * 110 + k * 20)::BIGINT AS blue FROM ({EVENTS_SQL})")
+@query("s10_hdr10plus_reader", f"""
+    SELECT 'v' || e AS clip_id, (e + i)::BIGINT AS first, [k * (CASE i WHEN 0 THEN 100 ELSE 10 END), k * (CASE i WHEN 0 THEN 90 ELSE 300 END), k * (CASE i WHEN 0 THEN 110 ELSE 20 END)]::BIGINT[] AS max_scl,
+           CASE i WHEN 0 THEN [k, k * 400, k * 50] ELSE [k * 2, k * 30, e % 1000] END::BIGINT[] AS distribution FROM ({EVENTS_SQL}), (VALUES (0), (1)) v(i)""")
 def s10(spark, sf_dir):
+    """One document per event, many to a file, each line of which names its clip; read by the library and laid out by scene."""
     path = scratch(spark, "hdr10plus")
-    hdr10plus_text(spark, sf_dir).select("text").write.text(path)
-    documents = spark.read.schema(schemas.HDR10PLUS).json(path).select(F.struct("SceneInfo", "SceneInfoSummary").alias("doc"))
-    scenes = documents.select(F.explode("doc.SceneInfo").alias("s"))
-    return scenes.agg(F.lit("all").alias("clip_id"), F.count(F.lit(1)).alias("scenes"), F.sum(F.get("s.LuminanceParameters.MaxScl", 2)).alias("blue"))
+    hdr10plus_text(spark, sf_dir).select(F.concat(F.lit('{"clip_id":"'), "clip_id", F.lit('",'), F.expr("substring(text, 2)")).alias("text")).write.text(path)
+    documents = readers.read_hdr10plus_lines(spark, path)
+    scenes = documents.select("clip_id", "doc.SceneInfoSummary.SceneFirstFrameIndex", F.posexplode("doc.SceneInfo").alias("i", "s"))
+    return scenes.select(
+        "clip_id", F.get("SceneFirstFrameIndex", F.col("i")).alias("first"), F.col("s.LuminanceParameters.MaxScl").alias("max_scl"),
+        F.col("s.LuminanceParameters.LuminanceDistributions.DistributionValues").alias("distribution"),
+    )
 
 
 # File formats -----------------------------------------------------------------------------
@@ -373,44 +380,80 @@ def s6(spark, sf_dir):
     return _round_trip(spark, sf_dir)[1]
 
 
+STATS = "frame INT, selected_pq DOUBLE, raw_max_pq DOUBLE, percentile_pq DOUBLE, robust_pq DOUBLE, sigma_pq DOUBLE, correction_pq DOUBLE, n_eff BIGINT"
+
+
 @query("s8_frame_statistics", f"""
-    SELECT clip_id, frame_idx AS frame, printf('%.12f', coalesce(bin, bottom) / 4095.0::DOUBLE) AS percentile_pq FROM ({high_sql(FINE_SQL, 99.99)})""")
+    SELECT clip_id, frame_idx AS frame, round(robust_pq, 6) AS selected_pq, round(raw_max_pq, 6) AS raw_max_pq, round(percentile_pq, 6) AS percentile_pq, round(robust_pq, 6) AS robust_pq,
+           round(sigma_pq, 8) AS sigma_pq, round(raw_max_pq - robust_pq, 6) AS correction_pq, n_eff FROM ({robust_sql(MOSAIC_FINE_SQL, MOSAIC_TAILS)})""")
 def s8(spark, sf_dir):
-    given = A.samples(spark, sf_dir)
-    raw = measure.frame_levels(given).select(*FRAME, F.col("max_rgb").alias("raw_max_pq"))
-    none = A.mosaic(spark, sf_dir)
-    stats = measure.peak_stats(measure.fine_histogram(given), raw, grain.diff_histogram(grain.cross_quad_diffs(none)), "percentile")
+    fine, diffs, raw = mosaic_parts(spark, sf_dir)
     path = scratch(spark, "stats")
-    writers.write_peak_stats(stats, path)
-    back = spark.read.schema("frame INT, " + ", ".join(f"{c} STRING" for c in writers.STATS_COLUMNS) + ", n_eff BIGINT, clip_id STRING").option("header", True).csv(path)
-    return back.select("clip_id", "frame", "percentile_pq")
+    writers.write_peak_stats(measure.peak_stats(fine, raw, diffs, "robust"), path)
+    back = ordered_text.read_csv(spark, path, STATS)
+    return back.withColumns({c: F.round(c, 8 if c == "sigma_pq" else 6) for c in writers.STATS_COLUMNS}).select("clip_id", "frame", *writers.STATS_COLUMNS, "n_eff")
+
+
+DELTAS = "frame INT, ref_min_pq INT, our_min_pq INT, ref_max_pq INT, our_max_pq STRING, ref_avg_pq INT, our_avg_luma_pq INT, our_avg_max_rgb_pq INT"
+SHORT_DELTAS = "frame INT, ref_max_pq INT, our_max_pq STRING, ref_avg_pq INT, our_avg_pq STRING"
 
 
 @query("s9_frame_deltas", f"""
-    SELECT clip_id, frame_idx AS frame, ref_code AS ref_max_pq, printf('%.1f', our_code + 0.25::DOUBLE) AS our_max_pq, ref_code AS ref_avg_pq, our_code AS our_avg_luma_pq FROM ({audit.PAIRS_SQL})""")
+    SELECT clip_id, frame_idx AS frame, ref_code - 3 AS ref_min_pq, our_code - 2 AS our_min_pq, ref_code AS ref_max_pq, printf('%.1f', our_code + 0.25::DOUBLE) AS our_max_pq,
+           ref_code + 1 AS ref_avg_pq, our_code + 2 AS our_avg_luma_pq, our_code + 3 AS our_avg_max_rgb_pq, printf('%.1f', our_code + 0.75::DOUBLE) AS short_avg_pq FROM ({audit.PAIRS_SQL})""")
 def s9(spark, sf_dir):
+    """Both layouts, written and read back; the short one has an average of its own."""
+    code, ref = F.col("our_code"), F.col("ref_code")
     joined = scoring.align(audit.ours(spark, sf_dir), audit.reference(spark, sf_dir), "inner").select(
-        *FRAME, F.col("ref_code").alias("ref_min_pq"), F.col("our_code").alias("our_min_pq"), F.col("ref_code").alias("ref_max_pq"), ((F.col("our_code") + 0.25) / 4095.0).alias("peak_pq"),
-        F.col("ref_code").alias("ref_avg_pq"), F.col("our_code").alias("our_avg_luma_pq"), F.col("our_code").alias("our_avg_max_rgb_pq"),
+        *FRAME, (ref - 3).alias("ref_min_pq"), (code - 2).alias("our_min_pq"), ref.alias("ref_max_pq"), ((code + 0.25) / 4095.0).alias("peak_pq"), ((code + 0.75) / 4095.0).alias("avg_pq"),
+        (ref + 1).alias("ref_avg_pq"), (code + 2).alias("our_avg_luma_pq"), (code + 3).alias("our_avg_max_rgb_pq"),
     )
-    path = scratch(spark, "deltas")
-    writers.write_deltas(joined, path, True)
-    columns = "frame INT, ref_min_pq INT, our_min_pq INT, ref_max_pq INT, our_max_pq STRING, ref_avg_pq INT, our_avg_luma_pq INT, our_avg_max_rgb_pq INT, clip_id STRING"
-    return spark.read.schema(columns).option("header", True).csv(path).select("clip_id", "frame", "ref_max_pq", "our_max_pq", "ref_avg_pq", "our_avg_luma_pq")
+    whole, short = scratch(spark, "deltas"), scratch(spark, "short-deltas")
+    writers.write_deltas(joined, whole, True)
+    writers.write_deltas(joined, short, False)
+    other = ordered_text.read_csv(spark, short, SHORT_DELTAS).withColumnRenamed("our_avg_pq", "short_avg_pq")
+    return ordered_text.read_csv(spark, whole, DELTAS).join(other, ["clip_id", "frame", "ref_max_pq", "our_max_pq", "ref_avg_pq"])
+
+
+_LUM = f"SELECT clip_id, frame_idx, bin, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY {KEY}) AS pct FROM ({LUM_SQL})"
+_HUE = f"SELECT clip_id, frame_idx, bin, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY {KEY}) AS pct FROM (SELECT {KEY}, {A.sql_hue_bin()} AS bin, count(*) AS n FROM ({A.SAMPLES_SQL}) GROUP BY ALL) WHERE bin IS NOT NULL"
+_LEVELS = f"SELECT {KEY}, (frame_idx // 30)::INT AS scene_id, max({A.sql_max_rgb()}) AS peak_pq, avg({A.sql_luma()}) AS avg_pq FROM ({A.SAMPLES_SQL}) GROUP BY ALL"
 
 
 @query("s12_measurement_tables", f"""
-    SELECT h.clip_id, flags, frame_count, maxcll, n AS frames, targets FROM ({W.HEADER_SQL}) h JOIN (SELECT clip_id, count(*) AS n, count(target_nits) AS targets FROM ({W.SERIES_FRAMES_SQL}) GROUP BY ALL) USING (clip_id)""")
+    SELECT clip_id, 'lum' AS part, frame_idx AS item, bin::INT AS bin, round(pct, 6) AS value FROM ({_LUM})
+    UNION ALL SELECT clip_id, 'hue', frame_idx, bin::INT, round(pct, 6) FROM ({_HUE})
+    UNION ALL SELECT clip_id, 'peak', frame_idx, scene_id, round(peak_pq, 6) FROM ({_LEVELS})
+    UNION ALL SELECT clip_id, 'target', frame_idx, scene_id, round({A.sql_pq_to_nits('peak_pq')}) FROM ({_LEVELS}) WHERE frame_idx % 9 != 0
+    UNION ALL SELECT clip_id, 'start', scene_id, 0, min(frame_idx) FROM ({_LEVELS}) GROUP BY clip_id, scene_id
+    UNION ALL SELECT clip_id, 'end', scene_id, 0, max(frame_idx) FROM ({_LEVELS}) GROUP BY clip_id, scene_id
+    UNION ALL SELECT clip_id, 'scene_avg', scene_id, 0, round(avg(avg_pq), 6) FROM ({_LEVELS}) GROUP BY clip_id, scene_id
+    UNION ALL SELECT clip_id, 'maxcll', 0, 0, max(round({A.sql_pq_to_nits('peak_pq')})) FROM ({_LEVELS}) GROUP BY clip_id
+    UNION ALL SELECT clip_id, 'frame_count', 0, 0, count(*) FROM ({_LEVELS}) GROUP BY clip_id
+    UNION ALL SELECT clip_id, 'scene_count', 0, 0, count(DISTINCT scene_id) FROM ({_LEVELS}) GROUP BY clip_id""")
 def s12(spark, sf_dir):
-    frames = W.series_frames(spark, sf_dir)
-    stored = frames.select(
-        *FRAME, "peak_pq", "avg_pq", "min_pq", "avg_max_rgb_pq", F.array().cast("array<double>").alias("lum_hist"), F.array().cast("array<double>").alias("hue_hist"), "target_nits", "scene_id"
-    )
+    """Headers, scenes and frames with both histograms, written, read back and laid out value by value."""
+    frames = measure.measure_frames(A.samples(spark, sf_dir)).withColumn("scene_id", F.expr("frame_idx div 30").cast("int"))
+    target = F.when(F.col("frame_idx") % 9 != 0, F.round(T.pq_to_nits("peak_pq")).cast("int"))
+    stored = staged(frames.select(*FRAME, "peak_pq", "avg_pq", "min_pq", "avg_max_rgb_pq", "lum_hist", "hue_hist", target.alias("target_nits"), "scene_id"), "s12-frames")
+    scenes = rollups.scene_stats(stored)
     path = scratch(spark, "measurements")
-    writers.write_measurements(W.series_headers(spark, sf_dir), rollups.scene_stats(frames), stored, path)
-    headers, _scenes, back = readers.read_measurements(spark, path)
-    counts = back.groupBy("clip_id").agg(F.count(F.lit(1)).alias("frames"), F.count("target_nits").alias("targets"))
-    return headers.join(counts, "clip_id").select("clip_id", "flags", "frame_count", "maxcll", "frames", "targets")
+    writers.write_measurements(rollups.headers(stored, scenes), scenes, stored, path)
+    headers, scenes, back = readers.read_measurements(spark, path)
+
+    def bins(name, column):
+        return back.select("clip_id", F.lit(name).alias("part"), F.col("frame_idx").alias("item"), F.posexplode(column).alias("bin", "value")).where("value > 0").withColumn("value", F.round("value", 6))
+
+    def values(rows, name, item, bin, value):
+        return rows.select("clip_id", F.lit(name).alias("part"), item.cast("int").alias("item"), bin.cast("int").alias("bin"), value.cast("double").alias("value"))
+
+    none, scene, frame = F.lit(0), F.col("scene_id"), F.col("frame_idx")
+    parts = [
+        bins("lum", "lum_hist"), bins("hue", "hue_hist"), values(back, "peak", frame, scene, F.round("peak_pq", 6)), values(back.where("target_nits IS NOT NULL"), "target", frame, scene, F.col("target_nits")),
+        values(scenes, "start", scene, none, F.col("start")), values(scenes, "end", scene, none, F.col("end")), values(scenes, "scene_avg", scene, none, F.round("avg_pq", 6)),
+        *[values(headers, c, none, none, F.col(c)) for c in ("maxcll", "frame_count", "scene_count")],
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("s13_shot_configuration", f"""
@@ -418,9 +461,9 @@ def s12(spark, sf_dir):
 def s13(spark, sf_dir):
     configs = writers.config_documents(defaulted(spark, sf_dir), primaries=M.source_primaries(tracks(spark, sf_dir)))
     path = scratch(spark, "configs")
-    configs.write.parquet(path)
+    writers.write_configs(configs, path)
     get = lambda p, kind="int": F.get_json_object("config", p).cast(kind)
-    return spark.read.schema("clip_id STRING, config STRING").parquet(path).select(
+    return readers.read_configs(spark, path).select(
         "clip_id", get("$.profile", "string").alias("profile"), get("$.level6.max_display_mastering_luminance").alias("dml"), get("$.cm_version", "string").alias("cm"),
         get("$.default_metadata_blocks[1].Level2.target_max_pq").alias("second_trim"), get("$.default_metadata_blocks[3].Level9.source_primary_index").alias("primaries"),
         F.json_array_length(F.get_json_object("config", "$.default_metadata_blocks")).alias("blocks"),

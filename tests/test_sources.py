@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumaspark import schemas
-from lumaspark.sources import files, raw_video
+from lumaspark.sources import files, ordered_text, raw_video, readers, writers
 
 
 def planes(spark, clips, width=6, height=4):
@@ -83,3 +83,46 @@ def test_what_a_lost_task_wrote_is_not_read(spark, tmp_path):
     with pending.create()[1] as out:
         out.write(b"lost")
     assert raw_video.read_raw(spark, str(tmp_path), 6, 4).count() == 4
+
+
+def test_ordered_parts_are_the_file(spark, tmp_path):
+    """One clip with most of the rows is spread over tasks; parts in the order of their names are the clip's file."""
+    n = 20_000
+    rows = spark.range(n).select(F.when(F.col("id") < n - 10, "a=1/b%").otherwise("c").alias("clip_id"), F.col("id").cast("int").alias("frame"), F.when(F.col("id") % 3 > 0, F.col("id") * 2).alias("v"))
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        ordered_text.write_csv(rows.orderBy(F.rand(3)), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    told = files.manifest(path)["parts"]
+    assert sum(p["rows"] for p in told) == n and max(p["rows"] for p in told) < n / 2
+    folder = next(f for f in os.listdir(path) if "b%25" in f)
+    text = "".join(open(f"{path}/{folder}/{name}").read() for name in sorted(os.listdir(f"{path}/{folder}")))
+    assert text == "frame,v\n" + "".join(f"{i},{i * 2 if i % 3 else ''}\n" for i in range(n - 10))
+    back = ordered_text.read_csv(spark, path, "frame INT, v BIGINT")
+    assert back.exceptAll(rows.select("frame", "v", "clip_id")).count() == 0 and back.count() == n
+    ordered_text.merged(spark, path, str(tmp_path / "whole"), ".csv")
+    assert open(f"{tmp_path}/whole/{folder}.csv").read() == text
+
+
+def test_a_write_that_did_not_commit_is_no_table(spark, tmp_path):
+    with pytest.raises(Exception, match="lost"):
+        rows = spark.range(100).select(F.lit("a").alias("clip_id"), F.when(F.col("id") == 99, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")).alias("frame"))
+        ordered_text.write_csv(rows, str(tmp_path / "out"))
+    with pytest.raises(Exception, match=files.MANIFEST):
+        ordered_text.read_csv(spark, str(tmp_path / "out"), "frame INT")
+
+
+def test_documents_over_several_lines_and_per_clip(spark, tmp_path):
+    text = """{"SceneInfo": [
+      {"LuminanceParameters": {"MaxScl": [1, 2, 3], "LuminanceDistributions": {"DistributionValues": [4]}}}],
+      "SceneInfoSummary": {"SceneFirstFrameIndex": [0]}}"""
+    (tmp_path / "film.json").write_text(text)
+    row = readers.read_hdr10plus(spark, str(tmp_path / "film.json")).first()
+    assert row.clip_id == "film" and row.doc.SceneInfo[0].LuminanceParameters.MaxScl == [1, 2, 3] and row.doc.SceneInfoSummary.SceneFirstFrameIndex == [0]
+    configs = spark.createDataFrame([("a", '{"x": 1}'), ("b/c", '{"y": "z"}')], "clip_id STRING, config STRING")
+    for per_clip in (False, True):
+        path = str(tmp_path / f"configs-{per_clip}")
+        writers.write_configs(configs, path, per_clip)
+        assert sorted(map(tuple, readers.read_configs(spark, path, per_clip).collect())) == [("a", '{"x": 1}'), ("b/c", '{"y": "z"}')]
