@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .estimators import let
 from .transfer import clamp, col
 
 CONTAINER_SHIFT = 6  # 10-bit codes sit in the high bits of 16-bit words
+MOST_PIECES = 8  # of a curve, by the format
 NEUTRAL_CHROMA_16 = 512 << CONTAINER_SHIFT
 
 
@@ -26,11 +26,16 @@ def shift_right(value: Column, bits: Column) -> Column:
 
 
 def piece_for(x10: Column, curve: Column) -> Column:
-    """First piece whose upper pivot lies above ``x10``, else the last piece."""
+    """First piece whose upper pivot lies above ``x10``, else the last piece.
+
+    The pivots are compared one by one as flat values, which stays within generated code; a curve of more pieces than the format has fails.
+    """
     pieces, pivots = curve["pieces"], curve["pivots"]
-    uppers = F.slice(pivots, F.lit(2), F.greatest(F.size(pieces), F.lit(0)))
-    at = F.array_position(F.transform(uppers, lambda upper: x10 < upper), F.lit(True)).cast("int")
-    return F.when(at > 0, F.get(pieces, at - 1)).otherwise(F.element_at(pieces, -1))
+    last = F.size(pieces) - 1
+    at = F.when(last >= MOST_PIECES, F.raise_error(F.lit(f"a curve has more than {MOST_PIECES} pieces")).cast("int"))
+    for i in range(MOST_PIECES):
+        at = at.when((last > i) & (x10 < F.get(pivots, i + 1)), i)
+    return F.get(pieces, at.otherwise(last))
 
 
 def to_container(fixed: Column, denom: Column) -> Column:
@@ -39,68 +44,56 @@ def to_container(fixed: Column, denom: Column) -> Column:
     return clamp(F.call_function("shiftleft", code, F.lit(CONTAINER_SHIFT)), 0, 65535).cast("bigint")
 
 
-def poly_reshape(x16: Column, curve: Column, denom: Column) -> Column:
-    """Piecewise polynomial: c0 + c1 x (+ c2 x^2 where the piece's order is at least 1)."""
-    x10 = F.shiftright(big(x16), CONTAINER_SHIFT)
-    zero = F.lit(0).cast("bigint")
-    inputs = F.struct(
-        x10.alias("x"), piece_for(x10, curve).alias("piece"), denom.cast("int").alias("denom")
-    )
+def power_of_order(value: Column, squared: Column, denom: Column, order: int) -> Column:
+    return (value, squared, shift_right(squared * value, denom))[order - 1]
 
-    def evaluate(s: Column) -> Column:
-        x, coefs = s["x"], F.get(s["piece"]["coefs"], 0)
 
-        def c(i: int) -> Column:
-            return F.coalesce(F.get(coefs, i), zero)
+def coefficient(coefs: Column, i: int) -> Column:
+    return F.coalesce(F.get(coefs, i), F.lit(0).cast("bigint"))
 
-        quadratic = F.when(s["piece"]["ord"] >= 1, c(2) * x * x).otherwise(zero)
-        return to_container(c(0) + c(1) * x + quadratic, s["denom"])
 
+def poly_reshape(x16: Column, curve: Column, denom: Column) -> Column:
+    """Piecewise polynomial: c0 + c1 x (+ c2 x^2 where the piece's order is at least 1)."""
+    x = F.shiftright(big(x16), CONTAINER_SHIFT)
+    piece = piece_for(x, curve)
+    c0, c1, c2 = (coefficient(F.get(piece["coefs"], 0), i) for i in range(3))
+    quadratic = F.when(piece["ord"] >= 1, c2 * x * x).otherwise(F.lit(0).cast("bigint"))
     active = (curve["kind"] == "polynomial") & (F.size(curve["pieces"]) > 0)
-    return F.when(active, let(inputs, evaluate)).otherwise(big(x16))
+    return F.when(active, to_container(c0 + c1 * x + quadratic, denom)).otherwise(big(x16))
 
 
-def mmr_reshape(y16: Column, cb16: Column, cr16: Column, curve: Column, denom: Column) -> Column:
-    """Multi-channel regression in up to three orders of luma and chroma terms."""
+def with_mmr(df: DataFrame, y16: Column, cb16: Column, cr16: Column, curve: Column, denom: Column, out: str) -> DataFrame:
+    """Adds ``out``: multi-channel regression in up to three orders of luma and chroma terms.
+
+    Codes, piece, powers and the sum of each order are columns of their own, one projection after the other, so each is worked out once per sample and all of it in
+    generated code.
+    """
+    at = lambda name: f"_{out}_{name}"
     codes = {n: F.shiftright(big(v), CONTAINER_SHIFT) for n, v in (("y", y16), ("cb", cb16), ("cr", cr16))}
-    zero = F.lit(0).cast("bigint")
-    # The piece is looked up once per sample, not once per coefficient.
-    inputs = F.struct(
-        *[v.alias(n) for n, v in codes.items()],
-        piece_for(codes["y"], curve).alias("piece"),
-        denom.cast("int").alias("denom"),
-    )
-
-    def evaluate(s: Column) -> Column:
-        y, cb, cr, piece = s["y"], s["cb"], s["cr"], s["piece"]
-
-        def down(value: Column) -> Column:
-            return shift_right(value, s["denom"])
-
-        def terms(order: int, a: Column, b: Column, c: Column) -> Column:
-            """Seven terms of one order; ``a``, ``b``, ``c`` are that order's luma and chroma powers."""
-            coefs = F.get(piece["coefs"], order - 1)
-
-            def k(i: int) -> Column:
-                return F.coalesce(F.get(coefs, i), zero)
-
-            linear = k(0) * a + k(1) * b + k(2) * c
-            cross = down(k(3) * a) * cb + down(k(4) * a) * cr + down(k(5) * b) * cr
-            last = down(down(k(6) * a) * cb * cr) if order == 1 else down(down(k(6) * a) * b)
-            return F.when(F.size(coefs) > 0, linear + cross + last).otherwise(zero)
-
-        def power(value: Column, order: int) -> Column:
-            squared = down(value * value)
-            return squared if order == 2 else down(squared * value)
-
-        higher = [
-            F.when(piece["ord"] >= order, terms(order, *(power(v, order) for v in (y, cb, cr)))).otherwise(zero)
-            for order in (2, 3)
-        ]
-        return to_container(piece["constant"] + terms(1, y, cb, cr) + higher[0] + higher[1], s["denom"])
-
-    active = (curve["kind"] == "mmr") & (F.size(curve["pieces"]) > 0)
-    return F.when(active, let(inputs, evaluate)).otherwise(big(cb16))
+    step = df.withColumns({at(n): v for n, v in codes.items()} | {at("denom"): denom.cast("int"), at("curve"): curve, at("else"): big(cb16)})
+    down = lambda value: shift_right(value, F.col(at("denom")))
+    squares = {at(f"{n}2"): down(F.col(at(n)) * F.col(at(n))) for n in codes}
+    step = step.withColumns({at("piece"): piece_for(F.col(at("y")), F.col(at("curve")))} | squares)
+    piece, (y, cb, cr) = F.col(at("piece")), (F.col(at(n)) for n in codes)
+    powers = {order: [power_of_order(F.col(at(n)), F.col(at(f"{n}2")), F.col(at("denom")), order) for n in codes] for order in (1, 2, 3)}
+
+    def terms(order: int) -> Column:
+        """Seven terms of one order: its luma and chroma powers, their products with the codes, and a last one."""
+        coefs = F.get(piece["coefs"], order - 1)
+        k = [coefficient(coefs, i) for i in range(7)]
+        a, b, c = powers[order]
+        linear = k[0] * a + k[1] * b + k[2] * c
+        cross = down(k[3] * a) * cb + down(k[4] * a) * cr + down(k[5] * b) * cr
+        last = down(down(k[6] * a) * cb * cr) if order == 1 else down(down(k[6] * a) * b)
+        there = (F.size(coefs) > 0) if order == 1 else (F.size(coefs) > 0) & (piece["ord"] >= order)
+        return F.when(there, linear + cross + last).otherwise(F.lit(0).cast("bigint"))
+
+    sums = [at(f"sum{order}") for order in powers]
+    step = step.withColumns({name: terms(order) for name, order in zip(sums, powers, strict=True)})
+    active = (F.col(at("curve"))["kind"] == "mmr") & (F.size(F.col(at("curve"))["pieces"]) > 0)
+    value = to_container(piece["constant"] + sum((F.col(n) for n in sums[1:]), F.col(sums[0])), F.col(at("denom")))
+    made = [*(at(n) for n in (*codes, "denom", "curve", "else", "piece")), *squares, *sums]
+    return step.withColumn(out, F.when(active, value).otherwise(F.col(at("else")))).drop(*made)
 
 
 def fixed_point(whole: Column, fraction: Column, denom: Column) -> Column:

@@ -13,8 +13,8 @@ from ..functions.reshape import (
     NEUTRAL_CHROMA_16,
     deadzone_residual,
     fixed_point,
-    mmr_reshape,
     poly_reshape,
+    with_mmr,
     to_output,
 )
 from .samples import FRAME
@@ -81,35 +81,28 @@ def composite(base: DataFrame, enhancement: DataFrame, params: DataFrame) -> Dat
     joined = placed.join(enhancement.select(*SAMPLE, "el16"), SAMPLE, "left").join(frame_params(base, params).withColumn("_known", F.lit(True)), FRAME, "left")
     place = F.concat_ws(" ", F.lit(" in clip"), "clip_id", F.lit("frame"), F.col("frame_idx").cast("string"))
     fault = F.when(F.col("_known").isNull(), F.lit("no parameters")).when(F.col("el16").isNull(), F.lit("the enhancement layer ends early"))
-    value = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, place)).cast("bigint")).otherwise(composite_value())
-    return joined.select(*SAMPLE, value.alias("out16"))
-
-
-def composite_value() -> Column:
-    bl, denom = F.col("bl16"), F.col("denom")
-    curve = lambda channel: F.get("curves", channel)
-    cb_in = F.when(F.col("plane") == 1, bl).otherwise(F.col("cb_near"))
-    cr_in = F.when(F.col("plane") == 1, F.lit(NEUTRAL_CHROMA_16)).otherwise(bl)
-
-    def chroma(channel: int) -> Column:
-        shaped = mmr_reshape(F.col("y16"), cb_in, cr_in, curve(channel), denom)
-        return F.when(curve(channel)["kind"] == "mmr", shaped).otherwise(bl.cast("bigint"))
-
-    shaped = (
-        F.when(F.col("plane") == 0, poly_reshape(bl, curve(0), denom))
-        .when(F.col("plane") == 1, chroma(1))
-        .otherwise(chroma(2))
-    )
+    value = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, place)).cast("int")).otherwise(F.col("_value"))
+    return with_composite_value(joined, "_value").select(*SAMPLE, value.alias("out16"))
+
+
+def with_composite_value(joined: DataFrame, out: str) -> DataFrame:
+    """Adds the composited value of each sample; the curve is that of the sample's plane."""
+    bl, denom, plane = F.col("bl16"), F.col("denom"), F.col("plane")
+    cb_in = F.when(plane == 1, bl).otherwise(F.col("cb_near"))
+    cr_in = F.when(plane == 1, F.lit(NEUTRAL_CHROMA_16)).otherwise(bl)
+    curved = joined.withColumn("_curve", F.get("curves", plane))
+    curved = with_mmr(curved, F.col("y16"), cb_in, cr_in, F.col("_curve"), denom, "_mmr")
+    shaped = F.when(plane == 0, poly_reshape(bl, F.col("_curve"), denom)).when(F.col("_curve")["kind"] == "mmr", F.col("_mmr")).otherwise(bl.cast("bigint"))
     el10 = F.shiftright(F.col("el16"), CONTAINER_SHIFT)
     params = F.struct(
         *[F.col(c) for c in ("nlq_offset", *NLQ_FIELDS.values(), "denom", "el_bits", "disabled")]
     )
     residual = (
-        F.when(F.col("plane") == 0, deadzone_residual(el10, params, 0))
-        .when(F.col("plane") == 1, deadzone_residual(el10, params, 1))
+        F.when(plane == 0, deadzone_residual(el10, params, 0))
+        .when(plane == 1, deadzone_residual(el10, params, 1))
         .otherwise(deadzone_residual(el10, params, 2))
     )
-    return to_output(shaped + residual)
+    return curved.withColumn(out, to_output(shaped + residual)).drop("_curve", "_mmr")
 
 
 def composite_params(exported: DataFrame) -> DataFrame:

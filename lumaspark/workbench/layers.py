@@ -100,8 +100,8 @@ def f19(spark, sf_dir):
 
 @query("f20_mmr_reshape", f"SELECT {', '.join(SAMPLE)}, {mmr_sql('y', 'cb', 'cr')} AS v FROM ({_WIDE})")
 def f20(spark, sf_dir):
-    shaped = R.mmr_reshape(words("y_code"), words("cb_code"), words("cr_code"), F.col("curve"), F.lit(10))
-    return with_curve(A.samples(spark, sf_dir), mmr_curve).select(*SAMPLE, shaped.alias("v"))
+    samples = with_curve(A.samples(spark, sf_dir), mmr_curve)
+    return R.with_mmr(samples, words("y_code"), words("cb_code"), words("cr_code"), F.col("curve"), F.lit(10), "v").select(*SAMPLE, "v")
 
 
 @query("j11_piece_lookup", f"SELECT {', '.join(SAMPLE)}, CASE WHEN y < 600 THEN 0 ELSE 1 END AS ord, CASE WHEN y < 300 THEN 8388608 WHEN y < 600 THEN 8400953 ELSE 4194304 END::BIGINT AS slope FROM ({_WIDE})")

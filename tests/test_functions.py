@@ -121,13 +121,29 @@ def test_reshaping_cases(spark):
     x = F.lit(512 << 6)
     poly = lambda value, pivots, *pieces: F.shiftright(R.poly_reshape(value, curve("polynomial", pivots, pieces), d), 6)
     two = ((0, 0, [[0, one_]]), (0, 0, [[800 * one_, 0]]))
-    mmr = lambda const, coefs: F.shiftright(R.mmr_reshape(F.lit(400 << 6), x, x, curve("mmr", (0, 1023), [(1, const, [coefs])]), d), 6)
+    def mmr(const, coefs):
+        shaped = R.with_mmr(spark.range(1), F.lit(400 << 6), x, x, curve("mmr", (0, 1023), [(1, const, [coefs])]), d, "v")
+        assert shaped.columns == ["id", "v"]
+        return shaped.first().v >> 6
+
     got = one(
         spark, same=poly(x, (0, 1023), (0, 0, [[0, one_]])), const=poly(x, (0, 1023), (0, 0, [[256 * one_, 0]])), half=poly(x, (0, 1023), (0, 0, [[0, one_ // 2]])),
         low=poly(F.lit(256 << 6), (0, 512, 1023), *two), high=poly(F.lit(700 << 6), (0, 512, 1023), *two), quad=poly(x, (0, 1023), (1, 0, [[0, 0, one_ // 1023]])),
-        clamp=poly(x, (0, 1023), (0, 0, [[2000 * one_, 0]])), mconst=mmr(512 * one_, [0] * 7), mluma=mmr(0, [one_] + [0] * 6),
+        clamp=poly(x, (0, 1023), (0, 0, [[2000 * one_, 0]])),
         ident=R.poly_reshape(x, curve("identity", (0, 1023), [(0, 0, [[0]])]), d),
     )
     assert (got["same"], got["const"], got["half"], got["low"], got["high"]) == (512, 256, 256, 256, 800)
     assert abs(got["quad"] - 256) <= 2 and got["clamp"] == 1023
-    assert (got["mconst"], got["mluma"], got["ident"]) == (512, 400, 512 << 6)
+    assert (mmr(512 * one_, [0] * 7), mmr(0, [one_] + [0] * 6), got["ident"]) == (512, 400, 512 << 6)
+
+
+def test_a_curve_of_too_many_pieces_fails(spark):
+    pieces = [(0, 0, [[0, 1 << 23]])] * 9
+    with pytest.raises(Exception, match="more than 8 pieces"):
+        one(spark, v=R.poly_reshape(F.lit(512 << 6), curve("polynomial", range(10), pieces), F.lit(23)))
+
+
+def test_reshaping_runs_in_generated_code(spark):
+    samples = spark.range(10).withColumn("curve", curve("mmr", (0, 1023), [(1, 5, [[1] * 7])]))
+    plan = R.with_mmr(samples, F.col("id") * 64, F.col("id") * 64, F.col("id") * 64, F.col("curve"), F.lit(10), "v")._jdf.queryExecution().executedPlan().toString()
+    assert all(line.lstrip(" +-").startswith("*(") for line in plan.splitlines() if "Project" in line)
