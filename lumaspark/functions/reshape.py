@@ -44,10 +44,6 @@ def to_container(fixed: Column, denom: Column) -> Column:
     return clamp(F.call_function("shiftleft", code, F.lit(CONTAINER_SHIFT)), 0, 65535).cast("bigint")
 
 
-def power_of_order(value: Column, squared: Column, denom: Column, order: int) -> Column:
-    return (value, squared, shift_right(squared * value, denom))[order - 1]
-
-
 def coefficient(coefs: Column, i: int) -> Column:
     return F.coalesce(F.get(coefs, i), F.lit(0).cast("bigint"))
 
@@ -75,24 +71,28 @@ def with_mmr(df: DataFrame, y16: Column, cb16: Column, cr16: Column, curve: Colu
     squares = {at(f"{n}2"): down(F.col(at(n)) * F.col(at(n))) for n in codes}
     step = step.withColumns({at("piece"): piece_for(F.col(at("y")), F.col(at("curve")))} | squares)
     piece, (y, cb, cr) = F.col(at("piece")), (F.col(at(n)) for n in codes)
-    powers = {order: [power_of_order(F.col(at(n)), F.col(at(f"{n}2")), F.col(at("denom")), order) for n in codes] for order in (1, 2, 3)}
+    # Held as columns: looked up in the piece at each use, they would make a method too long to be compiled.
+    none = F.array().cast("array<bigint>")
+    found = {order: F.coalesce(F.get(piece["coefs"], order - 1), none) for order in (1, 2, 3)}
+    orders = {at(f"k{order}"): v if order == 1 else F.when(piece["ord"] >= order, v).otherwise(none) for order, v in found.items()}
+    step = step.withColumns(orders | {at(f"{n}3"): down(F.col(at(f"{n}2")) * F.col(at(n))) for n in codes})
+    powers = {order: [F.col(at(n if order == 1 else f"{n}{order}")) for n in codes] for order in (1, 2, 3)}
 
     def terms(order: int) -> Column:
-        """Seven terms of one order: its luma and chroma powers, their products with the codes, and a last one."""
-        coefs = F.get(piece["coefs"], order - 1)
+        """Seven terms of one order: its luma and chroma powers, their products with the codes, and a last one. An order that isn't there has no coefficients and adds 0."""
+        coefs = F.col(at(f"k{order}"))
         k = [coefficient(coefs, i) for i in range(7)]
         a, b, c = powers[order]
         linear = k[0] * a + k[1] * b + k[2] * c
         cross = down(k[3] * a) * cb + down(k[4] * a) * cr + down(k[5] * b) * cr
         last = down(down(k[6] * a) * cb * cr) if order == 1 else down(down(k[6] * a) * b)
-        there = (F.size(coefs) > 0) if order == 1 else (F.size(coefs) > 0) & (piece["ord"] >= order)
-        return F.when(there, linear + cross + last).otherwise(F.lit(0).cast("bigint"))
+        return linear + cross + last
 
     sums = [at(f"sum{order}") for order in powers]
     step = step.withColumns({name: terms(order) for name, order in zip(sums, powers, strict=True)})
     active = (F.col(at("curve"))["kind"] == "mmr") & (F.size(F.col(at("curve"))["pieces"]) > 0)
     value = to_container(piece["constant"] + sum((F.col(n) for n in sums[1:]), F.col(sums[0])), F.col(at("denom")))
-    made = [*(at(n) for n in (*codes, "denom", "curve", "else", "piece")), *squares, *sums]
+    made = [*(at(n) for n in (*codes, *(f"{n}3" for n in codes), "denom", "curve", "else", "piece")), *squares, *orders, *sums]
     return step.withColumn(out, F.when(active, value).otherwise(F.col(at("else")))).drop(*made)
 
 
