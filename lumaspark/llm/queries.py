@@ -95,14 +95,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def found_sql(pattern: str, group: int) -> str:
-    """Start, text and measured group of each match of a pattern in d(doc_id, t)."""
+def found_sql(pattern: str, group: int, table: str = "d") -> str:
+    """Start, text and measured group of each match of a pattern in a table (doc_id, t)."""
     q = pattern.replace("'", "''")
     return f"""
       SELECT doc_id, m[i] AS v, g[i] AS value, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS start FROM (
         SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
           SELECT doc_id, regexp_extract_all(t, '{q}', 0) AS m, regexp_extract_all(t, '{q}', {group}) AS g, [length(x) for x in string_split_regex(t, '{q}')] AS gaps,
-                 [length(x) for x in regexp_extract_all(t, '{q}', 0)] AS sizes FROM d WHERE regexp_matches(t, '{q}')))"""
+                 [length(x) for x in regexp_extract_all(t, '{q}', 0)] AS sizes FROM {table} WHERE regexp_matches(t, '{q}')))"""
 
 
 def secrets_sql() -> str:
@@ -110,23 +110,33 @@ def secrets_sql() -> str:
         f"SELECT doc_id, start, {secrets.KINDS.index(kind)} AS rank, start + length(v) AS stop FROM ({found_sql(pattern, group)}) WHERE length(value) >= {least}"
         for kind, pattern, group, least in secrets.PATTERNS
     )
-    w, allowed = secrets.WINDOW, " AND ".join(f"NOT regexp_matches(v, '{p}')" for p in secrets.ALLOWED)
-    hexadecimal, mixed = (secrets.KINDS.index(k) for k in ("entropy_hex", "entropy_mixed"))
-    hex_most, mixed_most = (secrets.most_weight(secrets.LEAST_BITS[k]) for k in ("entropy_hex", "entropy_mixed"))
-    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    w = secrets.WINDOW
+    whole = [p for p in secrets.ALLOWED if p.removeprefix("(?i)").startswith("^")]
+    allowed = " AND ".join(f"NOT regexp_matches(v, '{p}')" for p in whole)
+    quiet = " UNION ALL ".join(f"SELECT doc_id, start, start + length(v) AS stop FROM ({found_sql(p, 0, 'named')})" for p in secrets.ALLOWED if p not in whole)
+    rank = {k: secrets.THOROUGH_KINDS.index(k) for k in secrets.LEAST_BITS}
+    most = {k: secrets.most_weight(bits) for k, bits in secrets.LEAST_BITS.items()}
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.THOROUGH_KINDS) + "]"
     shown = f"{names}[rank + 1] || ':' || start || ':' || stop"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS MATERIALIZED ({base}),
 candidates AS MATERIALIZED (SELECT doc_id, start, v FROM ({found_sql(secrets.CANDIDATE, 0)}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND {allowed}),
-windows AS (SELECT doc_id, start AS c, start + i AS start, substr(v, CAST(i AS INTEGER) + 1, {w}) AS z FROM (SELECT *, unnest(range(length(v) - {w} + 1)) AS i FROM candidates)),
+named AS MATERIALIZED (SELECT doc_id || ':' || start AS doc_id, v AS t FROM candidates),
+quiet AS MATERIALIZED ({quiet}),
+windows AS (
+  SELECT doc_id, start AS c, start + i AS start, substr(v, CAST(i AS INTEGER) + 1, {w}) AS z FROM (SELECT *, unnest(range(length(v) - {w} + 1)) AS i FROM candidates) x
+  WHERE NOT EXISTS (SELECT 1 FROM quiet q WHERE q.doc_id = x.doc_id || ':' || x.start AND q.start < x.i + {w} AND q.stop > x.i)
+),
 counted AS (SELECT doc_id, c, start, z, count(*) AS n FROM (SELECT *, unnest(string_split(z, '')) AS ch FROM windows) GROUP BY doc_id, c, start, z, ch),
 summed AS (SELECT doc_id, c, start, z, CAST(sum(({secrets.weights()})[n + 1]) AS BIGINT) AS total FROM counted GROUP BY doc_id, c, start, z),
 kinds AS (
   SELECT doc_id, c, start, CASE
     WHEN NOT regexp_matches(z, '[0-9]') THEN NULL
-    WHEN regexp_full_match(z, '[0-9A-Fa-f]+') THEN CASE WHEN regexp_matches(z, '[A-Fa-f]') AND total <= {hex_most} THEN {hexadecimal} END
-    WHEN regexp_matches(z, '[A-Z]') AND regexp_matches(z, '[a-z]') AND total <= {mixed_most} THEN {mixed} END AS rank
+    WHEN regexp_full_match(z, '[0-9A-Fa-f]+') THEN CASE WHEN regexp_matches(z, '[A-Fa-f]') AND total <= {most["entropy_hex"]} THEN {rank["entropy_hex"]} END
+    WHEN regexp_matches(z, '[A-Z]') AND regexp_matches(z, '[a-z]') THEN CASE WHEN total <= {most["entropy_mixed"]} THEN {rank["entropy_mixed"]} END
+    WHEN regexp_full_match(z, '[0-9a-z]+') AND total <= {most["entropy_lower"]} THEN {rank["entropy_lower"]}
+    WHEN regexp_full_match(z, '[0-9A-Z]+') AND total <= {most["entropy_upper"]} THEN {rank["entropy_upper"]} END AS rank
   FROM summed
 ), marked AS (
   SELECT *, CASE WHEN start <= lag(start) OVER p + {w} THEN 0 ELSE 1 END AS new FROM kinds WHERE rank IS NOT NULL WINDOW p AS (PARTITION BY doc_id, c, rank ORDER BY start)

@@ -1,14 +1,15 @@
 """Secret scan: three fixed patterns, and sliding-window Shannon entropy per character class over candidate strings.
 
-Columns only: a map over the rows with no shuffle and no Python. Positions come from splitting the text at the
-matches and adding up lengths. A candidate is a maximal run of ``CANDIDATE``; a window of ``WINDOW`` characters slides
+Columns only: a map over the rows with no shuffle and no Python. A text is first cut into segments of about ``SEGMENT`` characters, at places that no match of any
+pattern can span; positions inside a segment come from splitting it at the matches and adding up lengths. So the work grows with the text and not with its square
+(a longer run without such a place is one segment: there the matches inside it count twice over). A candidate is a maximal run of ``CANDIDATE``; a window of ``WINDOW`` characters slides
 over it with one character count per code kept up to date, one added and one taken away per step. The sum of c*log2(c) over the counts
 is carried as whole numbers, so that every engine gets the same decision. Windows of hexadecimal characters and mixed windows have
 their own least entropy; windows above it that touch are one span. Allow-listed candidates and spans inside a pattern's span are left out.
 
-A ``thorough`` scan, that of the pipeline, has two more classes, windows of lower-case letters and digits alone and of upper-case letters and digits alone
+A ``thorough`` scan, the default, has two more classes, windows of lower-case letters and digits alone and of upper-case letters and digits alone
 (base36 and base32), and an allow-list match inside a candidate silences the windows that overlap it and no others; a pattern that begins with
-``^`` and an allowed value still speak for the whole candidate. The plain scan is what the SQL twin defines.
+``^`` and an allowed value still speak for the whole candidate.
 
 Defined results: a null text counts as empty; repeated rows are scanned alike; of spans with equal start the kinds go in the order of ``KINDS``,
 then the shorter first. Texts are scanned whole. Columns of the input are kept; one named like an output column is replaced.
@@ -22,7 +23,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tasks import let
+from .tasks import let, unused
 
 # Fixed patterns of the result's definition: kind, expression, group that is measured, least length of it.
 PATTERNS = (
@@ -43,6 +44,10 @@ ALLOWED = (
     r"(?i)abcdefghijklmnop|0123456789abcdef",
 )
 CODES = 123  # up to 'z'
+SEGMENT = 1024
+# Where no match goes on: before a character of none of the patterns, and before a space that is no part of an assignment.
+CUT = r"""(?=[^A-Za-z0-9+/_.=:"'\x20-]|(?<![:=\x20])\x20[^:=\x20])"""
+ANYTHING = rf"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|[A-Za-z0-9+/_-]{{{WINDOW},}}"
 SPAN = "STRUCT<start: INT, rank: INT, stop: INT>"
 
 
@@ -75,6 +80,21 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return let(found, lambda f: F.arrays_zip(starts_of(f["gaps"], F.transform(f["text"], F.length)).alias("start"), f["text"].alias("text"), f["value"].alias("value")))
 
 
+def segments(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}(?:.*?{CUT}|.*)"), F.lit(0))
+
+
+def by_segments(text: Column, spans: Callable[[Column], Column]) -> Column:
+    """``spans`` of each segment of the text, moved to where the segment begins."""
+
+    def moved(parts: Column) -> Column:
+        begins = starts_of(F.array_repeat(F.lit(0), F.size(parts)), F.transform(parts, F.length))
+        found = F.zip_with(parts, begins, lambda part, at: F.transform(spans(part), lambda m: F.struct((m["start"] + at).alias("start"), m["rank"].alias("rank"), (m["stop"] + at).alias("stop"))))
+        return F.flatten(found)
+
+    return let(segments(text), moved)
+
+
 def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     fits = F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
     spans = F.transform(fits, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (m["start"] + F.length(m["text"])).alias("stop")))
@@ -164,14 +184,30 @@ def entropy_spans(text: Column, allowed: Sequence[str] = ALLOWED, allowed_values
     return F.when(text.rlike(CANDIDATE.replace(",}", "}")), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = (), thorough: bool = False) -> DataFrame:
+def part_spans(part: Column, allowed: Sequence[str], allowed_values: Sequence[str], thorough: bool) -> Column:
+    """Spans of the patterns in a segment, and those of the entropy windows that lie in none of them, in order."""
+    base = F.concat(*[pattern_spans(part, *p) for p in PATTERNS])
+    more = entropy_spans(part, allowed, allowed_values, thorough)
+    free = lambda x: F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] <= m["start"]) & (b["stop"] >= m["stop"])))
+    return F.array_sort(let(F.struct(base.alias("base"), more.alias("more")), lambda x: F.concat(x["base"], free(x))))
+
+
+def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = (), thorough: bool = True) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``: arrays of struct(start, rank in ``THOROUGH_KINDS``, stop) in order, code points, end exclusive."""
     kept = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(F.concat(*[pattern_spans(whole, *p) for p in PATTERNS]))
-    found = docs.withColumns({"_base": base, "_more": entropy_spans(whole, allowed, allowed_values, thorough)})
-    new = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["stop"] >= m["stop"])))
-    return found.select(*kept, F.col("_base").alias("base_spans"), F.array_sort(F.concat("_base", new)).alias("all_spans"))
+    found = by_segments(whole, lambda part: part_spans(part, allowed, allowed_values, thorough))
+    # Texts that hold nothing a pattern could begin with, most of all, aren't cut.
+    spans = F.when(whole.rlike(ANYTHING), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    both = let(spans, lambda x: F.struct(F.filter(x, lambda m: m["rank"] < len(PATTERNS)).alias("base_spans"), x.alias("all_spans")))
+    held = unused(docs.columns, "spans")
+    return docs.withColumn(held, both).select(*kept, f"{held}.base_spans", f"{held}.all_spans")
+
+
+def masked(text: Column, allowed: Sequence[str] = ALLOWED, allowed_values: Sequence[str] = (), thorough: bool = True, mark: str = "[secret]") -> Column:
+    """The text with every span replaced by ``mark``, segment by segment: no span goes on over a cut. A null stays null."""
+    clean = lambda part: let(F.struct(part.alias("part"), part_spans(part, allowed, allowed_values, thorough).alias("spans")), lambda x: redacted(x["part"], x["spans"], mark))
+    return F.when(text.rlike(ANYTHING), F.array_join(F.transform(segments(text), clean), "")).otherwise(text)
 
 
 def shown(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -32,13 +33,15 @@ def base_spans(text):
     return sorted(found)
 
 
-def entropy_spans(text, base):
+def entropy_spans(text, base, thorough):
     table, out = S.weights(), []
+    whole = [p for p in S.ALLOWED if p.removeprefix("(?i)").startswith("^")] if thorough else S.ALLOWED
     for m in re.finditer(S.CANDIDATE, text):
         v = m.group()
-        if not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or any(re.search(p, v) for p in S.ALLOWED):
+        if not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or any(re.search(p, v) for p in whole):
             continue
-        spans = {3: [], 4: []}
+        quiet = [q.span() for p in S.ALLOWED if p not in whole for q in re.finditer(p, v)]
+        spans = {3: [], 4: [], 5: [], 6: []}
         for i in range(len(v) - S.WINDOW + 1):
             z = v[i : i + S.WINDOW]
             total = sum(table[c] for c in Counter(z).values())
@@ -46,6 +49,10 @@ def entropy_spans(text, base):
             hexadecimal = all(c in "0123456789abcdefABCDEF" for c in z)
             kind = 3 if hexadecimal and digit and (upper or lower) and total <= S.most_weight(2.9) else None
             kind = 4 if not hexadecimal and digit and upper and lower and total <= S.most_weight(3.7) else kind
+            if thorough and digit and not hexadecimal:
+                one_case = 5 if lower and re.fullmatch("[0-9a-z]+", z) else 6 if upper and re.fullmatch("[0-9A-Z]+", z) else None
+                kind = one_case if one_case and total <= S.most_weight(3.4) else kind
+            kind = None if any(a < i + S.WINDOW and b > i for a, b in quiet) else kind
             if kind and spans[kind] and spans[kind][-1][1] >= i:
                 spans[kind][-1][1] = i + S.WINDOW
             elif kind:
@@ -68,24 +75,44 @@ def masked(text, spans):
 
 
 def shown(spans):
-    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{S.THOROUGH_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def test_secret_spans_equal_regular_expressions(spark):
+@pytest.mark.parametrize("segment", [1, 7, 1024])
+@pytest.mark.parametrize("thorough", [True, False])
+def test_secret_spans_equal_regular_expressions(spark, monkeypatch, segment, thorough):
+    """Whatever the length of the segments a text is cut into."""
+    monkeypatch.setattr(S, "SEGMENT", segment)
     rng = random.Random(1)
     alphabet = "abcdefABCDEF0123456789xyzXYZ_-+/"
     texts = HOT + [" ".join(rng.choice(["token=", "word", "AKIA", "".join(rng.choice(alphabet) for _ in range(rng.randrange(3, 60)))]) + rng.choice(["", " ", ":"]) for _ in range(30)) for _ in range(60)]
     texts.append(sentence(20_000) + " token=abcdefgh")
-    found = S.scan(documents(spark, [*enumerate(texts), (999, None), (0, texts[0])]).withColumn("base_spans", F.lit(1)))
-    rows = found.select("doc_id", "text", S.shown(F.col("base_spans")).alias("base"), S.shown(F.col("all_spans")).alias("spans"), S.redacted(F.col("text"), F.col("all_spans")).alias("masked")).collect()
+    texts += ["token  =  'abcdefgh' token\" : \"x.y=z/1234\" secret =\tabcdefgh passwd: abc defghi", "token = " + "Kx9fQ2mLw8Rt5YbN1vCz7HdPq3 " * 3, "k9x2m7q4w8r5t1y6n3v0bzhp K7XQ2MZP4WRT5YNB3VCHJGAE docs/example/Kx9fQ2mLw8Rt5YbN1vCz7HdPq3"]
+    docs = documents(spark, [*enumerate(texts), (999, None), (0, texts[0])]).withColumn("base_spans", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("_base", F.lit(2))
+    found = S.scan(docs, thorough=thorough)
+    assert found.columns == ["doc_id", "text", "lang", "source", "spans", "_base", "base_spans", "all_spans"]
+    rows = found.select("doc_id", "text", S.shown(F.col("base_spans")).alias("base"), S.shown(F.col("all_spans")).alias("spans"), S.masked(F.col("text"), thorough=thorough).alias("masked")).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
         base = base_spans(r.text or "")
-        spans = sorted(base + entropy_spans(r.text or "", base))
+        spans = sorted(base + entropy_spans(r.text or "", base, thorough))
         assert (r.base, r.spans) == (shown(base), shown(spans))
         assert r.masked == (None if r.text is None else masked(r.text, spans))
 
 
+def test_a_long_text_with_many_matches_takes_time_in_proportion(spark):
+    run = "deadbeef0123 word deadbeef0123deadbeef0123 token=abcdefgh, "
+    took = {}
+    for n in (400_000, 400_000, 4_000_000):  # the first is a warm-up
+        text = run * (n // len(run))
+        docs = documents(spark, [(1, text)])
+        began = time.perf_counter()
+        row = S.scan(docs).select(F.size("all_spans").alias("n"), F.element_at("all_spans", -1).alias("last")).first()
+        took[n] = time.perf_counter() - began
+        assert row.n == 2 * text.count("token") and row.last.stop == len(text) - 2
+    assert took[4_000_000] <= 12 * took[400_000]
+
+
 def test_allowed_values_and_patterns(spark):
     value = "Kx9fQ2mLw8Rt5YbN1vCz7HdPq3"
     docs = documents(spark, [(1, f"a {value} b")])
@@ -105,8 +132,8 @@ def test_thorough_scan_masks_one_case_secrets_and_those_beside_allowed_words(spa
     assert out[0] == out[1] == out[6] == "a [secret] b" and out[99] is None
     assert out[2].startswith("see docs/example") and "[secret]" in out[2] and mixed[:8] not in out[2] and mixed[-8:] not in out[2]
     assert [out[k] for k in (3, 4, 5)] == texts[3:6]
-    plain = S.scan(docs).select("doc_id", S.shown(F.col("all_spans")).alias("spans")).collect()
-    assert {r.doc_id for r in plain if r.spans} == {6}  # as its SQL defines
+    plain = S.scan(docs, thorough=False).select("doc_id", S.shown(F.col("all_spans")).alias("spans")).collect()
+    assert {r.doc_id for r in plain if r.spans} == {6}
 
 
 LANGUAGES = {"aa": "lorum ipsa dolet kamit", "bb": "grunz wachtel pfosten zwerg", "cc": "océan été rêve île", "dd": "привет слово река гора"}
