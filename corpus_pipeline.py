@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.scan(docs.select(*COLUMNS), thorough=True).withColumn("text", secrets.redacted(F.col("text"), F.col("all_spans")))
+    masked = docs.select(*COLUMNS).withColumn("text", secrets.masked(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
