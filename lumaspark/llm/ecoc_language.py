@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .tasks import stage
+from .tasks import stage, unused
 
 FEATURES = 1 << 14
 SMOOTHING = 0.5
@@ -169,7 +169,8 @@ def identify(docs: DataFrame, model: Model, text: str | Column = "text") -> Data
     column = F.col(text) if isinstance(text, str) else text
     found = predictor(model)(F.lower(column), F.coalesce(column.rlike(r"\p{L}"), F.lit(False)))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "runner_up", "ambiguous")]
-    return docs.withColumn("_found", found).select(*kept, "_found.*")
+    held = unused(docs.columns, "found")
+    return docs.withColumn(held, found).select(*kept, f"{held}.*")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .tasks import let, stage
+from .tasks import let, packed, stage, unpacked
 
 VOCABULARIES = "/opt/tokenizers"  # where the files lie on every node
 PIECES, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -194,7 +194,8 @@ def rules(docs: DataFrame, text: str = "text", lang: str = "lang", folder: str =
     fields = [f.split(":")[0].strip() for f in OUTPUT.removeprefix("STRUCT<").removesuffix(">").split(",")]
     own = {*fields, "base_failed", "kept", "reasons", text}
     script = script_of(F.coalesce(F.col(text), F.lit("")))
-    measured = docs.select(*[c for c in docs.columns if c not in own], F.col(lang).cast("string").alias("_group"), script.alias("_script"), measurer(folder)(F.col(text)).alias("_m")).select("*", "_m.*").drop("_m")
+    others = [c for c in docs.columns if c not in own]
+    measured = docs.select(packed(others).alias("_kept"), F.col(lang).cast("string").alias("_group"), script.alias("_script"), measurer(folder)(F.col(text)).alias("_m")).select("*", "_m.*").drop("_m")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     length = F.log2(F.greatest("word_chars", F.lit(1)).cast("double"))
     measured = stage(measured.withColumns({"base_failed": failed, "_group": F.coalesce("_group", "_script"), "_length": length, "_size": F.floor(length).cast("int")}), "fertility")
@@ -204,4 +205,4 @@ def rules(docs: DataFrame, text: str = "text", lang: str = "lang", folder: str =
     high["entropy"] += F.greatest(F.coalesce(F.col("_length") - F.col("_long"), F.lit(0.0)), F.lit(0.0))
     out = [F.when((F.col(m) < low[m]) | (F.col(m) > high[m]), F.lit(m)) for m in MEASURES]
     judged = joined.withColumn("reasons", F.concat_ws(",", *out)).withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == ""))
-    return judged.select(*[c for c in judged.columns if not c.startswith("_")])
+    return judged.select(*unpacked("_kept", others), *fields, "base_failed", "reasons", "kept")

@@ -7,7 +7,7 @@ sums; only those reach the driver. A document is expected ``share * weight`` tim
 with the calibrated probability that remains, decided by a hash of its id and text.
 
 Where no targets are given, a marginal is the corpus's own tempered by an exponent. Targets are scaled to the categories that have tokens. Fitting
-ends at ``TOLERANCE`` or, if the targets contradict empty cells, after ``SWEEPS`` sweeps; ``Factors.error`` tells the largest deviation left.
+ends at ``TOLERANCE`` or, if the targets contradict empty cells, when the largest deviation no longer falls; that deviation is returned as ``fit_error``, and ``mix`` fails where targets that were given are missed by more than ``MOST_ERROR``.
 
 Defined results: a null source, language or topic is the category '(none)'; a null or empty text has no tokens, adds nothing and gets its
 cell's weight; a source without tokens weighs 0. Repeated rows count and are drawn alike. An empty table gives an empty one. Input columns are kept; one named
@@ -21,17 +21,18 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tasks import let, stage
+from .tasks import let, stage, unused
 
 NONE = "(none)"
 OTHER = "(other)"
 WORD = r"[^\x20\x09-\x0D]+"
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 SHARE = 0.5
-SWEEPS = 60
 TOLERANCE = 1e-10
+STALLED = (8, 0.999)  # sweeps over which the error must fall to less than this part of itself
+MOST_ERROR = 0.01  # share of the tokens by which a given target may be missed
 MOST_CELLS = 4096
-OUTPUT = ("tokens", "topic", "weight", "expected", "copies")
+OUTPUT = ("tokens", "topic", "weight", "expected", "copies", "fit_error")
 # Fixed seed words per topic.
 TOPICS = {
     "contact": ("mail", "email", "phone", "tel", "fax", "address", "contact"),
@@ -114,13 +115,14 @@ def fit(
         raise ValueError("no source with tokens has a target")
     factor_of = lambda b: let_factor(b.ravel(), mass)
     lang_factor, topic_factor = np.ones(len(langs)), np.ones(len(topics))
-    error, sweep = np.inf, 0
+    error, sweep, errors = np.inf, 0, []
     while True:
         b = lang_factor[:, None] * topic_factor[None, :]
         sums = wide.withColumn("f", factor_of(b)).agg(*[F.sum(F.col("f") * F.get("t", F.lit(i))) for i in range(len(place))]).first()
         m = np.array(list(sums)).reshape(shape) * b
         error = max(np.abs(m.sum(axis=1) - want_lang).max(), np.abs(m.sum(axis=0) - want_topic).max())
-        if error < TOLERANCE or sweep == SWEEPS:
+        errors.append(error)
+        if error < TOLERANCE or (sweep >= STALLED[0] and error >= STALLED[1] * errors[-1 - STALLED[0]]):
             break
         sweep += 1
         step = ratio(want_lang, m.sum(axis=1))
@@ -146,16 +148,21 @@ def measured(docs: DataFrame, text: str = "text", topic: Column | None = None) -
     return kept.withColumns({"tokens": F.regexp_count(whole, F.lit(WORD)).cast("long"), "topic": F.coalesce(topic if topic is not None else topic_of(whole), F.lit(NONE))})
 
 
-def mix(docs: DataFrame, share: float = SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, **targets) -> DataFrame:
-    """``docs`` with ``tokens``, ``topic``, ``weight`` (1 on average over tokens), ``expected`` (copies) and ``copies`` (drawn)."""
+def mix(docs: DataFrame, share: float = SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, most_error: float = MOST_ERROR, **targets) -> DataFrame:
+    """``docs`` with ``tokens``, ``topic``, ``weight`` (1 on average over tokens), ``expected`` (copies), ``copies`` (drawn) and ``fit_error``, the largest
+    deviation of a language's or topic's share from its target, which is the same in every row."""
     rows = measured(docs, text, topic)
     category = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     factors = fit(rows.select(category(source).alias("source"), category(lang).alias("lang"), "topic", "tokens"), **targets)
+    if any(targets.get(f"{k}_targets") for k in TEMPER) and factors.error > most_error:
+        raise ValueError(f"the targets contradict each other on these documents: after {factors.sweeps} sweeps a share is off by {factors.error:.3g}")
     named = lambda c, names, targets: c if targets is None else F.when(c.isin(list(targets)), c).otherwise(F.lit(OTHER))
     cell = F.concat_ws("\x01", named(category(lang), factors.langs, targets.get("lang_targets")), named(F.col("topic"), factors.topics, targets.get("topic_targets")))
     pairs = [x for i, a in enumerate(factors.langs) for j, b in enumerate(factors.topics) for x in (F.concat_ws("\x01", F.lit(a), F.lit(b)), F.lit(float(factors.grid[i, j])))]
     in_grid = F.element_at(F.create_map(*pairs), cell) if pairs else F.lit(0.0)
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(20), F.col(doc_id), F.col(text)), 11) / F.lit(float(1 << 53))
-    joined = rows.withColumn("_source", category(source)).join(factors.sources.select(F.col("source").alias("_source"), F.col("factor").alias("_factor")), "_source", "left")
-    weighed = joined.withColumn("weight", F.coalesce(F.col("_factor") * in_grid, F.lit(0.0))).withColumn("expected", F.col("weight") * share)
-    return weighed.withColumn("copies", (F.floor("expected") + (drawn < F.col("expected") - F.floor("expected")).cast("long")).cast("long")).drop("_source", "_factor")
+    by, factor = unused(rows.columns, "by"), unused(rows.columns, "factor")
+    joined = rows.withColumn(by, category(source)).join(factors.sources.select(F.col("source").alias(by), F.col("factor").alias(factor)), by, "left")
+    weighed = joined.withColumn("weight", F.coalesce(F.col(factor) * in_grid, F.lit(0.0))).withColumn("expected", F.col("weight") * share)
+    drawn_copies = (F.floor("expected") + (drawn < F.col("expected") - F.floor("expected")).cast("long")).cast("long")
+    return weighed.withColumn("copies", drawn_copies).drop(by, factor).withColumn("fit_error", F.lit(float(factors.error)))

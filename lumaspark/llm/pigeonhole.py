@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .tasks import unused
 
 BLOCK_CHARS = 16 << 20
 EDIT_SHARE = 0.15
@@ -154,7 +155,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     found = [matcher(items)(F.lower(F.col(text))) for items in blocks(benchmark, item_id, item_text, block_chars)]
     if not found:
         return docs.select(*kept, F.array().cast(HIT).alias("leaks"))
-    out = docs
-    for i, column in enumerate(found):
-        out = out.withColumn(f"_leaks{i}", column)
-    return out.select(*kept, F.concat(*[F.col(f"_leaks{i}") for i in range(len(found))]).alias("leaks"))
+    out, names = docs, []
+    for column in found:
+        names.append(unused(out.columns, "leaks_"))
+        out = out.withColumn(names[-1], column)
+    return out.select(*kept, F.concat(*names).alias("leaks"))

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked weight, expected and drawn copies."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "expected", "copies")
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "expected", "copies", "fit_error")
 
 
 # The pages have no fetch time and there is no list: both come from the pages by formula. A key's md5 decides its lists and days.

@@ -50,6 +50,15 @@ def unused(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def packed(columns: Sequence[str]) -> Column:
+    """The given columns as one value, beside which an operator's own names can't clash. Without columns, a value of no meaning."""
+    return F.struct(*columns) if columns else F.struct(F.lit(True).alias("none"))
+
+
+def unpacked(column: str, columns: Sequence[str]) -> list[str]:
+    return [f"{column}.*"] if columns else []
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .tasks import let, stage
+from .tasks import let, packed, stage, unpacked
 
 BLOCK_DAYS = 64
 PATH_DEPTH = 2
@@ -61,7 +61,7 @@ def block_of(day: Column, days: int) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day", block_days: int = BLOCK_DAYS, depth: int = PATH_DEPTH) -> DataFrame:
     """``captures`` with ``host``, ``n_active``, ``active`` ("list:key" in order) and ``verdict``: that of the longest active key, ``allow`` before ``block``, else ``none``."""
     kept = [c for c in captures.columns if c not in OUTPUT]
-    rows = stage(captures.select(*kept, F.monotonically_increasing_id().alias("_row"), F.col(day).cast("date").alias("_day"), keys_of(F.col(url), depth).alias("_keys"), host_of(F.col(url)).alias("host")), "url-captures")
+    rows = stage(captures.select(packed(kept).alias("_kept"), F.monotonically_increasing_id().alias("_row"), F.col(day).cast("date").alias("_day"), keys_of(F.col(url), depth).alias("_keys"), host_of(F.col(url)).alias("host")), "url-captures")
     asked = rows.select("_row", F.col("_day").alias("day"), F.explode("_keys").alias("key")).where("day IS NOT NULL")
     low, high = (F.lit(x).cast("date") for x in rows.agg(F.min("_day"), F.max("_day")).first())
     until = F.least(F.coalesce(F.date_sub("stop", 1), high), high)
@@ -77,4 +77,4 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
         F.max(F.struct(F.length("key"), (F.col("list") == ALLOW).alias("permits"))).alias("_best"),
     )
     verdict = F.when(F.col("_best").isNull(), "none").when(F.col("_best.permits"), "allow").otherwise("block")
-    return rows.join(found, "_row", "left").select(*kept, "host", F.coalesce("_n", F.lit(0)).alias("n_active"), F.coalesce("_active", F.lit("")).alias("active"), verdict.alias("verdict"))
+    return rows.join(found, "_row", "left").select(*unpacked("_kept", kept), "host", F.coalesce("_n", F.lit(0)).alias("n_active"), F.coalesce("_active", F.lit("")).alias("active"), verdict.alias("verdict"))

@@ -33,7 +33,6 @@ from .tasks import flat, stage
 ARCHIVE_BYTES = 64 << 20  # of records before compression, after which a task begins another archive
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 18
-MOST_HEADER = 1 << 20
 LEVEL = 6
 GZIP = 31  # zlib's window bits for a gzip member
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,10 +101,10 @@ class Inflated:
                 return True
 
     def head(self) -> bytes | None:
-        """Bytes up to the next empty line; None at the end of the archive."""
-        while (at := self.held.find(b"\r\n\r\n")) < 0:
-            if len(self.held) > MOST_HEADER:
-                raise ValueError("a record header doesn't end")
+        """Bytes up to the next empty line, however many; None at the end of the archive."""
+        seen = 0
+        while (at := self.held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.held)
             if not self.fill():
                 if self.held.strip():
                     raise ValueError("the archive ends within a record header")

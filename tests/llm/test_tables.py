@@ -12,7 +12,7 @@ import pytest
 from text_tables import documents, empty, sentence
 from pyspark.sql import functions as F
 
-from lumaspark.llm import mixing as X
+from lumaspark.llm import ecoc_language, fertility, mixing as X, pigeonhole, secrets, url_lists
 from lumaspark.llm import url_lists as U
 from lumaspark.llm import warc as A
 
@@ -72,6 +72,33 @@ def test_given_targets_and_odd_rows(spark):
     assert X.mix(empty(spark)).count() == 0
 
 
+def test_contradicting_targets_are_told(spark):
+    """Each source holds one language: no weights give both half of the sources and nine tenths of a language."""
+    docs = documents(spark, [(i, sentence(10), "en" if i % 2 else "fr", f"s{i % 2}") for i in range(20)]).withColumn("by", F.lit(1)).withColumn("factor", F.lit("x")).withColumn("_source", F.lit(2))
+    targets = {"source_targets": {"s0": 0.5, "s1": 0.5}, "lang_targets": {"en": 0.9, "fr": 0.1}}
+    with pytest.raises(ValueError, match="contradict"):
+        X.mix(docs, **targets)
+    rows = X.mix(docs, most_error=1.0, **targets).collect()
+    assert rows[0].fit_error == pytest.approx(0.4) and {(r.by, r.factor, r._source) for r in rows} == {(1, "x", 2)}
+    assert X.mix(docs).first().fit_error < 1e-6
+
+
+def test_columns_named_like_those_of_the_operators_stay(spark):
+    names = ["_row", "_day", "_keys", "_kept", "found", "leaks_", "_m", "_group", "key", "stop"]
+    own = {n: F.lit(i) for i, n in enumerate(names)}
+    want = tuple(range(len(names)))
+    captures = spark.createDataFrame([("http://a.b/c", DAY)], "url STRING, day DATE").withColumns({n: c for n, c in own.items() if n != "day"})
+    entries = spark.createDataFrame([("l", "a.b", DAY, 0, "add")], "list STRING, key STRING, day DATE, seq INT, kind STRING")
+    rows = [url_lists.evaluate(captures, entries)]
+    docs = documents(spark, [(1, "some words of a text " * 30, "en", "s")]).withColumns(own)
+    rows.append(fertility.rules(docs))
+    rows.append(ecoc_language.identify(docs, ecoc_language.train(docs)))
+    rows.append(pigeonhole.find(docs, spark.createDataFrame([(1, "some words of a text some words of a text")], "item_id BIGINT, text STRING"), block_chars=10))
+    rows.append(secrets.scan(docs))
+    for df in rows:
+        assert tuple(df.select(*names).first()) == want
+
+
 DAY = dt.date(2023, 1, 1)
 
 
@@ -125,21 +152,22 @@ PAGES = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)] +
 
 @pytest.mark.parametrize(("least", "size"), [(0, 1 << 26), (10, 2000)])
 def test_archives_come_back_whole(spark, least, size):
-    archives = A.write(pages(spark, PAGES), least_bytes=least, archive_bytes=size)
+    given = [*PAGES, (501, "http://long/" + "u" * 5_000_000, "long url")]
+    archives = A.write(pages(spark, given), least_bytes=least, archive_bytes=size)
     normal = A.normalise(archives)
     got = sorted(map(tuple, A.read(A.index(normal)).collect()), key=str)
     first = {}
-    for i, _, h in PAGES:
+    for i, _, h in given:
         if i is not None and len((h or "").encode()) >= least:
             first[h or ""] = min(first.get(h or "", i), i)
     want = []
-    for i, _, h in PAGES:
+    for i, _, h in given:
         p = (h or "").encode()
         f = first.get(h or "")
         revisit = f is not None and i != f
         want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response", f if revisit else None))
     assert got == sorted(want, key=str)
-    assert normal.agg(F.sum("records")).first()[0] == len(PAGES)
+    assert normal.agg(F.sum("records")).first()[0] == len(given)
 
 
 def test_normalised_archive_holds_the_same_records(tmp_path):
