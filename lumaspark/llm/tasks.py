@@ -112,11 +112,28 @@ def binaries(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw, at - at[0]
 
 
+HUB = 256  # rows of a node above which it may be a hub
+MOST_HUBS = 100_000
+
+
+def beside_least(rows: DataFrame, n_rows: int) -> DataFrame:
+    """u, v, m: the rows (u, v) with the least ``v`` of their ``u``.
+
+    A node with a large share of the rows would meet its rows in one task. Nodes with more than a certain number of rows, so few that there are at
+    most ``MOST_HUBS`` of them whatever the graph, are broadcast to where their rows lie; all other rows are joined.
+    """
+    most = max(HUB, n_rows // MOST_HUBS)
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(others)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, component (the least node id in it) for the nodes of ``edges`` (u, v), by alternating large and small stars.
 
-    Every round is written to the shared folder. A node's neighbours are never gathered; only their minimum is taken. The
-    driver sees one count and one checksum per round.
+    Every round is written to the shared folder, and the one before it removed. A node's neighbours are never gathered; only their minimum is taken, and the rows of a
+    hub stay spread. The driver sees one count and one checksum per round.
     """
     e = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     mark = None
@@ -125,10 +142,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if mark == tuple(seen):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
         mark = tuple(seen)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
-        e = stage(small.select("s.*").where("u != v").distinct(), label)
+        both = stage(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), label)
+        near = beside_least(both, 2 * seen[0]).withColumn("m", F.least("m", "u"))
+        large = stage(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), label)
+        low = beside_least(large, seen[0])
+        small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+        last, e = e, stage(small.select("s.*").where("u != v").distinct(), label)
+        discard(last, both, large)
