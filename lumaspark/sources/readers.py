@@ -37,6 +37,13 @@ def read_samples(
     return samples
 
 
+def read_by_frame(spark: SparkSession, *tables: str) -> list[DataFrame]:
+    """Tables of ``writers.write_by_frame``. Joins on (clip, frame) and further keys may then use the buckets as they
+    lie, which Spark leaves out unless told that a part of the keys will do; this is set for the session."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [spark.table(t) for t in tables]
+
+
 def samples_from_planes(planes: DataFrame) -> DataFrame:
     """Long samples of planes; each luma sample gets the codes of its chroma site."""
 

@@ -17,15 +17,19 @@ SECTION = 1 << 40  # positions of one part of a sidecar
 STATS_COLUMNS = ("selected_pq", "raw_max_pq", "percentile_pq", "robust_pq", "sigma_pq", "correction_pq")
 
 
+def write_by_frame(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Samples, planes, layers or parameters as a table bucketed by (clip, frame) and sorted inside.
+
+    Per-frame aggregations and windows on the table need no shuffle, and frame filters skip row groups. Tables of the same number of
+    buckets, read by ``readers.read_by_frame``, join without one: chroma to luma, one layer to another.
+    """
+    order = [c for c in ("plane", "y", "x", "cy", "cx", "idx") if c in rows.columns]
+    writer = rows.write.bucketBy(buckets, "clip_id", "frame_idx").sortBy("clip_id", "frame_idx", *order).format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def write_samples(samples: DataFrame, table: str, buckets: int) -> None:
-    """Bucketed by (clip, frame) and sorted, so that every per-frame aggregation, window
-    or join on the table needs no shuffle and frame filters skip row groups."""
-    (
-        samples.write.bucketBy(buckets, "clip_id", "frame_idx")
-        .sortBy("clip_id", "frame_idx", "y", "x")
-        .format("parquet")
-        .saveAsTable(table)
-    )
+    write_by_frame(samples, table, buckets)
 
 
 def sidecar_pieces(framed: DataFrame, crops: DataFrame, **options) -> DataFrame:

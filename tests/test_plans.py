@@ -1,11 +1,14 @@
 """Shape of the physical plans: what must not appear at any scale, and what must."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lumaspark.operators import measure
-from lumaspark.sources import readers
+from lumaspark.operators import composite as layers_of, measure, samples as S
+from lumaspark.sources import readers, writers
 from lumaspark.workbench import registry, adapters as A
 
 SAMPLE = (
@@ -50,3 +53,56 @@ def test_every_operator_has_a_query_and_sql(spark):
     found = {name.split("_")[0] for name in queries}
     counts = {"s": 15, "f": 21, "p": 8, "a": 26, "j": 12, "w": 18, "e": 8, "c": 5, "o": 6, "v": 12, "m": 18, "t": 4}
     assert {f"{letter}{i}" for letter, n in counts.items() for i in range(1, n + 1)} <= found
+
+
+def moved_columns(df):
+    """Columns that pass an exchange by hash, by name."""
+    df.collect()
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    final = text.split("== Initial Plan ==")[0]
+    out = set()
+    for block in re.split(r"\n\n+", text):
+        if re.match(r"\(\d+\) Exchange", block) and "hashpartitioning" in block:
+            number = block.split(")")[0].lstrip("(")
+            if f"({number})" in final:
+                out |= {c.strip().split("#")[0] for c in re.search(r"Input \[\d+\]: \[(.*)\]", block)[1].split(",")}
+    return out
+
+
+def test_tables_by_frame_join_where_they_lie(spark, tmp_path):
+    """Chroma to luma, samples into histograms, and one layer to another: no sample and no plane passes a shuffle."""
+    rng = np.random.default_rng(5)
+    pack = lambda n: bytearray((rng.integers(64, 940, n) << 6).astype("<u2").tobytes())
+    layers = "clip_id STRING, frame_idx INT, luma BINARY, cb BINARY, cr BINARY"
+    planes = [("m", i, pack(24), pack(6), pack(6)) for i in range(40)]
+    curves = "ARRAY<STRUCT<kind: STRING, pivots: ARRAY<BIGINT>, pieces: ARRAY<STRUCT<ord: INT, constant: BIGINT, coefs: ARRAY<ARRAY<BIGINT>>>>>>"
+    zero, same = [0, 0, 0], [("identity", [0, 1023], [])] * 3
+    params = spark.createDataFrame(
+        [("m", i, zero, zero, zero, zero, zero, zero, zero, 23, 10, True, same) for i in range(40)],
+        f"clip_id STRING, frame_idx INT, {', '.join(f'{c} ARRAY<BIGINT>' for c in ('nlq_offset', *layers_of.NLQ_FIELDS.values()))}, denom INT, el_bits INT, disabled BOOLEAN, curves {curves}",
+    )
+    luma = [("m", i, x, y, 100 + x) for i in range(40) for x in range(4) for y in range(4)]
+    chroma = [("m", i, cx, cy, 500 + cx, 500 + cy) for i in range(40) for cx in range(2) for cy in range(2)]
+    given = {
+        "base": spark.createDataFrame(planes, layers), "upper": spark.createDataFrame(planes, layers), "params": params,
+        "luma": spark.createDataFrame(luma, "clip_id STRING, frame_idx INT, x INT, y INT, y_code INT"), "chroma": spark.createDataFrame(chroma, "clip_id STRING, frame_idx INT, cx INT, cy INT, cb_code INT, cr_code INT"),
+    }
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, rows in given.items():
+            writers.write_by_frame(rows, f"by_frame_{name}", 4, str(tmp_path / name))
+        base, upper, known, luma, chroma = readers.read_by_frame(spark, *[f"by_frame_{n}" for n in ("base", "upper", "params", "luma", "chroma")])
+        sited = S.attach_chroma(luma, chroma)
+        assert sited.count() == 40 * 16 and not moved_columns(sited) & {"y_code", "cb_code"}
+        assert not moved_columns(measure.lum_histogram(sited)) & {"y_code", "cb_code"}
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        assert {"y_code", "cb_code"} <= moved_columns(S.attach_chroma(luma, chroma))  # as Spark has it by default
+        readers.read_by_frame(spark)
+        out = layers_of.composite_planes(base, upper, known)
+        assert out.count() == 40 and not moved_columns(out) & {"luma", "cb", "cr", "el_luma", "el_cb", "el_cr"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for name in given:
+            spark.sql(f"DROP TABLE IF EXISTS by_frame_{name}")
