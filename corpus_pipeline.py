@@ -3,10 +3,13 @@
 1. ``language_id``: drops documents without a letter and those whose language is ambiguous.
 2. ``near_duplicates``: of each class of documents linked by a 5-gram similarity of 0.8 or more, the one with the least id stays.
 3. ``decontaminate``: drops documents that hold a passage of ``benchmark`` within the edit budget.
-4. ``mask_secrets``: replaces each secret by ``[secret]`` and counts the characters anew; every document stays.
+4. ``mask_secrets``: replaces each secret by ``[secret]``, segment by segment, and counts the characters anew; every document stays.
 5. ``mix``: weighs the documents to the source, language and topic targets and keeps those drawn, with the number of copies.
 
 A null text has no letter and goes in the first stage; documents without an id pass the second. An empty table gives an empty result.
+The columns of ``documents`` (``COLUMNS``) are carried; any other column of the input is left out, so none can clash. Texts are read whole by every stage, very
+long ones too. In the second stage a single row of each id stays, and of the documents of one class the least id. Drawing depends on id and text alone, so equal rows are drawn alike. Each stage is a table in the shared folder, which is kept:
+a stage can be run again from the one before it.
 """
 
 from __future__ import annotations
