@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.transfer import unpack_code
 from ..operators.checks import check_shots
-from ..operators.planes import codes_of
+from ..operators.planes import codes_of, there
 from ..operators.ordered import previous_row, running_count
 
 LINES_PER_CHUNK = 8192
@@ -45,7 +45,7 @@ def read_by_frame(spark: SparkSession, *tables: str) -> list[DataFrame]:
 
 
 def samples_from_planes(planes: DataFrame) -> DataFrame:
-    """Long samples of planes; each luma sample gets the codes of its chroma site."""
+    """Long samples of planes; each luma sample gets the codes of its chroma site. Holes give no row."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -53,11 +53,12 @@ def samples_from_planes(planes: DataFrame) -> DataFrame:
                 width = int(row.width)
                 luma = codes_of(row.luma).reshape(-1, width)
                 sites = [codes_of(p).reshape(-1, (width + 1) // 2) for p in (row.cb, row.cr)]
-                columns = np.arange(width)
+                every, known = np.arange(width), there(luma)
                 # Row by row: an output batch stays as small as one line of the picture.
                 for y, codes in enumerate(luma):
+                    columns = every if known is None else np.flatnonzero(known[y])
                     yield pd.DataFrame({
-                        "clip_id": row.clip_id, "frame_idx": row.frame_idx, "x": columns, "y": y, "y_code": codes,
+                        "clip_id": row.clip_id, "frame_idx": row.frame_idx, "x": columns, "y": y, "y_code": codes[columns],
                         "cb_code": sites[0][y // 2][columns // 2], "cr_code": sites[1][y // 2][columns // 2],
                     })
 

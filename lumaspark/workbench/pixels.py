@@ -9,6 +9,7 @@ from ..functions import transfer as T
 from ..sources import readers
 from ..operators import grain, measure, planes, samples as S
 from . import adapters as A
+from . import packing
 from .registry import query
 from .scalars import six
 
@@ -433,21 +434,20 @@ def w17(spark, sf_dir):
 
 # The same measurement on stored planes ----------------------------------------------------
 def mosaic_planes(spark, sf_dir, repeat: int = 1):
-    """Planes of the mosaic, one row per frame; ``repeat`` stacks a frame on itself."""
+    """Planes of the mosaic, one row per frame; ``repeat`` stacks a frame on itself. The last frame may lack tiles, which are holes."""
     given = A.mosaic(spark, sf_dir)
 
-    def packed(name, wanted):
-        """Little-endian words in row order."""
-        code = F.col(name)
-        word = F.concat(F.lpad(F.hex(code % 256), 2, "0"), F.lpad(F.hex(F.shiftright(code, 8)), 2, "0"))
-        at = F.when(wanted, F.struct("y", "x", word.alias("v")))
-        text = F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda r: r["v"]), "")
-        return F.unhex(F.repeat(text, F.lit(repeat)))
+    def placed(name, at, wanted):
+        return F.sort_array(F.collect_list(F.when(wanted, F.struct(at.cast("int").alias("at"), packing.word(F.col(name)).alias("v")))))
 
     site = (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)
-    return given.groupBy(*FRAME).agg(
-        F.lit(40).alias("width"), F.lit(40 * repeat).alias("height"),
-        packed("y_code", F.lit(True)).alias("luma"), packed("cb_code", site).alias("cb"), packed("cr_code", site).alias("cr"),
+    luma_at, site_at = F.col("y") * A.SIDE + F.col("x"), F.expr(f"(y div 2) * {A.SIDE // 2} + x div 2")
+    rows = given.groupBy(*FRAME).agg(
+        placed("y_code", luma_at, F.lit(True)).alias("luma"), placed("cb_code", site_at, site).alias("cb"), placed("cr_code", site_at, site).alias("cr")
+    )
+    plane = lambda name, size: F.unhex(F.repeat(packing.text(F.col(name), F.lit(size)), F.lit(repeat))).alias(name)
+    return rows.select(
+        *FRAME, F.lit(A.SIDE).alias("width"), F.lit(A.SIDE * repeat).alias("height"), plane("luma", A.SIDE**2), plane("cb", A.SIDE**2 // 4), plane("cr", A.SIDE**2 // 4)
     )
 
 
