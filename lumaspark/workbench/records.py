@@ -340,8 +340,8 @@ def s2(spark, sf_dir):
     planes, back = mosaic_planes(spark, sf_dir), []
     for layout, clips in (("planar", ("m0", "m2")), ("p010", ("m1", "m3"))):
         path = scratch(spark, f"raw-{layout}")
-        raw_video.write_raw(planes.where(F.col("clip_id").isin(*clips)), path, A.SIDE, A.SIDE, layout, frames_per_file=4)
-        back.append(raw_video.read_raw(spark, path, A.SIDE, A.SIDE, layout, frames_per_task=2))
+        raw_video.write_raw(planes.where(F.col("clip_id").isin(*clips)), path, A.SIDE, A.SIDE, layout, frames_per_file=4, holes=True)
+        back.append(raw_video.read_raw(spark, path, A.SIDE, A.SIDE, layout, frames_per_task=2, holes=True))
     return readers.samples_from_planes(back[0].union(back[1]))
 
 

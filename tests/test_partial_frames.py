@@ -1,12 +1,14 @@
 """Frames that are known in part: tiles missing at the end and in the middle of the mosaic."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from lumaspark.sources.raw_video import Shape
 
 NAMES = (
-    "a26_diff_histogram_planes", "a2_hue_histogram_planes", "flagship_headers_planes", "measured_planes", "w17_median3_planes",
+    "a26_diff_histogram_planes", "a2_hue_histogram_planes", "flagship_headers_planes", "measured_planes", "s2_raw_planes", "w17_median3_planes",
 )
 
 
@@ -27,3 +29,12 @@ def test_partial_mosaic_equals_sql(spark, partial, name):
     columns = ", ".join(f'"{c}"' for c in got.columns)
     want = con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("layout", ["planar", "p010"])
+def test_raw_words_of_holes(layout):
+    luma, site = np.array([64, 0xFFFF, 1023, 500], "<u2"), np.array([512], "<u2")
+    with pytest.raises(ValueError, match="holes"):
+        Shape(2, 2, layout).words(luma, site, site)
+    shape = Shape(2, 2, layout, holes=True)
+    assert [list(p) for p in shape.planes(shape.words(luma, site, site))] == [list(luma), [512], [512]]
