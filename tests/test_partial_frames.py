@@ -9,6 +9,7 @@ from lumaspark.sources.raw_video import Shape
 
 NAMES = (
     "a26_diff_histogram_planes", "a2_hue_histogram_planes", "flagship_headers_planes", "measured_planes", "s2_raw_planes", "w17_median3_planes",
+    "j8_composite", "j8_composite_planes",
 )
 
 
