@@ -45,9 +45,17 @@ def drain(stream, spark, mode: str = "append"):
 
 def source(df, spark):
     """The table as a file stream in the order of time, a few files per batch; Spark's shuffle decides on the number of
-    files, so it grows with the table."""
+    files, so it grows with the table.
+
+    A file stream takes files by their age. Tasks end in any order, so the ranges are written side by side first and then
+    arrive one after the other, as they would live."""
     base = f"{stage_dir(spark)}/lumaspark-source-{uuid.uuid4().hex}"
-    df.repartitionByRange("ts").write.parquet(base)
+    df.repartitionByRange("ts").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{base}/ranges")
+    ranges = spark.read.parquet(f"{base}/ranges").select("_range").distinct().orderBy("_range")
+    for r in ranges.toLocalIterator():
+        part = spark.read.schema(df.schema).parquet(f"{base}/ranges/_range={r['_range']}")
+        part.coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+    base = f"{base}/arrived"
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(base)
 
 

@@ -1,5 +1,6 @@
 """Streams that meet frames out of order and late."""
 
+import os
 import random
 import uuid
 
@@ -81,3 +82,17 @@ def test_a_lost_frame_is_passed_over(spark, tmp_path):
     seen = [r.frame_idx for r in rows]
     assert 25 not in seen and seen[:25] == list(range(25)) and seen[25] == 26 and len(seen) >= 90
     assert [r.frame_idx for r in rows if r.is_cut][:2] == [30, 60]
+
+
+def test_source_files_arrive_in_the_order_of_time(spark):
+    """A file stream takes files by their age, so ranges that end late must not be older than those before them."""
+    from lumaspark.workbench import live as W
+
+    # The first ranges take longest to write.
+    rows = spark.range(40_000).select(
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.when(F.col("id") < 10_000, 200).otherwise(1)).alias("text")
+    )
+    path = W.source(rows, spark).select(F.input_file_name().alias("path"), "ts")
+    seen = W.drain(path, spark).groupBy("path").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).collect()
+    spans = [(r["low"], r["high"]) for r in sorted(seen, key=lambda r: os.stat(r["path"].removeprefix("file://").removeprefix("file:")).st_mtime_ns)]
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
