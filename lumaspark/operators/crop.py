@@ -23,6 +23,8 @@ from ..functions.transfer import is_non_black
 from ..session import staged
 from .samples import FRAME, first_usable_after, probe_ticks, usable_frames, usable_share
 
+BLOCK = 4  # cells along each edge that are compared in one place
+
 
 def _even_span(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
     """Even start and length of [low, high], kept inside ``size``."""
@@ -110,41 +112,54 @@ def crop_cells(distinct: DataFrame, tolerance: int) -> tuple[DataFrame, DataFram
     """Cells of the grid of edges (left, top, right, bottom), and the pairs of cells with a match across.
 
     A cell spans ``tolerance + 1`` steps of each edge, so all rectangles in it match each other and the cell is one node,
-    named by its least label. Matches across lie between a cell and the 80 around it, of which each pair is looked at from
-    one side. A cell holds at most ``(tolerance + 1) ** 4`` places however many rectangles a clip has, so rows grow
-    with the rectangles and not with their pairs.
+    named by its least label. Matches across lie between a cell and the 80 around it. Cells are dealt by blocks of
+    ``BLOCK`` cells along each edge; a cell on the lower side of a block is in the block before as well, about 2.4 copies in all, and a
+    pair is looked at in the block of its lower corner only. A cell holds at most ``(tolerance + 1) ** 4`` places and a block ``(BLOCK + 1) ** 4`` cells however
+    many rectangles a clip has, so rows grow with the rectangles and not with their pairs.
     """
     side = tolerance + 1
     r = F.col("rect")
     ends = (r["x"], r["y"], right(r), bottom(r))
     cell = [F.floor(e / side).cast("bigint").alias(f"_c{k}") for k, e in enumerate(ends)]
     place = F.struct(*[F.pmod(e, F.lit(side)).alias(f"p{k}") for k, e in enumerate(ends)])
-    axes = [f"_c{k}" for k in range(4)]
+    axes, block = [f"_c{k}" for k in range(4)], [f"_b{k}" for k in range(4)]
     placed = distinct.select("*", *cell)
     cells = staged(placed.groupBy("clip_id", *axes).agg(F.min("label").alias("node"), F.collect_set(place).alias("places")), "crop-cells")
-    steps = [d for d in product((-1, 0, 1), repeat=4) if d > (0, 0, 0, 0)]
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(d)]) for d in steps]))
-    asking = cells.withColumn("_d", step).select(
-        "clip_id", *[(F.col(f"_c{k}") + F.col(f"_d.d{k}")).alias(f"_c{k}") for k in range(4)], "_d", F.col("node").alias("other"), F.col("places").alias("other_places")
+
+    def block_of(c: Column) -> Column:
+        return F.floor(c / BLOCK).cast("bigint")
+
+    lower = [F.pmod(F.col(c), F.lit(BLOCK)) == 0 for c in axes]
+    back = [F.when(reduce(and_, [lower[k] for k in range(4) if d[k]], F.lit(True)), F.array(*[F.lit(v) for v in d])) for d in product((0, 1), repeat=4)]
+    dealt = cells.withColumn("_d", F.explode(F.array_compact(F.array(*back)))).select(
+        "clip_id", *[(block_of(F.col(c)) - F.get("_d", k)).alias(b) for k, (c, b) in enumerate(zip(axes, block))],
+        F.struct(F.struct(*axes).alias("at"), "node", "places").alias("cell"),
     )
+    blocks = dealt.groupBy("clip_id", *block).agg(F.collect_list("cell").alias("cells")).where(F.size("cells") > 1)
+
+    def match(p: Column, q: Column, i: Column, j: Column) -> Column:
+        return reduce(and_, [F.abs(q["at"][c] * side + j[f"p{k}"] - p["at"][c] * side - i[f"p{k}"]) <= tolerance for k, c in enumerate(axes)])
 
-    def match(p: Column, q: Column) -> Column:
-        return reduce(and_, [F.abs(F.col(f"_d.d{k}") * side + q[f"p{k}"] - p[f"p{k}"]) <= tolerance for k in range(4)])
+    def touches(p: Column, q: Column) -> Column:
+        near = reduce(and_, [F.abs(q["at"][c] - p["at"][c]) <= 1 for c in axes])
+        here = reduce(and_, [block_of(F.least(p["at"][c], q["at"][c])) == F.col(b) for c, b in zip(axes, block)])
+        return (p["at"] < q["at"]) & near & here & F.exists(p["places"], lambda i: F.exists(q["places"], lambda j: match(p, q, i, j)))
 
-    touching = F.exists("other_places", lambda p: F.exists("places", lambda q: match(p, q)))
-    found = asking.join(cells, ["clip_id", *axes]).where(touching).select("clip_id", "node", "other")
-    return placed.join(cells.drop("places"), ["clip_id", *axes]).drop(*axes), found.union(found.select("clip_id", "other", "node"))
+    pairs = F.flatten(F.transform("cells", lambda p: F.transform(F.filter("cells", lambda q: touches(p, q)), lambda q: F.struct(p["node"].alias("node"), q["node"].alias("other")))))
+    found = blocks.select("clip_id", F.explode(pairs).alias("_p")).select("clip_id", "_p.node", "_p.other")
+    both = F.explode(F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))))
+    return placed.join(cells.drop("places"), ["clip_id", *axes]).drop(*axes), found.select("clip_id", both.alias("_p")).select("clip_id", "_p.node", "_p.other")
 
 
 def cluster_labels(distinct: DataFrame, tolerance: int, rounds: int) -> DataFrame:
     """Smallest label reachable over matching rectangles.
 
     Labels are spread over the cells ``rounds`` times per pass with pointer jumping until a
-    pass changes nothing; the driver sees whether a row changed.
+    pass changes nothing; the driver sees whether a row changed. Cells without a match across keep their own.
     """
     members, pairs = crop_cells(distinct, tolerance)
     edges = staged(pairs, "crop-edges")
-    nodes = members.select("clip_id", "node").distinct()
+    nodes = edges.select("clip_id", "node").distinct()
     current = staged(nodes.withColumn("label", F.col("node")), "crop-labels")
     while True:
         spread = current
@@ -160,7 +175,7 @@ def cluster_labels(distinct: DataFrame, tolerance: int, rounds: int) -> DataFram
         before = current.select("clip_id", "node", F.col("label").alias("old"))
         changed = spread.join(before, ["clip_id", "node"]).where(F.col("old") != F.col("label"))
         if changed.isEmpty():
-            return members.drop("label").join(spread, ["clip_id", "node"]).drop("node")
+            return members.drop("label").join(spread, ["clip_id", "node"], "left").withColumn("label", F.coalesce("label", "node")).drop("node")
         current = spread
 
 

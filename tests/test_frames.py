@@ -208,3 +208,14 @@ def test_cuts_come_out_in_order(spark):
     rows = [(clip, frame) for frame in (30, 2, 111, 7) for clip in ("b", "a10", "a2")]
     cuts = spark.createDataFrame(rows, "clip_id STRING, frame_idx INT").repartition(3)
     assert [tuple(r) for r in scenes.sort_cuts(cuts).collect()] == sorted(rows)
+
+
+def test_cells_are_dealt_a_few_times_only(spark):
+    """A cell goes to its block and to those before it that it borders on, not to every cell around it."""
+    rows = [(f"c{i}", j, (3 * j, j % 4, 100 + j % 3, 60), 1) for i in range(500) for j in range(4)]
+    distinct = spark.createDataFrame(rows, f"clip_id STRING, label INT, rect {schemas.RECT}, n INT")
+    members, edges = C.crop_cells(distinct, 2)
+    plan = edges._jdf.queryExecution()
+    edges.write.format("noop").mode("overwrite").save()
+    assert "SortMergeJoin" not in plan.executedPlan().toString() and "BroadcastHashJoin" not in plan.executedPlan().toString()
+    assert members.count() == 2000
