@@ -61,7 +61,8 @@ def find_side_files(clips: DataFrame, files: DataFrame, patterns=MEASUREMENT_NAM
         parts = [p for p in re.split(r"({\w+})", pattern) if p]
         return F.concat(*[values[p] if p in values else F.lit(p) for p in parts])
 
-    wanted = clips.select(
+    # A listing stored small would be read, multiplied and sorted or broadcast by one task; dealt by clip first, its size is measured.
+    wanted = clips.repartition("clip_id").select(
         "clip_id", F.posexplode(F.array(*[fill(p) for p in patterns])).alias("prio", "candidate")
     )
     hits = wanted.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")

@@ -200,3 +200,14 @@ def test_many_shuffled_frames_in_one_batch_and_duplicates(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == n and got.agg(F.count_distinct("frame_idx")).first()[0] == n
     assert got.agg(F.max("dropped")).first()[0] == 2
+
+
+def test_side_file_candidates_are_made_after_an_exchange(spark):
+    """One small file of clips is not multiplied in the one task that reads it."""
+    from lumaspark.sources import catalog
+
+    clips = spark.createDataFrame([("a", "d/x.mkv")], "clip_id STRING, path STRING")
+    found = catalog.find_side_files(clips, spark.createDataFrame([("d/x.measurements",)], "path STRING"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [clip_id" in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
+    assert [tuple(r) for r in found.collect()] == [("a", "d/x.measurements")]
