@@ -113,7 +113,7 @@ def crop_cells(distinct: DataFrame, tolerance: int) -> tuple[DataFrame, DataFram
 
     A cell spans ``tolerance + 1`` steps of each edge, so all rectangles in it match each other and the cell is one node,
     named by its least label. Matches across lie between a cell and the 80 around it. Cells are dealt by blocks of
-    ``BLOCK`` cells along each edge; a cell on the lower side of a block is in the block before as well, about 2.4 copies in all, and a
+    ``BLOCK`` cells along each edge; a cell on the lower side of a block is in the block before as well (about 2.4 copies where cells lie evenly, at most 16), and a
     pair is looked at in the block of its lower corner only. A cell holds at most ``(tolerance + 1) ** 4`` places and a block ``(BLOCK + 1) ** 4`` cells however
     many rectangles a clip has, so rows grow with the rectangles and not with their pairs.
     """
