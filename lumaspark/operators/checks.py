@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.transfer import pq_to_nits
+from ..functions.transfer import c_pq_to_nits
 from .ordered import previous_row
 
 FALL_FLOOR_NITS, FALL_SHARE = 10.0, 0.02
@@ -131,7 +131,7 @@ def check_frames(frames: DataFrame) -> DataFrame:
 def check_fall(headers: DataFrame, frames: DataFrame) -> DataFrame:
     """Header MaxFALL and AvgFALL against the unrounded values derived from the frames."""
     derived = (
-        frames.select("clip_id", pq_to_nits("avg_pq").alias("_nits"))
+        frames.select("clip_id", c_pq_to_nits("avg_pq").alias("_nits"))
         .groupBy("clip_id")
         .agg(F.max("_nits").alias("_max"), F.avg("_nits").alias("_avg"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.transfer import gamut_peaks, pq12, pq_to_nits
+from ..functions.transfer import c_pq_to_nits, gamut_peaks, pq12, pq_to_nits
 from .samples import FRAME
 
 SCENE = ["clip_id", "scene_id"]
@@ -22,7 +22,7 @@ def max_cll(frames: DataFrame, source: str = "max") -> DataFrame:
 
     Frames are counted by whole-nit peak first: at most 10 001 rows per clip reach the window.
     """
-    nits = F.round(pq_to_nits("peak_pq")).cast("int").alias("nits")
+    nits = F.round(c_pq_to_nits("peak_pq")).cast("int").alias("nits")
     if source not in HEADER_SHARES:
         return frames.select("clip_id", nits).groupBy("clip_id").agg(F.max("nits").alias("maxcll"))
     counts = frames.select("clip_id", nits).groupBy("clip_id", "nits").agg(F.count(F.lit(1)).alias("n"))
@@ -35,7 +35,7 @@ def max_cll(frames: DataFrame, source: str = "max") -> DataFrame:
 
 def fall(frames: DataFrame) -> DataFrame:
     return (
-        frames.select("clip_id", pq_to_nits("avg_pq").alias("_nits"))
+        frames.select("clip_id", c_pq_to_nits("avg_pq").alias("_nits"))
         .groupBy("clip_id")
         .agg(
             F.round(F.max("_nits")).cast("int").alias("maxfall"),
@@ -49,8 +49,8 @@ def clip_levels(frames: DataFrame, peak_source: str = "max") -> DataFrame:
 
     Frames are summed by whole-nit peak first, so at most 10 001 narrow rows per clip are left to order.
     """
-    average = pq_to_nits("avg_pq")
-    by_peak = frames.groupBy("clip_id", F.round(pq_to_nits("peak_pq")).cast("int").alias("nits")).agg(
+    average = c_pq_to_nits("avg_pq")
+    by_peak = frames.groupBy("clip_id", F.round(c_pq_to_nits("peak_pq")).cast("int").alias("nits")).agg(
         F.count(F.lit(1)).alias("n"), F.count(average).alias("_known"), F.max(average).alias("_max"), F.sum(average).alias("_sum")
     )
     cll = F.max("nits")
@@ -105,7 +105,7 @@ def scene_stats(framed: DataFrame) -> DataFrame:
     return framed.groupBy(*SCENE).agg(
         F.min("frame_idx").alias("start"),
         F.max("frame_idx").alias("end"),
-        pq_to_nits(F.max("peak_pq")).cast("int").alias("peak_nits"),
+        c_pq_to_nits(F.max("peak_pq")).cast("int").alias("peak_nits"),
         F.avg("avg_pq").alias("avg_pq"),
     )
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import estimators as E
-from ..functions.transfer import clamp, pq_to_nits
+from ..functions.transfer import c_pq_to_nits, clamp, pq_to_nits
 from ..session import staged
 from .ordered import CHUNK, ema, halo_window, limit_steps
 from .samples import FRAME
@@ -81,7 +81,7 @@ def smooth_knee(placed: DataFrame, window: int, chunk: int = CHUNK) -> DataFrame
 def raw_target(df: DataFrame, profile: str = "balanced") -> DataFrame:
     """Add ``raw_target`` from peak_pq, apl_nits, scene_apl_nits and knee_nits."""
     p = profile_named(profile)
-    peak = pq_to_nits("peak_pq").cast("int")
+    peak = c_pq_to_nits("peak_pq").cast("int")
     knee = F.col("knee_nits")
     level = F.lit(0.7) * F.col("apl_nits") + F.lit(0.3) * F.col("scene_apl_nits")
 

@@ -220,7 +220,7 @@ def live_targets(stream: DataFrame, **options) -> DataFrame:
 
 def live_totals(stream: DataFrame) -> DataFrame:
     """MaxCLL, MaxFALL and AvgFALL of every clip so far (update mode)."""
-    nits = stream.select("clip_id", T.pq_to_nits("peak_pq").alias("_peak"), T.pq_to_nits("avg_pq").alias("_avg"))
+    nits = stream.select("clip_id", T.c_pq_to_nits("peak_pq").alias("_peak"), T.c_pq_to_nits("avg_pq").alias("_avg"))
     return nits.groupBy("clip_id").agg(
         F.max(F.round("_peak")).cast("int").alias("maxcll"),
         F.round(F.max("_avg")).cast("int").alias("maxfall"),

@@ -309,7 +309,7 @@ RAW_SQL = raw_target_sql(f"""
 
 def _raw_targets(spark, sf_dir):
     # A quarter nit keeps whole-nit peaks away from the truncation border.
-    peaks = A.series(spark, sf_dir).select(*FRAME, T.nits_to_pq(F.col("peak_nits") + 0.25).alias("peak_pq"))
+    peaks = A.series(spark, sf_dir).select(*FRAME, T.c_nits_to_pq(F.col("peak_nits") + 0.25).alias("peak_pq"))
     joined = _apl(spark, sf_dir).join(_knees(spark, sf_dir).select(*FRAME, "knee_nits"), FRAME).join(peaks, FRAME)
     return targets.raw_target(joined)
 
@@ -384,7 +384,7 @@ _SERIES_PQ = f"SELECT *, {_PEAK_PQ} AS peak_pq, {A.sql_nits_to_pq('avg_nits')} A
 def series_frames(spark, sf_dir):
     """Series as frames with peak, averages, minimum and targets (one frame in nine without)."""
     base = A.series(spark, sf_dir)
-    peak, avg = T.nits_to_pq("peak_nits"), T.nits_to_pq("avg_nits")
+    peak, avg = T.c_nits_to_pq("peak_nits"), T.c_nits_to_pq("avg_nits")
     return base.select(
         *FRAME, "scene_id", "scene_pos", peak.alias("peak_pq"), avg.alias("avg_pq"),
         (avg * F.lit(0.1)).alias("min_pq"), F.least(avg * F.lit(1.1), F.lit(1.0)).alias("avg_max_rgb_pq"),
@@ -438,7 +438,7 @@ SCENE_STATS_SQL = f"""
 
 @query("a16_scene_stats", f"SELECT * REPLACE (round(avg_pq, 6) AS avg_pq) FROM ({SCENE_STATS_SQL})")
 def a16(spark, sf_dir):
-    peaks = A.series(spark, sf_dir).select(*FRAME, T.nits_to_pq(F.col("peak_nits") + 0.25).alias("peak_pq"))
+    peaks = A.series(spark, sf_dir).select(*FRAME, T.c_nits_to_pq(F.col("peak_nits") + 0.25).alias("peak_pq"))
     framed = series_frames(spark, sf_dir).drop("peak_pq").join(peaks, FRAME)
     return rollups.scene_stats(framed).withColumn("avg_pq", F.round("avg_pq", 6))
 

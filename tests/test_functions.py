@@ -18,6 +18,21 @@ def test_pq_codes_and_round_trip(spark):
     assert T.nits_to_pq_number(100.0) == pytest.approx(0.508078421517399, abs=1e-12)
 
 
+def test_curves_in_the_bits_of_the_c_library(spark):
+    nits = [None, math.nan, -1.0, 0.0, 0.005, 1.0, 421.0, 10000.0, 1e7, math.inf]
+    odd = spark.createDataFrame([(v, (i - 3) / 2.0 if i else None) for i, v in enumerate(nits)], "nits DOUBLE, pq DOUBLE")
+    got = odd.select(T.c_nits_to_pq("nits").alias("a"), T.nits_to_pq("nits").alias("b"), T.c_pq_to_nits("pq").alias("c"), T.pq_to_nits("pq").alias("d"))
+    for r in got.collect():
+        assert r.a == pytest.approx(r.b, rel=1e-12, nan_ok=True)
+        assert r.c == pytest.approx(r.d, rel=1e-9, nan_ok=True) if r.d is not None else r.c is None
+    whole = spark.range(1, 2000).select(F.col("id").cast("double").alias("n")).select("n", T.c_nits_to_pq("n").alias("pq"), T.c_pq_to_nits(T.c_nits_to_pq("n")).alias("back"))
+    for r in whole.collect():
+        y = math.pow(r.n / T.PEAK_NITS, T.M1)
+        pq = math.pow((T.C1 + T.C2 * y) / (1.0 + T.C3 * y), T.M2)
+        e = math.pow(pq, 1.0 / T.M2)
+        assert (r.pq, r.back) == (pq, math.pow((e - T.C1) / (T.C2 - T.C3 * e), 1.0 / T.M1) * T.PEAK_NITS)
+
+
 def test_hlg_segments(spark):
     got = one(spark, low=T.hlg_relative(F.lit(0.5)), top=T.hlg_relative(F.lit(1.0)), mid=T.hlg_to_nits(F.lit(0.75), 1000.0), over=T.hlg_to_nits(F.lit(1.0), 50000.0))
     assert got["low"] == pytest.approx(1 / 12) and got["top"] == pytest.approx(1.0, abs=1e-6)
