@@ -125,9 +125,19 @@ BASE_SQL = RUNS_SQL.format(stem="'user'", step=1)
 CURRENT_SQL = RUNS_SQL.format(stem="CASE WHEN user_id % 5 = 0 THEN 'other' ELSE 'user' END", step=7)
 
 
+def _mean(value: str):
+    """Mean of doubles that no order of rows changes: they are summed as the decimals they are written as.
+
+    Where one of them has more digits than the sum holds, the mean is the plain one.
+    """
+    written = F.col(value).try_cast("decimal(28,12)")
+    held = F.count(F.when(written.cast("double") == F.col(value), 1)) == F.count(value)
+    return F.when(held, F.sum(written).cast("double") / F.count(written)).otherwise(F.avg(value))
+
+
 def _run(spark, sf_dir, stem, step: int):
     shift = F.col("user_id") % step
-    runs = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    runs = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), _mean("value").alias("mean"))
     return runs.select(
         F.concat(stem, F.col("user_id"), F.lit(".bin")).alias("name"), (F.col("n") + shift).cast("int").alias("scene_count"),
         F.round(F.col("top") + shift).cast("int").alias("maxcll"), F.round(F.col("mean") + shift).cast("int").alias("maxfall"),

@@ -1,4 +1,6 @@
-"""Results that hang on the last bit of a double: whole nits after a round trip through PQ."""
+"""Results that hang on the last bit of a double: whole nits after a round trip through PQ, and means at one half."""
+
+import random
 
 import duckdb
 import pyarrow as pa
@@ -6,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from lumaspark.workbench import audit
 
 
 def events(path, rows):
@@ -30,3 +33,33 @@ def test_whole_peaks_are_cut_as_in_the_sql(spark, tmp_path, name):
     path = events(tmp_path, [(5600 * i, 1, i + 0.75) for i in range(1200)])
     got = entry.queries()[name](spark, path)
     assert sorted(map(tuple, got.collect())) == sql_rows(path, name, got.columns)
+
+
+def halves(seed):
+    """Values of two decimals whose mean is a whole number and a half."""
+    rng = random.Random(seed)
+    cents = [rng.randrange(20000) for _ in range(9)]
+    cents.append(10 * (100 * (sum(cents) // 1000) + 50) - sum(cents) + 1000)
+    return [c / 100 for c in cents]
+
+
+def test_means_at_one_half_do_not_hang_on_the_order(spark, tmp_path):
+    """Base and current run may meet the rows of a user in two orders; their difference may not show it."""
+    users = {seed: halves(seed) for seed in range(300)}
+    got, deltas = [], []
+    for way in (list, sorted, lambda v: sorted(v, reverse=True)):
+        folder = tmp_path / str(len(got))
+        folder.mkdir()
+        path = events(folder, [(i, u, v) for u, values in users.items() for i, v in enumerate(way(values))])
+        got.append({r.name: r.maxfall for r in audit._run(spark, path, audit.F.lit("user"), 1).collect()})
+        deltas += [(int(r.name[4:-4]) % 7, r.maxfall_delta) for r in entry.queries()["j7_header_deltas"](spark, path).collect()]
+    exact = {f"user{u}.bin": (round(sum(round(v * 100) for v in values) / 10) + 50) // 100 for u, values in users.items()}
+    assert got[0] == got[1] == got[2] == exact
+    assert all(shift == delta for shift, delta in deltas)
+
+
+def test_means_of_odd_values(spark, tmp_path):
+    rows = [(0, 1, None), (1, 2, 1e300), (2, 2, 3e300), (3, 3, 1e-30), (4, 3, 2.5), (5, 4, -2.5), (6, 4, None), (7, 6, 7.0)]
+    path = events(tmp_path, rows)
+    means = {r.user_id: r.mean for r in spark.read.parquet(f"{path}/events.parquet").groupBy("user_id").agg(audit._mean("value").alias("mean")).collect()}
+    assert means == {1: None, 2: 2e300, 3: 1.25, 4: -2.5, 6: 7.0}
